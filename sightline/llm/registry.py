@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sightline.llm import quality_rules
+from sightline.llm import quality_rules, quotation, url_rules, warc
 
-MODULES = [quality_rules]
+MODULES = [warc, url_rules, quotation, quality_rules]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
