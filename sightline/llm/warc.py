@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sightline.llm.quality_rules import let
 from sightline.tables import table
 
 #: Elements whose content is not text, elements that break lines, and named character references.
@@ -22,6 +23,9 @@ HIDDEN = ["script", "style", "noscript", "template", "head"]
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&middot;": "·", "&copy;": "©", "&reg;": "®", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
 
+#: Comments and hidden elements, found in one pass.
+UNSEEN = "(?is)<!--.*?-->|" + "|".join(rf"<{name}(?:\s[^>]*)?>.*?</{name}\s*>" for name in HIDDEN)
+
 
 def numeric_references(text: Column) -> Column:
     """&#183; and &#xB7; as characters; numbers that are no character as U+FFFD."""
@@ -40,13 +44,11 @@ def numeric_references(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Text of an HTML page: hidden elements and comments go, block elements break lines, references are decoded."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), "(?s)<!--.*?-->", "")
-    for name in HIDDEN:
-        text = F.regexp_replace(text, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}\s*>", "")
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, "")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n")
     text = F.regexp_replace(text, "</?[a-zA-Z!?][^>]*>", "")
     text = F.regexp_replace(text, "</?[a-zA-Z!?][^>]*$", "")
-    text = numeric_references(text)
+    text = let(text, numeric_references)
     for name, char in ENTITIES.items():
         text = F.replace(text, F.lit(name), F.lit(char))
     text = F.regexp_replace(text, r"[\x09\x0B-\x0D\x20]+", " ")
@@ -117,9 +119,7 @@ def op1_warc_derivatives(spark, sf_dir):
     return records.select("page_id", "record_type", "derived_id", "refers_to", "concurrent_to", "target_uri", "content_type", "source_headers", "payload_digest", "block_digest", "block")
 
 
-_HTML = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g')"
-for _name in HIDDEN:
-    _HTML = rf"regexp_replace({_HTML}, '(?is)<{_name}(?:\s[^>]*)?>.*?</{_name}\s*>', '', 'g')"
+_HTML = f"regexp_replace(coalesce(html, ''), '{UNSEEN}', '', 'g')"
 _HTML = rf"regexp_replace({_HTML}, '(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>', chr(10), 'g')"
 _HTML = f"regexp_replace(regexp_replace({_HTML}, '</?[a-zA-Z!?][^>]*>', '', 'g'), '</?[a-zA-Z!?][^>]*$', '', 'g')"
 for _name, _char in ENTITIES.items():
