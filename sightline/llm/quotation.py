@@ -84,17 +84,21 @@ def link(messages: DataFrame) -> DataFrame:
 
 
 def threads(linked: DataFrame, scratch: Scratch, max_rounds: int = 64) -> DataFrame:
-    """Rows (conv_id, turn, thread, depth) for each distinct (conv_id, turn); thread: the turn that opened it."""
+    """Rows (conv_id, turn, thread, depth) for each distinct (conv_id, turn); thread: the turn that opened it.
+
+    Rows that have reached their thread's first message are set aside, so a round costs what is left to do.
+    """
     start = linked.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("reply_to").alias("up"))
-    now = scratch.keep(start.select("conv_id", "turn", F.coalesce("up", "turn").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    root = F.col("up").isNull()
+    start = scratch.keep(start.select("conv_id", "turn", F.coalesce("up", "turn").alias("up"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), root.alias("settled")))
+    done, going = start.where("settled"), start.where("not settled")
     for _ in range(max_rounds):
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        new = scratch.keep(now.join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
-        going = new.where("moved").limit(1).count()
-        scratch.drop(now)
-        now = new.drop("moved")
-        if not going:
-            return now.select("conv_id", "turn", F.col("up").alias("thread"), "depth")
+        above = done.unionByName(going).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), "settled")
+        moved = going.drop("settled").join(above, ["conv_id", "up"])
+        new = scratch.keep(moved.select("conv_id", "turn", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), "settled"))
+        done, going = done.unionByName(new.where("settled")), new.where("not settled")
+        if going.isEmpty():
+            return done.select("conv_id", "turn", F.col("up").alias("thread"), "depth")
     raise RuntimeError(f"threads did not settle in {max_rounds} rounds")
 
 
