@@ -1,6 +1,70 @@
-STAGES = []
+"""Corpus pipeline: quality, line dedup, near-dedup, decontamination, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the next one's docs. All
+but the last return the columns of `documents`; n_chars follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sightline.llm import bpe, decontaminate, line_dedup, quality_model, simhash
+from sightline.tables import Scratch, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly trained quality classifier keeps."""
+    docs = docs.select(*COLUMNS)
+    return quality_model.score(docs, quality_model.fit(docs)).where("kept").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the lines that an earlier one has, up to one word; a document that loses all its words goes."""
+    cut = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    cut = cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_dropped") == 0))
+    return cut.select("doc_id", "text", "lang", "source", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints: the one with the least doc_id.
+
+    Rows that share a doc_id count as copies of one document. Rows without a doc_id name no group and stay.
+    """
+    docs = docs.select(*COLUMNS)
+    groups = Scratch(spark, "pipeline").keep(simhash.components(docs).select("doc_id", "component_id"))
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    again = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    chosen = docs.join(first, "doc_id", "left_semi")
+    single = chosen.join(again, "doc_id", "left_anti")
+    one = chosen.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(one).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item, also with other numbers, names or units."""
+    out = decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return out.where("not contaminated").select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left, encoded and decoded."""
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
+STAGES = [("quality", quality), ("line_dedup", lines), ("simhash", near_duplicates), ("decontamination", benchmark_free), ("byte_level_bpe", tokens)]
+
+#: The classifier is trained, and the later stages are no SQL either; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, applied to `documents`."""
+    scratch = Scratch(spark, "pipeline-run")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return docs

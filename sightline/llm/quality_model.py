@@ -36,7 +36,7 @@ SHAPE[128:] = SHAPE[97:123] = ord("a")
 SHAPE[65:91] = ord("A")
 SHAPE[48:58] = ord("0")
 UPPER, MARKS, LETTERS = lut(bytes(range(65, 91))), lut(b"#*$%&|<>{}\\^~=_@"), lut(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
-ENDS = lut(b".!?")
+ENDS, DIGITS = lut(b".!?"), lut(b"0123456789")
 
 #: Statistics of a text, in the order of `statistics`.
 STATS = ["words", "bytes_a_word", "marks_a_word", "upper_share", "shouts_a_word", "bars_a_word", "distinct_share", "same_as_before", "ends_a_word", "letter_share"]
@@ -62,7 +62,7 @@ class Reading:
     """Statistics of one text and its hashed features."""
 
     def __init__(self, text: bytes):
-        totals = np.zeros(7, np.int64)
+        totals = np.zeros(8, np.int64)
         words, forms = [], []
         for a, b in pieces(text):
             data = np.frombuffer(text[a:b], np.uint8)
@@ -71,7 +71,7 @@ class Reading:
                 words.append(hash_spans(data, starts, ends))
                 forms.append(shapes(data))
                 bare = (ends - starts == 1) & (data[starts] == ord("|"))
-                totals += [(ends - starts).sum(), MARKS[data].sum(), UPPER[data].sum(), (data == ord("!")).sum(), bare.sum(), ENDS[data].sum(), LETTERS[data].sum()]
+                totals += [(ends - starts).sum(), MARKS[data].sum(), UPPER[data].sum(), (data == ord("!")).sum(), bare.sum(), ENDS[data].sum(), LETTERS[data].sum(), DIGITS[data].sum()]
         word = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.forms = np.concatenate(forms) if forms else np.zeros(0, np.uint64)
         n, size = len(word), int(totals[0])
@@ -79,7 +79,7 @@ class Reading:
         share = np.mean([len(np.unique(word[k : k + 200])) / len(word[k : k + 200]) for k in range(0, n, 200)]) if n else 1.0
         same = (word[1:] == word[:-1]).mean() if n > 1 else 0.0
         per, letters = max(n, 1), max(int(totals[6]), 1)
-        self.stats = np.array([n, size / per, totals[1] / per, totals[2] / letters, totals[3] / per, totals[4] / per, share, same, totals[5] / per, totals[6] / max(size, 1)])
+        self.stats = np.array([n, size / per, totals[1] / per, totals[2] / letters, totals[3] / per, totals[4] / per, share, same, totals[5] / per, totals[6] / max(size - int(totals[7]), 1)])
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """(bucket, value): shares of word shapes, and one feature for each statistic's bin."""
@@ -132,34 +132,32 @@ def votes_of(pattern: np.ndarray) -> np.ndarray:
 
 @dataclass
 class WeakLabels:
-    """Estimates of expectation-maximisation: share of good, and P(vote | class) by labeller, vote + 1 and class."""
+    """Estimates of expectation-maximisation: share of good, and P(good vote | class, some vote) by labeller.
+
+    Whether a labeller abstains says nothing about the class (short texts abstain more, good or bad), so abstentions
+    are missing votes.
+    """
 
     good: float
     table: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        logs = np.log(np.stack([self.table[k, votes[:, k] + 1] for k in range(votes.shape[1])], axis=0)).sum(axis=0)
-        logs += np.log([1 - self.good, self.good])
-        odds = np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700))
-        return 1 / (1 + odds)
+        logs = (votes == 1) @ np.log(self.table) + (votes == -1) @ np.log(1 - self.table) + np.log([1 - self.good, self.good])
+        return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
 
     def accuracies(self) -> np.ndarray:
-        """Share of right votes among each labeller's votes that are not abstentions."""
-        prior = np.array([1 - self.good, self.good])
-        right = self.table[:, 0, 0] * prior[0] + self.table[:, 2, 1] * prior[1]
-        return right / np.maximum(((self.table[:, 0] + self.table[:, 2]) @ prior), 1e-12)
+        """Share of right votes among each labeller's votes."""
+        return (1 - self.table[:, 0]) * (1 - self.good) + self.table[:, 1] * self.good
 
 
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, smooth: float = 1.0) -> WeakLabels:
-    """Two-class model of counted vote patterns; starts from the majority, a single bad vote weighing as two good."""
-    score = (votes == 1).sum(axis=1) - 3 * (votes == -1).sum(axis=1)
-    p = np.where(score > 0, 0.9, np.where(score < 0, 0.1, 0.5))
-    out = WeakLabels(0.5, np.full((votes.shape[1], 3, 2), 1 / 3))
+    """Two-class model of counted vote patterns, started from: bad if any labeller says so."""
+    p = np.where((votes == -1).any(axis=1), 0.1, 0.9)
     for _ in range(rounds):
         weight = np.stack([(1 - p) * counts, p * counts], axis=1)
         total = weight.sum(axis=0)
-        by_vote = np.stack([((votes == v).T @ weight) for v in (-1, 0, 1)], axis=1)
-        out = WeakLabels(float((total[1] + smooth) / (total.sum() + 2 * smooth)), (by_vote + smooth) / (total + 3 * smooth))
+        ups, downs = (votes == 1).T @ weight, (votes == -1).T @ weight
+        out = WeakLabels(float((total[1] + smooth) / (total.sum() + 2 * smooth)), (ups + smooth) / (ups + downs + 2 * smooth))
         new = out.posterior(votes)
         if np.abs(new - p).max() < 1e-9:
             break
