@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sightline.plans import fuse_queries, history_queries  # noqa: F401  (registers on import)
+from sightline.plans.register import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
