@@ -135,7 +135,7 @@ def joined_brands(labels: Column) -> Column:
 
 def litre_limit(text: Column) -> tuple[Column, Column]:
     """(litres, grade or null) of a limit named in a text."""
-    pattern = r"(?i)лимит\s*([0-9]+(?:[.,][0-9]+)?)\s*л(?:\s*(?:на|для)\s*((?:аи[-\s]?)?(?:92|95|98|100)|дт|дизел\p{L}*))?"
+    pattern = r"(?iu)лимит\s*([0-9]+(?:[.,][0-9]+)?)\s*л(?:\s*(?:на|для)\s*((?:аи[-\s]?)?(?:92|95|98|100)|дт|дизел\p{L}*))?"
     litres = F.replace(F.regexp_extract(text, pattern, 1), F.lit(","), F.lit(".")).try_cast("double")
     grade = F.regexp_extract(text, pattern, 2)
     return litres, F.when(grade != "", grade)

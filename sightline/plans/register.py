@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import wraps
 
@@ -20,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = re.sub(r'(?<!["\w])at(?!["\w])', '"at"', sql)  # a reserved word in DuckDB
         return run
 
     return wrap

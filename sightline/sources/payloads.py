@@ -15,8 +15,8 @@ STATUSES = "array<struct<station struct<id string, lng string, lat string, name
 EXHAUSTIVE = "array<struct<id string, lon string, lat string, name string, brand string, address string, st struct<status string, updated_at string, fuels_now array<string>, fuels_out array<string>, conflict struct<created_at string, text string>>, limits array<struct<grade string, liters double, since string>>, fuels array<string>>>"
 
 #: Fixed value: a token that a list of fuels may consist of.
-FUEL_TOKEN = r"(?i)^(?:(?:аи|ai)[-\s]?)?(?:92|95|98|100)\+?$|^(?:аи|ai|дт|дизел\p{L}*|газ|пропан|метан|снг|гбо)$"
-NO_FUEL = r"(?i)нет\s+топлива|заправка\s+не\s+работает"
+FUEL_TOKEN = r"(?iu)^(?:(?:аи|ai)[-\s]?)?(?:92|95|98|100)\+?$|^(?:аи|ai|дт|дизел\p{L}*|газ|пропан|метан|снг|гбо)$"
+NO_FUEL = r"(?iu)нет\s+топлива|заправка\s+не\s+работает"
 GRADE = r"(?<![0-9])(92|95|98|100)(?![0-9])"
 
 
@@ -62,8 +62,8 @@ def timeline(payloads: DataFrame) -> dict[str, DataFrame]:
     observations = seen.select("source", "station", status.alias("status"), gone.alias("family_all"), instant(F.col("r.last_at")).alias("at"), F.when(disputed & ~gone, F.concat_ws(" | ", "visible", "hidden")).alias("conflict"))
     comments = rows.select("source", "station", F.explode("r.comments").alias("c"))
     sign = F.when(F.lower(F.col("c.status")) == "no", -1).when(F.lower(F.col("c.status")).isin("yes", "queue"), 1).otherwise(0)
-    named_fuel = F.coalesce(F.regexp_substr(F.get(F.split(F.coalesce(F.col("c.detail"), F.lit("")), "·"), F.lit(0)), F.lit(r"(?i)(?:^|[^\p{L}\p{N}])(?:дт|дизел\p{L}*|92|95|98|100)(?:[^\p{L}\p{N}]|$)")), F.lit("")) != ""
-    family = (sign == -1) & ~named_fuel & F.coalesce(F.col("c.detail").rlike(r"(?i)нет\s+(?:топлива|бензина)|заправка\s+не\s+работает"), F.lit(False))
+    named_fuel = F.coalesce(F.regexp_substr(F.get(F.split(F.coalesce(F.col("c.detail"), F.lit("")), "·"), F.lit(0)), F.lit(r"(?iu)(?:^|[^\p{L}\p{N}])(?:дт|дизел\p{L}*|92|95|98|100)(?:[^\p{L}\p{N}]|$)")), F.lit("")) != ""
+    family = (sign == -1) & ~named_fuel & F.coalesce(F.col("c.detail").rlike(r"(?iu)нет\s+(?:топлива|бензина)|заправка\s+не\s+работает"), F.lit(False))
     said = comments.select("source", "station", instant(F.col("c.created_at")).alias("at"), sign.alias("sign"), grades(fuel_segments(F.col("c.detail"))).alias("g"), family.alias("family")).where("at is not null and sign <> 0")
     spread = F.explode(F.when(F.size("g") > 0, F.col("g")).when(F.col("family"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
     return {"stations": stations, "observations": observations, "reports": said.select("source", "station", "at", "sign", spread.alias("grade"))}
