@@ -169,11 +169,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cov
 
 
 def op5_decontamination(spark, sf_dir):
+    """One row for each contaminated document, with its best covered item and how many items it contains."""
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     found = matches(docs, benchmark, Scratch(spark, "decontaminate"))
     best = found.groupBy("doc_id").agg(F.max(F.struct("cover", (-F.col("item_id")).alias("item"))).alias("b"), F.count("*").alias("n_items"))
-    out = docs.select("doc_id").join(best, "doc_id", "left")
-    return out.select("doc_id", F.col("b").isNotNull().alias("contaminated"), (-F.col("b.item")).alias("item_id"), F.round("b.cover", 6).alias("cover"), F.coalesce("n_items", F.lit(0)).alias("n_items"))
+    return best.select("doc_id", (-F.col("b.item")).alias("item_id"), F.round("b.cover", 6).alias("cover"), "n_items")
 
 
 QUERIES = {"op5_decontamination": op5_decontamination}
