@@ -123,7 +123,7 @@ def e6(spark, sf):
 
 
 _UNION = f"""{OBS}, {ACT}, sp AS (SELECT * EXCLUDE (slots), unnest(slots) AS slot FROM (SELECT *, CASE WHEN family_all AND specificity = 'FAMILY_ONLY' THEN list_distinct(['p0', 'p1', 'p2', product]) ELSE [product] END AS slots FROM sg)),
-ac AS (SELECT *, product AS slot FROM act), {assess_sql('x', 'entity, slot', 'sp', 'ac')}, fo AS (SELECT * FROM sg WHERE specificity = 'FAMILY_ONLY'), fa AS (SELECT * FROM act WHERE entity IN (SELECT entity FROM fo)), {assess_sql('f', 'entity', 'fo', 'fa')},
+ac AS (SELECT *, product AS slot FROM act), {assess_sql('x', 'entity, slot', 'sp', 'ac')}, fo AS (SELECT * FROM sg WHERE specificity = 'FAMILY_ONLY'), fact AS (SELECT * FROM act WHERE entity IN (SELECT entity FROM fo)), {assess_sql('f', 'entity', 'fo', 'fact')},
 w AS (SELECT xr.* FROM xr WHERE slot <> 'unknown' OR entity IN (SELECT entity FROM obs WHERE product = 'unknown')),
 g AS (SELECT entity, max(rank) FILTER (verdict = 'AVAILABLE') AS av, max(rank) FILTER (verdict = 'LIKELY_AVAILABLE') AS li, max(rank) FILTER (verdict = 'CONFLICTING') AS co, count(*) FILTER (verdict = 'NOT_AVAILABLE' AND slot <> 'unknown') AS outs,
  min(rank) FILTER (verdict = 'NOT_AVAILABLE' AND slot <> 'unknown') AS weakest, bool_or(verdict = 'INDIRECT') AS indirect FROM w GROUP BY 1),
