@@ -64,7 +64,7 @@ def encoder(path: str, end_id: int):
             for a, b in batches([len(t) for t in texts], 1 << 18):
                 cut = [safe_cuts(t, 1 << 18) for t in texts[a:b]]
                 flat = [p for c in cut for p in c]
-                ids = [np.array(e.ids, np.int32) for k in range(0, len(flat), 64) for e in made.encode_batch(flat[k : k + 64], add_special_tokens=False)]
+                ids = [np.array(e.ids, np.int32) for k in range(0, len(flat), 64) for e in made.encode_batch_fast(flat[k : k + 64], add_special_tokens=False)]
                 counts = np.zeros(b - a, np.int64)
                 parts, at = [], 0
                 for i, c in enumerate(cut):
