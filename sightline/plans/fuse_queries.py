@@ -164,12 +164,12 @@ def queues(spark, sf):
     e = V.events(spark, sf).where(F.col("t") <= NOW)
     kind = _case(F.col("event_type"), purchase="VEHICLES", click="ORDINAL", view="PRESENCE", error="TEXT", signup="TEXT")
     ordinal = F.element_at(F.array(*[F.lit(x) for x in ("NONE", "SHORT", "MEDIUM", "LONG", "VERY_LONG")]), (F.col("k") % 5 + 1).cast("int"))
-    recent = e.where((F.col("t") > NOW - 86400) & ((F.col("event_type") != "purchase") | (F.col("entity") % 2 == 0)))
+    recent = e.where(F.col("t") > NOW - 86400)
     return recent.select("entity", kind.alias("kind"), F.when(F.col("k") % 3 > 0, F.col("k").cast("double")).alias("vehicle_count"), ordinal.alias("ordinal"), F.concat(F.lit("about "), F.col("k").cast("string")).alias("raw_value"), F.when(F.col("event_id") % 6 > 0, F.floor(F.col("t") / 3600) * 3600).alias("at"))
 
 
 @query("e10_queue_fusion", f"""WITH {V.EVENTS}, q AS (SELECT entity, CASE event_type WHEN 'purchase' THEN 'VEHICLES' WHEN 'click' THEN 'ORDINAL' WHEN 'view' THEN 'PRESENCE' ELSE 'TEXT' END AS kind, CASE WHEN k % 3 > 0 THEN k::DOUBLE END AS vehicle_count, (k % 5)::INT AS o,
-['NONE', 'SHORT', 'MEDIUM', 'LONG', 'VERY_LONG'][k % 5 + 1] AS ordinal, 'about ' || k AS raw_value, CASE WHEN event_id % 6 > 0 THEN t // 3600 * 3600 END AS at FROM e WHERE t <= {NOW} AND t > {NOW} - 86400 AND (event_type <> 'purchase' OR entity % 2 = 0)),
+['NONE', 'SHORT', 'MEDIUM', 'LONG', 'VERY_LONG'][k % 5 + 1] AS ordinal, 'about ' || k AS raw_value, CASE WHEN event_id % 6 > 0 THEN t // 3600 * 3600 END AS at FROM e WHERE t <= {NOW} AND t > {NOW} - 86400),
 z AS (SELECT *, CASE WHEN kind = 'VEHICLES' AND vehicle_count IS NOT NULL THEN 0 WHEN kind = 'ORDINAL' THEN 1 WHEN kind = 'PRESENCE' THEN 2 ELSE 3 END AS c, CASE WHEN at IS NULL THEN 1e15 ELSE ({NOW} - at) / 60.0::DOUBLE END AS age FROM q),
 b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY entity ORDER BY c, age, o, vehicle_count NULLS FIRST, ordinal, raw_value) = 1)
 SELECT entity, c < 2 AS comparable, CASE WHEN c = 0 THEN vehicle_count END AS vehicle_count, CASE WHEN c = 1 THEN ordinal END AS ordinal, CASE WHEN c < 2 AND age < 1e15 THEN age END AS freshest_age, CASE WHEN c = 3 THEN raw_value END AS text FROM b""")

@@ -18,11 +18,12 @@ def g1(spark, sf):
     return H.coverage_summary(V.ticks(spark, sf), V.INTERVAL)
 
 
-@query("g2_collection_gaps", f"""WITH {V.TICKS}, d AS (SELECT DISTINCT tick FROM ticks WHERE entity % 40 = 0 AND verdict <> 'INDIRECT'), g AS (SELECT lag(tick) OVER (ORDER BY tick) AS gap_from, tick AS gap_to FROM d),
-h AS (SELECT *, gap_to - gap_from AS minutes FROM g WHERE gap_to - gap_from > 1080) SELECT *, (SELECT count(*) FROM h) AS gaps FROM h ORDER BY minutes DESC, gap_from LIMIT 5""")
+@query("g2_collection_gaps", f"""WITH {V.EVENTS}, d AS (SELECT DISTINCT t // 60 AS tick FROM e WHERE event_type = 'error'), g AS (SELECT lag(tick) OVER (ORDER BY tick) AS gap_from, tick AS gap_to FROM d),
+h AS (SELECT *, gap_to - gap_from AS minutes FROM g WHERE gap_to - gap_from > 30) SELECT *, (SELECT count(*) FROM h) AS gaps FROM h ORDER BY minutes DESC, gap_from LIMIT 5""")
 def g2(spark, sf):
-    # Over all entities every tick is there; the pauses are those of one source in forty.
-    return H.collection_gaps(V.ticks(spark, sf).where("entity % 40 = 0 and verdict <> 'INDIRECT'"), V.INTERVAL)
+    # The minutes at which errors came in, as the ticks of a collector that should run every ten.
+    polls = V.events(spark, sf).where("event_type = 'error'").select(F.floor(F.col("t") / 60).cast("long").alias("tick"))
+    return H.collection_gaps(polls, 10)
 
 
 @query("g3_source_health", f"""WITH {V.EVENTS}, {V.HEALTH} SELECT source, count(*) AS ticks, count(*) FILTER (status = 'OK') AS ok, count(*) FILTER (status = 'PARTIAL') AS partial,

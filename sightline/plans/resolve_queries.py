@@ -79,11 +79,11 @@ def d8(spark, sf):
     return R.diagnostics(keyed, doubts)
 
 
-@query("d9_historical_identity", """WITH RECURSIVE t AS (SELECT c_custkey::VARCHAR AS record, 'a' || floor(c_acctbal / 20) AS token FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'n' || c_nationkey || c_mktsegment || c_custkey // 40 FROM customer WHERE c_custkey % 9 = 0),
+@query("d9_historical_identity", """WITH RECURSIVE t AS (SELECT c_custkey::VARCHAR AS record, 'a' || floor(c_acctbal / 20) AS token FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'n' || c_nationkey || c_mktsegment || c_custkey // 40 FROM customer),
 g AS (SELECT DISTINCT a.record AS u, b.record AS v FROM t a JOIN t b ON a.token = b.token), r AS (SELECT u, v FROM g UNION SELECT r.u, g.v FROM r JOIN g ON r.v = g.u) SELECT u AS record, min(v) AS entity FROM r GROUP BY 1""")
 def d9(spark, sf):
     c = table(spark, sf, "customer")
     rec = F.col("c_custkey").cast("string").alias("record")
     a = c.select(rec, F.concat(F.lit("a"), F.floor(F.col("c_acctbal") / 20).cast("string")).alias("token"))
-    n = c.where("c_custkey % 9 = 0").select(rec, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), "c_mktsegment", F.floor(F.col("c_custkey") / 40).cast("string")).alias("token"))
+    n = c.select(rec, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), "c_mktsegment", F.floor(F.col("c_custkey") / 40).cast("string")).alias("token"))
     return R.historical_identity(a.unionByName(n))

@@ -199,9 +199,9 @@ def _brand():
 
 
 def _events(spark, sf):
-    """Events of the three signals with their ranks; timelines of a fifth of the users only, so back-off shows."""
-    r = C.rolling_events(C.rolling_counts(rolling(spark, sf)), V.INTERVAL, HP).where("entity % 6 in (0, 1)").select("entity", "at", "medium", F.lit(0).alias("signal"))
-    t = _timeline(spark, sf).where("entity % 6 in (2, 3)").select("entity", F.floor(F.col("at") / 60).alias("at"), "medium", F.lit(1).alias("signal"))
+    """Resumptions and timeline clusters of all entities, with the ranks of their signals."""
+    r = C.rolling_events(C.rolling_counts(rolling(spark, sf)), V.INTERVAL, HP).select("entity", "at", "medium", F.lit(0).alias("signal"))
+    t = _timeline(spark, sf).select("entity", F.floor(F.col("at") / 60).alias("at"), "medium", F.lit(1).alias("signal"))
     return r.unionByName(t).withColumn("brand", _brand())
 
 
@@ -209,8 +209,8 @@ def _durations(spark, sf):
     return C.duration_patterns(H.outage_episodes(V.ticks(spark, sf), V.INTERVAL, True).withColumn("brand", _brand()))
 
 
-_FE = """fe AS (SELECT entity, at, medium, 0 AS signal FROM re WHERE entity % 6 IN (0, 1) UNION ALL SELECT entity, at // 60, medium, 1 FROM te WHERE entity % 6 IN (2, 3)),
-fs AS (SELECT at, medium, signal, 0 AS basis, entity::VARCHAR AS scope FROM fe UNION ALL SELECT at, medium, signal, 1, 'b' || entity % 6 FROM fe)"""
+_FE = """fe AS (SELECT entity, at, medium, 0 AS signal FROM re UNION ALL SELECT entity, at // 60, medium, 1 FROM te),
+fs AS (SELECT at, medium, signal, 0 AS basis, entity::VARCHAR AS scope FROM fe UNION ALL SELECT at, medium, signal, 1, 'b' || entity % 6 FROM fe UNION ALL SELECT at, medium, signal, 2, '' FROM fe)"""
 _PATTERNS = f"""{_FE}, {circular_sql('fs', 'signal, basis, scope', 'at', 2)}, fd AS (SELECT signal, basis, scope, count(DISTINCT (at + 180) // 1440) AS days, count(*) FILTER (medium) AS strong FROM fs GROUP BY ALL),
 patterns AS (SELECT c.*, strong FROM circle c JOIN fd USING (signal, basis, scope) WHERE days >= 2)"""
 _REPORTS_ONLY = V.REPORTS.partition("""events)""")[2].lstrip(", ")
@@ -220,8 +220,7 @@ durations AS (SELECT basis, scope, count(*) AS n, quantile_cont(minutes::DOUBLE,
 
 
 def _patterns(spark, sf):
-    # Without the whole area as a scope, entities whose brand has no events fall back to durations.
-    return C.time_patterns(_events(spark, sf)).where("basis < 2")
+    return C.time_patterns(_events(spark, sf))
 
 
 @query("h7_patterns", f"WITH {ROLL}, {_REPORTS_ONLY}, {_TIMELINE}, {_PATTERNS} SELECT signal, basis, scope, n, centre, q0, q1, q2, strong FROM patterns")
@@ -237,11 +236,14 @@ def h9(spark, sf):
 _END = _TICK + 30 * 1440
 
 
-def _forecasts(spark, sf):
+def _candidates(spark, sf):
     ticks = V.ticks(spark, sf)
     now = ticks.groupBy("entity").agg(F.max_by("verdict", "tick").alias("verdict")).withColumns({"sells_requested": F.when(F.col("entity") % 5 > 0, F.col("entity") % 5 != 1), "brand": _brand()})
-    cands = C.candidates(now, H.current_negative_start(ticks, V.INTERVAL))
-    return C.forecast(cands, _patterns(spark, sf), _durations(spark, sf), _END)
+    return C.candidates(now, H.current_negative_start(ticks, V.INTERVAL))
+
+
+def _forecasts(spark, sf):
+    return C.forecast(_candidates(spark, sf), _patterns(spark, sf), _durations(spark, sf), _END)
 
 
 _FORECAST = f"""WITH {ROLL}, {_REPORTS_ONLY}, {_TIMELINE}, {_SEGMENTS_ONLY}, {_NEGATIVE}, {_PATTERNS}, {_DUR}, cand AS (SELECT entity, negative_since FROM negative WHERE entity % 5 <> 1),
@@ -258,6 +260,12 @@ def h8(spark, sf):
     return _forecasts(spark, sf)
 
 
+@query("h9_duration_forecasts", f"{_FORECAST} SELECT * FROM fc".replace("WHERE days >= 2)", "WHERE days < 0)"))
+def h9f(spark, sf):
+    # Where no time pattern is known, all candidates fall back to durations.
+    return C.forecast(_candidates(spark, sf), _patterns(spark, sf).where("false"), _durations(spark, sf), _END)
+
+
 @query("h10_next_restorations", f"{_FORECAST} SELECT * FROM fc ORDER BY expected_at, entity LIMIT 3")
 def h10(spark, sf):
     return C.next_restorations(_forecasts(spark, sf))

@@ -196,18 +196,18 @@ def a1r(spark, sf):
 def status_payloads(spark, sf):
     e = V.events(spark, sf)
     fuel = F.struct(F.concat(F.lit("АИ-"), _pick(X.OCTANES, F.col("k"))).alias("fuel_type"), F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "error", False).alias("available"), _iso("t").alias("last_report_at"), F.when(F.col("k") % 2 == 0, F.col("k").cast("double")).alias("limit_liters"), F.when(F.col("event_type") == "view", "UP_TO_25").alias("queue_level"))
-    g = e.where("event_id % 3 = 0").groupBy("entity").agg(F.collect_list(fuel).alias("fuel_statuses"))
+    g = e.groupBy("entity").agg(F.collect_list(fuel).alias("fuel_statuses"))
     station = F.struct(F.col("entity").cast("string").alias("id"), F.lit("44.5").alias("lng"), F.lit("48.7").alias("lat"), F.lit("n").alias("name"), F.lit("a").alias("address"), F.lit("b").alias("brand"))
     row = F.struct(station.alias("station"), "fuel_statuses", F.lit(40.0).alias("limit_liters"), F.array(F.lit("АИ-92"), F.lit("95")).alias("fuel_assortment"))
     return g.select(row.alias("r"), (F.col("entity") % 50).alias("b")).groupBy("b").agg(F.to_json(F.collect_list("r")).alias("payload")).select(F.lit("status").alias("source"), F.lit(V.NOW).alias("fetched_at"), "payload")
 
 
-@query("a2_status_observations", f"WITH {V.EVENTS} SELECT entity::VARCHAR AS station, 'АИ-' || ['92', '95', '98', '100'][k % 4 + 1] AS grade, CASE event_type WHEN 'purchase' THEN 'IN_STOCK' WHEN 'error' THEN 'OUT_OF_STOCK' ELSE 'UNKNOWN' END AS status, t AS at FROM e WHERE event_id % 3 = 0")
+@query("a2_status_observations", f"WITH {V.EVENTS} SELECT entity::VARCHAR AS station, 'АИ-' || ['92', '95', '98', '100'][k % 4 + 1] AS grade, CASE event_type WHEN 'purchase' THEN 'IN_STOCK' WHEN 'error' THEN 'OUT_OF_STOCK' ELSE 'UNKNOWN' END AS status, t AS at FROM e")
 def a2(spark, sf):
     return P.statuses(status_payloads(spark, sf))["observations"].select("station", "grade", "status", "at")
 
 
-@query("a2_status_stations", f"WITH {V.EVENTS} SELECT entity::VARCHAR AS station, '92,95' AS assortment, count(*) FILTER (k % 2 = 0 AND k > 0) + 1 AS limits, CASE WHEN count(*) FILTER (event_type = 'view') > 0 THEN 'LONG' END AS queue, CASE WHEN count(*) FILTER (event_type = 'view') > 0 THEN max(t) END AS queue_at FROM e WHERE event_id % 3 = 0 GROUP BY entity")
+@query("a2_status_stations", f"WITH {V.EVENTS} SELECT entity::VARCHAR AS station, '92,95' AS assortment, count(*) FILTER (k % 2 = 0 AND k > 0) + 1 AS limits, CASE WHEN count(*) FILTER (event_type = 'view') > 0 THEN 'LONG' END AS queue, CASE WHEN count(*) FILTER (event_type = 'view') > 0 THEN max(t) END AS queue_at FROM e GROUP BY entity")
 def a2s(spark, sf):
     made = P.statuses(status_payloads(spark, sf))
     q = made["queues"].select("station", F.col("ordinal").alias("queue"), F.col("at").alias("queue_at"))
@@ -234,12 +234,12 @@ def a3(spark, sf):
 def tree_payloads(spark, sf):
     e = V.events(spark, sf)
     fuel = F.struct(F.concat(F.lit("g"), (F.col("k") % 4).cast("string")).alias("fuel"), F.col("event_type").alias("status"), F.when(F.col("k") % 3 > 0, F.when(F.col("k") % 3 == 1, F.col("t")).otherwise(F.col("t") * 1000)).alias("updatedAt"), F.when(F.col("k") % 2 == 0, F.col("k")).alias("signalsCountPerHour"))
-    g = e.where("event_id % 2 = 0").groupBy("entity").agg(F.collect_list(fuel).alias("fuels"))
+    g = e.groupBy("entity").agg(F.collect_list(fuel).alias("fuels"))
     row = F.struct(F.when(F.col("entity") % 2 == 0, F.col("entity").cast("string")).alias("id"), F.when(F.col("entity") % 2 == 1, F.col("entity").cast("string")).alias("businessId"), F.array(F.lit(44.5), F.when(F.col("entity") % 13 > 0, F.lit(48.7))).alias("coordinates"), "fuels", F.lit(5).alias("updatedAt"))
     return g.select(row.alias("r"), (F.col("entity") % 50).alias("b")).groupBy("b").agg(F.to_json(F.struct(F.collect_list("r").alias("items"))).alias("payload")).select(F.lit("tree").alias("source"), F.lit(V.NOW).alias("fetched_at"), "payload")
 
 
-@query("a4_state_tree", f"WITH {V.EVENTS} SELECT entity::VARCHAR AS station, 'g' || k % 4 AS fuel, event_type AS status, CASE WHEN k % 2 = 0 THEN k::DOUBLE END AS signals, CASE WHEN k % 3 > 0 THEN t::DOUBLE END AS at FROM e WHERE event_id % 2 = 0 AND entity % 13 > 0")
+@query("a4_state_tree", f"WITH {V.EVENTS} SELECT entity::VARCHAR AS station, 'g' || k % 4 AS fuel, event_type AS status, CASE WHEN k % 2 = 0 THEN k::DOUBLE END AS signals, CASE WHEN k % 3 > 0 THEN t::DOUBLE END AS at FROM e WHERE entity % 13 > 0")
 def a4(spark, sf):
     return P.state_tree(tree_payloads(spark, sf)).select("station", "fuel", "status", "signals", "at")
 
