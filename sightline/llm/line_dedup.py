@@ -238,4 +238,25 @@ def op3_line_dedup(spark, sf_dir):
 
 
 QUERIES = {"op3_line_dedup": op3_line_dedup}
-ORACLES: dict[str, str] = {}
+
+ORACLE = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS line_no, ls[i] AS line, list_filter(regexp_split_to_array(ls[i], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS u(i)
+), e AS (SELECT *, row(doc_id, line_no) AS pos FROM l WHERE len(w) >= 5
+), f AS (SELECT pos, array_to_string(w, ' ') AS key FROM e
+), v AS (SELECT pos, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS key, i AS place FROM e, unnest(range(1, len(w) + 1)) AS u(i)
+), fm AS (SELECT key, min(pos) AS m FROM f GROUP BY 1
+), vp AS (SELECT key, place, min(pos) AS m FROM v GROUP BY 1, 2
+), vk AS (SELECT key, min(m) AS m FROM vp GROUP BY 1
+), gone AS (
+  SELECT pos FROM f JOIN fm USING (key) WHERE m < pos UNION SELECT pos FROM v JOIN vp USING (key, place) WHERE m < pos
+  UNION SELECT pos FROM v JOIN fm USING (key) WHERE m < pos UNION SELECT pos FROM f JOIN vk USING (key) WHERE m < pos
+), per AS (
+  SELECT l.doc_id, count(*) FILTER (len(w) >= 5) AS n_lines, count(g.pos) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (g.pos IS NULL), '') AS text
+  FROM l LEFT JOIN gone g ON g.pos = row(l.doc_id, l.line_no) GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(per.text, d.text) AS text FROM documents d LEFT JOIN per ON per.doc_id = d.doc_id
+"""
+
+ORACLES = {"op3_line_dedup": ORACLE}

@@ -1,7 +1,7 @@
 """Token-ID output: Parquet files of token lists with chosen encoding, row groups and page indexes.
 
-`write_tokens` tokenises every text (tokenizers library, Arrow batches, texts cut at safe places so that memory does
-not follow the longest one), range-partitions by id, and writes one row per document, in ascending id order within and
+`write_tokens` tokenises every text (tokenizers library, Arrow batches; texts are cut where a pre-token is sure to begin,
+so that memory does not follow the longest one and repeated words are encoded once), range-partitions by id, and writes one row per document, in ascending id order within and
 across parts: `part`, `doc_id`, `n_tokens`, `tokens`. Token lists are delta-encoded (or dictionary-encoded), row groups
 hold a set number of bytes, pages are small, and the writer adds page indexes; so a reader that asks for a few
 documents, or for the counts alone, reads little. `read_tokens` reads them, with `start`, the number of ids before each
@@ -14,66 +14,113 @@ table gives files without rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sightline.llm.kernels import batches
+from sightline.llm.kernels import batches, lut, text_bytes
 from sightline.tables import Scratch, table
 
+MEMORY = 600_000  # remembered parts in a worker, of at most SHORT bytes each
+SHORT = 40
+
 _tokenizers: dict[str, object] = {}
-#: A space between ASCII letters: no match of the pre-tokenizer's pattern runs across the place before it.
-_SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+_seen: dict[str, dict[bytes, bytes]] = {}
+_widths: dict[str, np.ndarray] = {}
+SOLID, LETTER = lut(bytes(range(0x21, 0x7F))), lut(bytes([*range(65, 91), *range(97, 123)]))
+
+
+def safe_parts(raw: bytes) -> list[bytes]:
+    """A text in parts that the library encodes as it encodes the whole.
+
+    Cut before a space or newline that stands between a character that is no white space and a letter (ASCII or
+    U+00C0 to U+00FF): the pre-tokenizer's pattern always begins a match there.
+    """
+    a, n = np.frombuffer(raw, np.uint8), len(raw)
+    at = np.flatnonzero((a == 32) | (a == 10))
+    at = at[(at > 0) & (at < n - 1)]
+    before, after, then = a[at - 1], a[at + 1], a[np.minimum(at + 2, n - 1)]
+    solid = SOLID[before] | ((before >= 0x80) & (a[np.maximum(at - 2, 0)] == 0xC3))
+    letter = LETTER[after] | ((after == 0xC3) & (then != 0x97) & (then != 0xB7))
+    cuts = [0, *at[solid & letter].tolist(), n]
+    return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-def safe_cuts(text: str, size: int) -> list[str]:
-    """The text in parts of at least `size` characters, cut only where tokens cannot change."""
-    out, at = [], 0
-    while len(text) - at > size:
-        found = _SAFE.search(text, at + size)
-        if not found:
-            break
-        out.append(text[at : found.start()])
-        at = found.start()
-    return [*out, text[at:]]
+def may_follow(part: bytes) -> bool:
+    """Whether a part begins and ends as parts do between two cuts."""
+    begins = part[:1] in (b" ", b"\n") and len(part) > 1 and (bool(LETTER[part[1]]) or (part[1] == 0xC3 and part[2] not in (0x97, 0xB7)))
+    return begins and (bool(SOLID[part[-1]]) or (len(part) > 2 and part[-2] == 0xC3))
 
 
 def tokenizer(path: str):
     if path not in _tokenizers:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
         made.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
         _tokenizers[path] = made
+        _seen[path] = {}
+        vocabulary = made.get_vocab()
+        # A token of a byte-level vocabulary is written with one character for each of its bytes.
+        _widths[path] = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        _widths[path][list(vocabulary.values())] = [len(t) for t in vocabulary]
     return _tokenizers[path]
 
 
+def encode_missing(made, widths: np.ndarray, parts: set[bytes]) -> dict[bytes, bytes]:
+    """Ids of each part. Parts that may follow each other are encoded as one text, and told apart by token widths."""
+    some, alone = [], []
+    for p in parts:
+        (some if may_follow(p) else alone).append(p)
+    out = {}
+    for k in range(0, len(alone), 256):
+        rows = alone[k : k + 256]
+        out |= {p: np.array(e.ids, "<i4").tobytes() for p, e in zip(rows, made.encode_batch_fast([p.decode() for p in rows], add_special_tokens=False), strict=True)}
+    for k in range(0, len(some), 4096):
+        rows = some[k : k + 4096]
+        (coded,) = made.encode_batch_fast([b"".join(rows).decode()], add_special_tokens=False)
+        ids = np.array(coded.ids, "<i4")
+        ends, stops = np.cumsum(widths[ids]), np.cumsum([len(p) for p in rows])
+        at = np.searchsorted(ends, stops) + 1
+        if not np.array_equal(ends[at - 1], stops):
+            raise RuntimeError("a token runs across a place where a pre-token begins")
+        raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
+        out |= {p: raw[i:j] for p, i, j in zip(rows, cuts, cuts[1:], strict=False)}
+    return out
+
+
+def encode_texts(path: str, texts: list[bytes]) -> list[bytes]:
+    """Ids of each text as little-endian 32-bit integers.
+
+    The library encodes a part once; a worker remembers short parts, and empties that memory when it is full.
+    """
+    made = tokenizer(path)
+    seen = _seen[path]
+    cut = [safe_parts(t) for t in texts]
+    known = [list(map(seen.get, c)) for c in cut]
+    found = encode_missing(made, _widths[path], {p for c, r in zip(cut, known, strict=True) if None in r for p, x in zip(c, r, strict=True) if x is None})
+    if len(seen) + len(found) > MEMORY:
+        seen.clear()
+    seen |= {p: ids for p, ids in found.items() if len(p) <= SHORT}
+    return [b"".join([found[p] if x is None else x for p, x in zip(c, r, strict=True)]) for c, r in zip(cut, known, strict=True)]
+
+
 def encoder(path: str, end_id: int):
     """A mapInArrow function: (doc_id, text) to (doc_id, n_tokens, tokens)."""
+    end = np.array([end_id], "<i4").tobytes()
 
     def run(stream):
-        made = tokenizer(path)
         for batch in stream:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            texts = text_bytes(batch.column(1))
             for a, b in batches([len(t) for t in texts], 1 << 18):
-                cut = [safe_cuts(t, 1 << 18) for t in texts[a:b]]
-                flat = [p for c in cut for p in c]
-                ids = [np.array(e.ids, np.int32) for k in range(0, len(flat), 64) for e in made.encode_batch_fast(flat[k : k + 64], add_special_tokens=False)]
-                counts = np.zeros(b - a, np.int64)
-                parts, at = [], 0
-                for i, c in enumerate(cut):
-                    mine = ids[at : at + len(c)]
-                    at += len(c)
-                    parts += [*mine, np.array([end_id], np.int32)]
-                    counts[i] = sum(map(len, mine)) + 1
+                ids = [x + end for x in encode_texts(path, texts[a:b])]
+                counts = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), tokens], names=["doc_id", "n_tokens", "tokens"])
 
     return run

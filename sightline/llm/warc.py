@@ -114,6 +114,28 @@ def write_warc(records: DataFrame, path: str) -> None:
     warc_text(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+def read_responses(spark, path: str, version: str = "WARC/1.1") -> DataFrame:
+    """Response records of WARC files: record_id, target_uri, warc_date, http_head, payload, complete.
+
+    Spark's text reader cuts the files at the version line, so plain files are split among tasks and gzipped ones are
+    streamed; no file is held in memory. `complete` is false where the block is shorter or longer than its
+    Content-Length says, as when a payload holds a version line of its own; callers decide what to do with those.
+    """
+    raw = spark.read.option("lineSep", version + "\r\n").text(path).where("value <> ''")
+    at = F.instr("value", "\r\n\r\n")
+    cut = raw.where(at > 0).select(F.expr("left(value, instr(value, '\r\n\r\n') - 1)").alias("head"), F.expr("substr(value, instr(value, '\r\n\r\n') + 4)").alias("rest"))
+    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+    size = field("Content-Length").try_cast("long")
+    block = F.regexp_replace("rest", r"\r\n\r\n$", "")
+    seen = cut.where(F.lower(field("WARC-Type")) == "response").withColumns({"block": block, "size": size})
+    split = F.instr("block", "\r\n\r\n")
+    return seen.select(
+        field("WARC-Record-ID").alias("record_id"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("warc_date"),
+        F.when(split > 0, F.expr("left(block, instr(block, '\r\n\r\n') + 1)")).otherwise(F.col("block")).alias("http_head"),
+        F.when(split > 0, F.expr("substr(block, instr(block, '\r\n\r\n') + 4)")).otherwise("").alias("payload"), F.coalesce(F.octet_length("block") == F.col("size"), F.lit(False)).alias("complete"),
+    )
+
+
 def op1_warc_derivatives(spark, sf_dir):
     records = derive(responses_of(table(spark, sf_dir, "pages")))
     return records.select("page_id", "record_type", "derived_id", "refers_to", "concurrent_to", "target_uri", "content_type", "source_headers", "payload_digest", "block_digest", "block")

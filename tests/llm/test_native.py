@@ -142,6 +142,23 @@ def test_records_refer_and_files_read_back(spark, tmp_path):
     assert W.derive(W.responses_of(pages.limit(0))).count() == 0
 
 
+def test_responses_read_from_files(spark, tmp_path):
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>one</p>\r\n\r\n<p>zwei ü</p>"
+    record = lambda kind, i, block, n=None: f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{i}>\r\nWARC-Target-URI: http://a/{i}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {n or len(block.encode())}\r\n\r\n{block}\r\n\r\n"
+    text = record("warcinfo", 0, "software: x\r\n") + record("response", 1, http) + record("request", 2, "GET / HTTP/1.1\r\n\r\n") + record("response", 3, "HTTP/1.1 204 No Content\r\n\r\n") + record("response", 4, http, 5)
+    (tmp_path / "a.warc").write_bytes(text.encode())
+    with gzip.open(tmp_path / "b.warc.gz", "wb") as f:
+        f.write(text.replace("urn:x:", "urn:z:").encode())
+    got = {r.record_id: r for r in W.read_responses(spark, f"file://{tmp_path}").collect()}
+    assert len(got) == 6
+    for kind in "xz":
+        one = got[f"<urn:{kind}:1>"]
+        assert one.complete and one.payload == "<p>one</p>\r\n\r\n<p>zwei ü</p>" and one.http_head == "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"
+        assert one.target_uri == "http://a/1" and got[f"<urn:{kind}:3>"].payload == "" and not got[f"<urn:{kind}:4>"].complete
+    meta = W.derive(W.read_responses(spark, f"file://{tmp_path}")).where("record_type = 'metadata'").collect()
+    assert all("source-header: Content-Type: text/html\r\n" in r.block for r in meta if r.refers_to.endswith(":1>"))
+
+
 # URL rules
 
 

@@ -33,13 +33,21 @@ def theirs():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_safe_cuts_keep_the_ids(made):
+def test_safe_parts_keep_the_ids(made):
     R = random.Random(1)
-    for _ in range(300):
-        text = "".join(R.choice(["it's", "ab", " ", "  ", "\n", "é", "don't", " x", "9", "!", "<|endoftext|>"]) for _ in range(80))
-        parts = F.safe_cuts(text, 20)
-        assert "".join(parts) == text
-        assert [i for p in parts for i in made.encode(p, add_special_tokens=False).ids] == made.encode(text, add_special_tokens=False).ids
+    for _ in range(3000):
+        text = "".join(R.choice(["it's", "ab", " ", "  ", "\n", "é", "don't", " x", "9", "!", "\u3000", "×", "÷y", " à", "\x1c", "\u00a0", "<|endoftext|>"]) for _ in range(80))
+        parts = F.safe_parts(text.encode())
+        assert b"".join(parts) == text.encode()
+        assert [i for p in parts for i in made.encode(p.decode(), add_special_tokens=False).ids] == made.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_is_bounded_and_does_not_change_the_ids(made, monkeypatch):
+    monkeypatch.setattr(F, "MEMORY", 50)
+    R = random.Random(6)
+    for _ in range(200):
+        texts = [" ".join("".join(R.choice("abcé") for _ in range(R.randint(1, 50))) for _ in range(R.randint(0, 30))) for _ in range(3)]
+        assert [np.frombuffer(x, "<i4").tolist() for x in F.encode_texts(JSON, [t.encode() for t in texts])] == [made.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def expected(made, rows):
