@@ -58,7 +58,7 @@ class Runs(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("run", "is_open boolean, negatives int, last string")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else (False, 0, None)
         is_open, negatives, last = held
         out = []
@@ -94,7 +94,7 @@ class Episodes(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("outage", "started timestamp, last timestamp")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         started, last = self.state.get() if self.state.exists() else (None, None)
         out = []
         for row in _rows(rows, "ts"):
@@ -120,7 +120,7 @@ class Episodes(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=["entity", "started", "restored", "minutes"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
         return iter(())
 
@@ -139,7 +139,7 @@ class Resumptions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("count", "at timestamp, count long, window double")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         at, count, window = self.state.get() if self.state.exists() else (None, None, None)
         out = []
         for row in _rows(rows, "ts"):
