@@ -163,9 +163,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cov
     scratch = Scratch(docs.sparkSession, "decontaminate")
     docs = docs.drop("contaminated", "item_id", "cover")
     found = matches(docs, benchmark, scratch, width, cover)
-    best = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.struct("cover", (-F.col("item_id")).alias("item"))).alias("b"))
+    best = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.struct("cover", (-F.col("item_id")).alias("item"))).alias("__b"))
     out = docs.join(best, F.col("doc_id") == F.col("__id"), "left")
-    return out.select(*docs.columns, F.col("b").isNotNull().alias("contaminated"), (-F.col("b.item")).alias("item_id"), F.col("b.cover").alias("cover"))
+    return out.select(*docs.columns, F.col("__b").isNotNull().alias("contaminated"), (-F.col("__b.item")).alias("item_id"), F.col("__b.cover").alias("cover"))
 
 
 def op5_decontamination(spark, sf_dir):

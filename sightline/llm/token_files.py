@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from sightline.llm.kernels import batches, lut, text_bytes
 from sightline.tables import Scratch, table
 
-MEMORY = 600_000  # remembered parts in a worker, of at most SHORT bytes each
+MEMORY = 800_000  # remembered parts in a worker, of at most SHORT bytes each
 SHORT = 40
 
 _tokenizers: dict[str, object] = {}
@@ -71,11 +71,8 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def encode_missing(made, widths: np.ndarray, parts: set[bytes]) -> dict[bytes, bytes]:
-    """Ids of each part. Parts that may follow each other are encoded as one text, and told apart by token widths."""
-    some, alone = [], []
-    for p in parts:
-        (some if may_follow(p) else alone).append(p)
+def encode_missing(made, widths: np.ndarray, some: list[bytes], alone: list[bytes]) -> dict[bytes, bytes]:
+    """Ids of each part. Parts that may follow each other (`some`) are encoded as one text, and told apart by token widths."""
     out = {}
     for k in range(0, len(alone), 256):
         rows = alone[k : k + 256]
@@ -102,7 +99,10 @@ def encode_texts(path: str, texts: list[bytes]) -> list[bytes]:
     seen = _seen[path]
     cut = [safe_parts(t) for t in texts]
     known = [list(map(seen.get, c)) for c in cut]
-    found = encode_missing(made, _widths[path], {p for c, r in zip(cut, known, strict=True) if None in r for p, x in zip(c, r, strict=True) if x is None})
+    new = {p for c, r in zip(cut, known, strict=True) if None in r for p, x in zip(c, r, strict=True) if x is None}
+    # Parts between two cuts may follow each other; the first and last of a text need not.
+    alone = {c[k] for c in cut for k in (0, -1) if c[k] in new and not may_follow(c[k])}
+    found = encode_missing(made, _widths[path], list(new - alone), list(alone))
     if len(seen) + len(found) > MEMORY:
         seen.clear()
     seen |= {p: ids for p, ids in found.items() if len(p) <= SHORT}

@@ -98,8 +98,8 @@ def derive(responses: DataFrame) -> DataFrame:
     names = ["record_type", "derived_id", "concurrent_to", "content_type", "block"]
     fresh = {*names, "refers_to", "block_digest", "payload_digest", "source_headers", "record_id", "payload", "http_head"}
     kept = [c for c in responses.columns if c not in fresh]
-    out = made.select(*kept, F.col("__id").alias("refers_to"), F.col("__digest").alias("payload_digest"), F.col("http_head").alias("source_headers"), F.explode(both).alias("r"))
-    return out.select(*kept, "refers_to", "payload_digest", "source_headers", *[F.col(f"r.{n}").alias(n) for n in names]).withColumn("block_digest", digest(F.col("block")))
+    out = made.select(*kept, F.col("__id").alias("refers_to"), F.col("__digest").alias("payload_digest"), F.col("http_head").alias("source_headers"), F.explode(both).alias("__r"))
+    return out.select(*kept, "refers_to", "payload_digest", "source_headers", *[F.col(f"__r.{n}").alias(n) for n in names]).withColumn("block_digest", digest(F.col("block")))
 
 
 def warc_text(records: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ PLAIN = "How many hours does it take to fill the tank when both pipes are open a
 
 
 def run(spark, docs, items):
-    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id long, text string, item_id string, extra string")
+    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id long, text string, item_id string, b string")
     out = D.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string"))
-    assert out.columns == ["doc_id", "text", "extra", "contaminated", "item_id", "cover"]
+    assert out.columns == ["doc_id", "text", "b", "contaminated", "item_id", "cover"]
     return {r.doc_id: (r.contaminated, r.item_id) for r in out.collect()}
 
 

@@ -120,7 +120,7 @@ def test_plain_text(spark):
 
 def test_records_refer_and_files_read_back(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a.example/x", PAGE), (2, None, None), (2, None, None)], "page_id long, url string, html string")
-    records = W.derive(W.responses_of(pages).withColumn("block", F.lit("clash")))
+    records = W.derive(W.responses_of(pages).withColumns({"block": F.lit("clash"), "r": F.lit("clash")}))
     got = records.collect()
     assert len(got) == 6 and {r.record_type for r in got} == {"metadata", "conversion"}
     by_id = {r.derived_id: r for r in got}
