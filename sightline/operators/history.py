@@ -53,9 +53,8 @@ def distinct_ticks_with_gap(ticks: DataFrame) -> DataFrame:
 def collection_gaps(ticks: DataFrame, interval: int, k: int = 5) -> DataFrame:
     """The k longest pauses of more than three intervals between ticks, with the number of all such pauses."""
     gaps = distinct_ticks_with_gap(ticks).where(F.col("tick") - F.col("before") > GAP * interval)
-    total = gaps.agg(F.count("*").alias("gaps"))
     longest = gaps.select(F.col("before").alias("gap_from"), F.col("tick").alias("gap_to"), (F.col("tick") - F.col("before")).alias("minutes")).orderBy(F.desc("minutes"), "gap_from").limit(k)
-    return longest.crossJoin(F.broadcast(total))  # one row by construction
+    return longest.withColumn("gaps", gaps.agg(F.count("*")).scalar())
 
 
 def health_shares(health: DataFrame) -> DataFrame:
@@ -96,8 +95,7 @@ def current_run(ticks: DataFrame, interval: int) -> DataFrame:
     starts = (F.col("tick") - F.lag("tick").over(w) > GAP * interval) | (F.lag("state").over(w) != F.col("state")) | F.lag("state").over(w).isNull()
     marked = marked.withColumn("start", F.when(starts, F.col("tick")))
     agg = marked.groupBy("entity").agg(F.max_by("state", "tick").alias("state"), F.max("start").alias("since"), F.max("tick").alias("seen"))
-    last = ticks.agg(F.max("tick").alias("last"))
-    return agg.crossJoin(F.broadcast(last)).select("entity", "state", "since", (F.col("seen") == F.col("last")).alias("visible"))  # one row by construction
+    return agg.select("entity", "state", "since", (F.col("seen") == ticks.agg(F.max("tick")).scalar()).alias("visible"))
 
 
 def current_negative_start(ticks: DataFrame, interval: int) -> DataFrame:

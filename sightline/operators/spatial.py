@@ -187,9 +187,8 @@ def anchor_drift(anchors: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def within_ceiling(rows: DataFrame, most: int) -> DataFrame:
     """rows, or an error if there are more than `most` (checked when the rows are read)."""
-    total = rows.agg(F.count("*").alias("__n"))
-    checked = rows.crossJoin(F.broadcast(total))  # one row by construction
-    return checked.where(F.when(F.col("__n") > most, F.raise_error(F.concat(F.lit("too many rows: "), F.col("__n").cast("string"))).cast("boolean")).otherwise(True)).drop("__n")
+    total = rows.agg(F.count("*")).scalar()
+    return rows.where(F.when(total > most, F.raise_error(F.lit(f"more than {most} rows")).cast("boolean")).otherwise(True))
 
 
 def text_search(rows: DataFrame, query: str, columns: list[str], keys: str | None = None) -> DataFrame:
@@ -205,5 +204,5 @@ def text_search(rows: DataFrame, query: str, columns: list[str], keys: str | Non
 
 def latest_scope(ticks: DataFrame) -> DataFrame:
     """Ticks of the latest tick's (area, query) only."""
-    last = ticks.agg(F.max_by(F.struct("area", "query"), "tick").alias("s")).select("s.*")
-    return ticks.join(F.broadcast(last), ["area", "query"], "left_semi")  # one row by construction
+    last = ticks.agg(F.max_by(F.struct("area", "query"), "tick")).scalar()
+    return ticks.where(F.struct("area", "query") == last)
