@@ -130,7 +130,7 @@ def brand(name: Column, alias: Column, title: Column, label: Column, ident: Colu
 
 
 def joined_brands(labels: Column) -> Column:
-    return F.array_join(F.array_distinct(F.filter(F.transform(labels, F.btrim), lambda x: x != "")), " / ")
+    return F.array_join(F.array_distinct(F.filter(F.transform(labels, lambda x: F.btrim(x)), lambda x: x != "")), " / ")
 
 
 def litre_limit(text: Column) -> tuple[Column, Column]:

@@ -26,7 +26,7 @@ def grades(text: Column) -> Column:
 
 def fuel_segments(text: Column) -> Column:
     """The segments of a card (between ·) in which every token is a fuel token, joined by commas."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "·"), F.btrim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "·"), lambda s: F.btrim(s))
     tokens = lambda s: F.filter(F.split(s, r"[,;/]|\s+"), lambda t: t != "")
     return F.array_join(F.filter(parts, lambda s: (F.size(tokens(s)) > 0) & F.forall(tokens(s), lambda t: t.rlike(FUEL_TOKEN))), ", ")
 
