@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from sightline.llm.kernels import batches
 from sightline.tables import table
 
-MEMORY = 400_000  # remembered pre-tokens in a worker, of at most SHORT bytes each
+MEMORY = 800_000  # remembered pre-tokens in a worker, of at most SHORT bytes each
 SHORT = 40
 
 
@@ -82,53 +82,76 @@ class Coder:
         # White space is the Unicode property, as in the engine that the public library uses.
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.queue = RankQueue(max(self.ranks.values()) + 1)
-        self.seen: dict[str, tuple[list[int], bytes, bytes]] = {}
+        self.seen: dict[str, tuple[int, bytes, bytes]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
+        """Ids of one pre-token. The queue's steps stand inline here: a call for each would take most of the time."""
+        ranks, get = self.ranks, self.ranks.get
         if piece in ranks:
             return [ranks[piece]]
+        low, mid, buckets, top = self.queue.low, self.queue.mid, self.queue.buckets, 0
         n = len(piece)
         ends = list(range(1, n + 1))  # the symbol at a position ends there; 0 marks a symbol that was merged away
         before = list(range(-1, n - 1))
         pair = [-1] * n  # rank of the pair that begins at a position
+        fresh = []
         for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
+            if (r := get(piece[i : i + 2])) is not None:
                 pair[i] = r
-                queue.push(r, i)
-        while (rank := queue.first()) >= 0:
-            bucket = queue.take(rank)
-            while bucket:
+                fresh.append(i)
+        while True:
+            for i in fresh:  # push
+                if (r := pair[i]) < 0:
+                    continue
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    low[r >> 6] |= 1 << (r & 63)
+                    mid[r >> 12] |= 1 << (r >> 6 & 63)
+                    top |= 1 << (r >> 12)
+            if not top:
+                break
+            b = (top & -top).bit_length() - 1  # find the first set bit of each level
+            m = mid[b]
+            a = (b << 6) + (m & -m).bit_length() - 1
+            w = low[a]
+            rank = (a << 6) + (w & -w).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                bucket.sort(reverse=True)
+            fresh = []
+            least = rank
+            while bucket and least == rank:  # a new pair of smaller rank goes first; what is left waits
                 i = bucket.pop()
                 if pair[i] != rank or not ends[i]:
                     continue  # stale
                 j = ends[i]
                 ends[i] = k = ends[j]
                 ends[j] = 0
-                pair[j] = -1
-                lower = False
+                pair[i] = pair[j] = -1
                 if k < n:
                     before[k] = i
-                    r = ranks.get(piece[i : ends[k]])
-                    pair[i] = -1 if r is None else r
-                    if r is not None:
-                        queue.push(r, i)
-                        lower = r < rank
-                else:
-                    pair[i] = -1
-                p = before[i]
-                if p >= 0:
-                    r = ranks.get(piece[p:k])
-                    pair[p] = -1 if r is None else r
-                    if r is not None:
-                        queue.push(r, p)
-                        lower |= r < rank
-                if lower and bucket:  # a smaller rank goes first; what is left of this bucket waits
-                    for x in reversed(bucket):
-                        queue.push(rank, x)
-                    break
+                    if (r := get(piece[i : ends[k]])) is not None:
+                        pair[i] = r
+                        fresh.append(i)
+                        if r < least:
+                            least = r
+                if (p := before[i]) >= 0:
+                    if (r := get(piece[p:k])) is None:
+                        pair[p] = -1
+                    else:
+                        pair[p] = r
+                        fresh.append(p)
+                        if r < least:
+                            least = r
+            if not bucket:
+                del buckets[rank]
+                low[a] ^= 1 << (rank & 63)
+                if not low[a]:
+                    mid[b] ^= 1 << (a & 63)
+                    if not mid[b]:
+                        top ^= 1 << b
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : ends[i]]])
@@ -139,13 +162,13 @@ class Coder:
         tokens = self.tokens
         return b"".join([tokens[i] for i in ids])
 
-    def piece(self, text: str) -> tuple[list[int], bytes, bytes]:
-        """Of one pre-token: ids, the ids in decimal (space-joined), and the bytes that the ids decode to."""
+    def piece(self, text: str) -> tuple[int, bytes, bytes]:
+        """Of one pre-token: number of ids, the ids in decimal (space-joined), and the bytes that the ids decode to."""
         found = self.seen.get(text)
         if found is None:
             raw = text.encode()
             ids = self.merge(raw)
-            found = (ids, " ".join(map(str, ids)).encode(), self.decode(ids))
+            found = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids))
             if len(raw) <= SHORT:
                 if len(self.seen) >= MEMORY:
                     self.seen.clear()
@@ -153,7 +176,7 @@ class Coder:
         return found
 
     def encode(self, text: str) -> list[int]:
-        return [i for m in self.pattern.finditer(text) for i in self.piece(m.group())[0]]
+        return [int(i) for m in self.pattern.finditer(text) for i in self.piece(m.group())[1].split()]
 
 
 _coders: dict[tuple[str, str], Coder] = {}
@@ -182,13 +205,14 @@ def summary(made: Coder, text: str, with_ids: bool, part: int = 4096) -> tuple[i
     n, ids, coded, back = 0, [], Digest(b" "), Digest(b"")
     decimals: list[bytes] = []
     decoded: list[bytes] = []
+    seen, piece = made.seen.get, made.piece
     for m in made.pattern.finditer(text):
-        own, decimal, raw = made.piece(m.group())
-        n += len(own)
+        count, decimal, raw = seen(m[0]) or piece(m[0])
+        n += count
         decimals.append(decimal)
         decoded.append(raw)
         if with_ids:
-            ids += own
+            ids += map(int, decimal.split())
         if len(decimals) == part:
             coded.feed(decimals)
             back.feed(decoded)
