@@ -150,7 +150,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width: int
     ours = items.select("item_id", "key", F.col("kinds").alias("their_kinds"), F.col("slots").alias("theirs")).distinct()
     joined = seen.join(ours, "key").where(F.col("kinds") == F.col("their_kinds"))
     slots = F.array_distinct(F.zip_with("theirs", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    hit = joined.select("doc_id", "item_id", "key", slots.alias("slots"))
+    # Three aggregations read the hits; written, they cost one pass over the texts.
+    hit = scratch.keep(joined.select("doc_id", "item_id", "key", slots.alias("slots")))
     covered = hit.groupBy("doc_id", "item_id").agg(F.count_distinct("key").alias("k")).join(totals, "item_id").where(F.col("k") >= F.col("total") * cover)
     filled = hit.join(covered.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", F.explode("slots").alias("s")).distinct()
     either = lambda end: filled.groupBy("doc_id", "item_id", f"s.{end}").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "item_id")
