@@ -3,14 +3,17 @@ r"""Benchmark decontamination by template canonicalisation.
 Texts become templates: numbers, names (capitalised words inside a sentence) and units after numbers turn into typed
 placeholders, other words are lowered; neighbouring placeholders of one type count as one slot. Windows of `WIDTH`
 template tokens, of which at least half are words, are hashed. Document windows that an exact bitmap of the
-benchmark's hashes admits (a fixed 2 MB, no false negatives) are joined to the benchmark's windows by hash. For each
-document and item, the slots of the joined windows must be filled consistently: one value of the item stands for one
-value of the document, and the other way round. A document is contaminated by an item when its windows cover at least
-`COVER` of the item's different windows and the slots are consistent; so a question with other numbers or names is
-caught, and one that shares phrases is not.
+benchmark's hashes admits (a fixed 2 MB, no false negatives) are joined to the benchmark's windows by hash. The slots
+of the joined windows must be filled consistently: one value of the item stands for one value of the document, and the
+other way round. A document is contaminated by an item when windows of it cover at least `COVER` of the item's
+different windows and their slots are consistent; so a question with other numbers or names is caught, and one that
+shares phrases is not. The windows are all of the document's or, where those are at odds, the ones of one occurrence:
+for a shift (place in the document less place in the item), the nearest window for each place of the item, within a
+band of 0, a window's or the item's length. So what else a document holds does not clear a copy in it.
 
 Items of fewer tokens than a window are one window. Nulls: null texts have no windows; rows with a null id are kept
-and not judged, items with a null id are ignored. Repeated rows of one doc_id share one judgement. Ties: of several items, the best covered is reported,
+and not judged, items with a null id are ignored. Repeated rows of one doc_id share one judgement; different texts of
+one item_id are judged each for itself. Ties: of several items, the best covered is reported,
 then the one with the least item_id. Empty documents or an empty benchmark contaminate nothing. Extra columns of the
 documents are kept; `contaminated`, `item_id` and `cover` are added (replacing columns so named).
 """
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sightline.llm.kernels import LOWER, hash_spans, lut, mix, pieces, prefix_sums, sequence_hash, spans
@@ -102,7 +106,7 @@ class Template:
         return self.kind[part][at].tolist(), self.value[part][at].view(np.int64).tolist()
 
 
-WINDOWS = "row long, n int, key long, kinds array<int>, slots array<long>"
+WINDOWS = "row long, copy long, n int, start int, key long, kinds array<int>, slots array<long>"
 
 
 def windows_of(width: int, sizes: list[int] | None, bitmap: np.ndarray | None):
@@ -112,7 +116,8 @@ def windows_of(width: int, sizes: list[int] | None, bitmap: np.ndarray | None):
         for batch in stream:
             out: list[tuple] = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = Template((text or "").encode())
+                raw = (text or "").encode()
+                made, copy = Template(raw), None
                 for size in sizes or [width]:
                     if sizes and len(made.token) < size:
                         continue
@@ -122,7 +127,9 @@ def windows_of(width: int, sizes: list[int] | None, bitmap: np.ndarray | None):
                         admitted = bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1 == 1
                         starts, keys = starts[admitted], keys[admitted]
                     n = len(made.token)
-                    out += [(row, n, key, *made.slots(a, size)) for a, key in zip(starts.tolist(), keys.view(np.int64).tolist(), strict=True)]
+                    if copy is None and len(keys):
+                        copy = xxhash.xxh64_intdigest(raw) - (1 << 63)
+                    out += [(row, copy, n, a, key, *made.slots(a, size)) for a, key in zip(starts.tolist(), keys.view(np.int64).tolist(), strict=True)]
                 if len(out) > 20_000:
                     yield rows_batch(out)
                     out = []
@@ -133,30 +140,74 @@ def windows_of(width: int, sizes: list[int] | None, bitmap: np.ndarray | None):
 
 
 def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["row", "n", "key", "kinds", "slots"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["row", "copy", "n", "start", "key", "kinds", "slots"])
+
+
+def consistent(slots: list[tuple[int, int]]) -> bool:
+    """Whether each value of the item stands for one of the document, and the other way round."""
+    found = set(slots)
+    return len({a for a, _ in found}) == len(found) == len({b for _, b in found})
+
+
+def best_occurrence(at: np.ndarray, place: np.ndarray, key: list, slots: list, n: int, least: float, width: int) -> int:
+    """Most different keys of one occurrence with consistent slots, 0 if none has `least`.
+
+    Hits are windows `at` of a text that equal windows at `place` of an item of n tokens; slots: (item's, document's).
+    """
+    shift = at - place
+    order = np.lexsort((at, shift))
+    shift, place, best = shift[order], place[order].tolist(), 0
+    seeds = np.unique(shift)
+    for band in (0, width, n):
+        lows, highs = np.searchsorted(shift, seeds - band), np.searchsorted(shift, seeds + band, "right")
+        for seed, a, b in zip(seeds, lows, highs, strict=True):
+            if b - a <= best or b - a < least:
+                continue
+            chosen: dict[int, int] = {}
+            for i in (a + np.argsort(np.abs(shift[a:b] - seed), kind="stable")).tolist():
+                chosen.setdefault(place[i], order[i])
+            keys = {key[i] for i in chosen.values()}
+            if len(keys) > best and len(keys) >= least and consistent([x for i in chosen.values() for x in slots[i]]):
+                best = len(keys)
+    return best
+
+
+def occurrences(width: int, cover: float):
+    """applyInArrow over the hits of one text and one item's text: (doc_id, item_id, cover) if an occurrence passes."""
+
+    def run(hits: pa.Table) -> pa.Table:
+        total, n = hits["total"][0].as_py(), hits["n"][0].as_py()
+        slots = [list(zip(a, b, strict=True)) for a, b in zip(hits["theirs"].to_pylist(), hits["slots"].to_pylist(), strict=True)]
+        k = best_occurrence(hits["at"].to_numpy().astype(np.int64), hits["place"].to_numpy().astype(np.int64), hits["key"].to_pylist(), slots, n, total * cover, width)
+        return hits.select(["doc_id", "item_id"]).slice(0, k > 0).append_column("cover", pa.array([k / total][: k > 0], pa.float64()))
+
+    return run
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width: int = WIDTH, cover: float = COVER) -> DataFrame:
     """Rows (doc_id, item_id, cover) of the contaminated pairs; docs (doc_id, text), benchmark (item_id, text)."""
-    items = scratch.keep(benchmark.select("item_id", "text").where("item_id is not null").distinct().mapInArrow(windows_of(width, None, None), WINDOWS).withColumnRenamed("row", "item_id"))
-    totals = items.groupBy("item_id").agg(F.count_distinct("key").alias("total"))
+    items = scratch.keep(benchmark.select("item_id", "text").where("item_id is not null").distinct().mapInArrow(windows_of(width, None, None), WINDOWS).withColumnsRenamed({"row": "item_id", "copy": "wording"}))
+    item, pair = ["item_id", "wording"], ["doc_id", "item_id", "wording"]
+    totals = items.groupBy(item).agg(F.count_distinct("key").alias("total"))
     low = F.col("key").bitwiseAND(F.lit((1 << BITMAP) - 1))
     bits = np.zeros(1 << BITMAP, bool)
     # At most 2 ** BITMAP different values, whatever the benchmark's size.
     bits[items.select(low.cast("int").alias("low")).distinct().toPandas()["low"].to_numpy()] = True
     short = sorted({min(r["n"], width) for r in items.select(F.least("n", F.lit(width)).alias("n")).distinct().collect()})
-    seen = docs.select("doc_id", "text").mapInArrow(windows_of(width, short or [width], np.packbits(bits, bitorder="little")), WINDOWS).withColumnRenamed("row", "doc_id")
-    ours = items.select("item_id", "key", F.col("kinds").alias("their_kinds"), F.col("slots").alias("theirs")).distinct()
-    joined = seen.join(ours, "key").where(F.col("kinds") == F.col("their_kinds"))
+    seen = docs.select("doc_id", "text").mapInArrow(windows_of(width, short or [width], np.packbits(bits, bitorder="little")), WINDOWS).withColumnRenamed("row", "doc_id").withColumnRenamed("start", "at").drop("n")
+    ours = items.select(*item, "n", "key", F.col("start").alias("place"), F.col("kinds").alias("their_kinds"), F.col("slots").alias("theirs"))
+    # Several aggregations read the hits; written, they cost one pass over the texts.
+    hit = scratch.keep(seen.join(ours, "key").where(F.col("kinds") == F.col("their_kinds")).drop("kinds", "their_kinds"))
+    covered = scratch.keep(hit.groupBy(pair).agg(F.count_distinct("key").alias("k")).join(totals, item).where(F.col("k") >= F.col("total") * cover))
     slots = F.array_distinct(F.zip_with("theirs", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    # Three aggregations read the hits; written, they cost one pass over the texts.
-    hit = scratch.keep(joined.select("doc_id", "item_id", "key", slots.alias("slots")))
-    covered = hit.groupBy("doc_id", "item_id").agg(F.count_distinct("key").alias("k")).join(totals, "item_id").where(F.col("k") >= F.col("total") * cover)
-    filled = hit.join(covered.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", F.explode("slots").alias("s")).distinct()
-    either = lambda end: filled.groupBy("doc_id", "item_id", f"s.{end}").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "item_id")
-    mixed = either("a").unionByName(either("b")).distinct()
-    return covered.join(mixed, ["doc_id", "item_id"], "left_anti").select("doc_id", "item_id", (F.col("k") / F.col("total")).alias("cover"))
+    filled = hit.join(covered.select(pair), pair, "left_semi").select(*pair, F.explode(slots).alias("s")).distinct()
+    either = lambda end: filled.groupBy(*pair, f"s.{end}").agg(F.count("*").alias("c")).where("c > 1").select(pair)
+    mixed = scratch.keep(either("a").unionByName(either("b")).distinct().join(covered.select(*pair, "total"), pair))
+    whole = covered.join(mixed, pair, "left_anti").select("doc_id", "item_id", (F.col("k") / F.col("total")).alias("cover"))
+    parts = hit.join(mixed, pair).dropDuplicates([*pair, "copy", "at", "place"])
+    one = parts.groupBy(*pair, "copy").applyInArrow(occurrences(width, cover), "doc_id long, item_id long, cover double")
+    return whole.unionByName(one).groupBy("doc_id", "item_id").agg(F.max("cover").alias("cover"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:

@@ -68,3 +68,18 @@ def test_unit_hashes():
 
     data = np.frombuffer(b"km", np.uint8)
     assert hash_spans(data, *spans(data))[0] in D._units
+
+
+TWICE = "Every day Tom has 3 apples and Ann has 5 apples and Bob has 7 apples and nobody else has any fruit"
+
+
+def test_an_occurrence_is_judged_for_itself(spark):
+    """What else a document holds, and windows that an item repeats, do not clear a copy."""
+    other = TWICE.replace("Tom", "Eve").replace("3", "44")
+    inserted = TWICE.replace("and nobody", "and of course nobody")
+    crossed = "Every day Tom has 3 apples and Tom has 5 apples and Tom has 7 apples and nobody else has any fruit"
+    changed = ITEM.replace("Boston", "Lisbon").replace("40", "65")
+    docs = [(1, "See: " + TWICE), (2, TWICE + ". Then it went on. " + other), (3, other), (4, "so " + inserted), (5, crossed)]
+    docs += [(6, ITEM + ". " + changed), (7, ITEM + ", but a train leaves Madrid at 9 miles an hour"), (8, "None of it. " * 3), (9, TWICE), (9, "And " + other)]
+    got = run(spark, docs, [(1, TWICE), (2, ITEM), (3, "Another wording"), (3, ITEM)])
+    assert got == {1: (True, 1), 2: (True, 1), 3: (True, 1), 4: (True, 1), 5: (False, None), 6: (True, 2), 7: (True, 2), 8: (False, None), 9: (True, 1)}
