@@ -11,6 +11,10 @@ shares phrases is not. The windows are all of the document's or, where those are
 for a shift (place in the document less place in the item), the nearest window for each place of the item, within a
 band of 0, a window's or the item's length. So what else a document holds does not clear a copy in it.
 
+A capitalised word that begins a sentence may be a name or not. Texts are read both ways, all such words as words and
+all as names; the windows of a reading meet those of the same reading only, and either can contaminate.
+The cover is the first reading's where that contaminates.
+
 Items of fewer tokens than a window are one window. Nulls: null texts have no windows; rows with a null id are kept
 and not judged, items with a null id are ignored. Repeated rows of one doc_id share one judgement; different texts of
 one item_id are judged each for itself. Ties: of several items, the best covered is reported,
@@ -37,6 +41,7 @@ UNITS = "mm cm m km in ft mi inch inches foot feet yard yards mile miles metre m
 WORD = ~lut(bytes(set(range(128)) - set(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")))
 STOPS, DIGIT, UPPER = lut(b".!?:;\n"), lut(b"0123456789"), lut(bytes(range(65, 91)))
 NUM, NAME, UNIT = 1, 2, 3
+OTHER = np.uint64(0x2545F4914F6CDD1D)  # sets the keys of the second reading apart
 TAG = mix(np.array([0, 11, 22, 33], np.uint64))
 
 
@@ -52,7 +57,7 @@ class Template:
     """Tokens of a text: hashes, kinds (0 word, else placeholder), and hashes of what a placeholder stands for."""
 
     def __init__(self, text: bytes):
-        kinds, values = [], []
+        kinds, values, initials = [], [], []
         begins, after_number = True, False  # whether a sentence begins, or a number stood, before the piece
         for a, b in pieces(text):
             data = np.frombuffer(text[a:b], np.uint8)
@@ -69,17 +74,31 @@ class Template:
             # À to Þ in UTF-8: a lead byte C3 and a second byte of 80 to 9E.
             accented = (data[starts] == 0xC3) & (second >= 0x80) & (second <= 0x9E)
             follow = data[np.minimum(starts + 1 + accented, len(data) - 1)]
-            name = ~fresh & (UPPER[data[starts]] | accented) & (ends - starts > 1 + accented) & ~UPPER[follow] & ~DIGIT[follow]
+            capital = (UPPER[data[starts]] | accented) & (ends - starts > 1 + accented) & ~UPPER[follow] & ~DIGIT[follow]
             found = np.searchsorted(_units, value)
             unit = _units[np.minimum(found, len(_units) - 1)] == value
             unit[1:] &= number[:-1]
             unit[0] &= after_number
             begins, after_number = bool(stops[-1] > stops[ends[-1]]), bool(number[-1])
-            kinds.append(np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, 0))).astype(np.int8))
+            kinds.append(np.where(number, NUM, np.where(unit, UNIT, np.where(capital & ~fresh, NAME, 0))).astype(np.int8))
             values.append(value)
+            initials.append(capital & fresh & (kinds[-1] == 0))
         kind = np.concatenate(kinds) if kinds else np.zeros(0, np.int8)
         value = np.concatenate(values) if values else np.zeros(0, np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 0)])) if len(kind) else np.zeros(0, np.int64)
+        self.read = kind, value, np.concatenate(initials) if initials else np.zeros(0, bool)
+        self.join(kind, value, np.zeros(len(kind), bool))
+
+    def with_initial_names(self) -> Template:
+        """The other reading: capitalised words that begin a sentence are names; a sentence's begin parts names."""
+        kind, value, initial = self.read
+        out = Template.__new__(Template)
+        out.read = self.read
+        out.join(np.where(initial, NAME, kind).astype(np.int8), value, initial)
+        return out
+
+    def join(self, kind: np.ndarray, value: np.ndarray, apart: np.ndarray) -> None:
+        """Neighbouring placeholders of one kind become one token, but for those that stand apart from the one before."""
+        first = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 0) | apart[1:]])) if len(kind) else np.zeros(0, np.int64)
         self.kind = kind[first]
         last = np.append(first[1:], len(kind))
         self.value = value[first]
@@ -106,30 +125,33 @@ class Template:
         return self.kind[part][at].tolist(), self.value[part][at].view(np.int64).tolist()
 
 
-WINDOWS = "row long, copy long, n int, start int, key long, kinds array<int>, slots array<long>"
+WINDOWS = "row long, reading int, copy long, n int, start int, key long, kinds array<int>, slots array<long>"
 
 
 def windows_of(width: int, sizes: list[int] | None, bitmap: np.ndarray | None):
-    """mapInArrow: (row, text) to the windows that the bitmap admits; sizes: window sizes to form (None: width)."""
+    """mapInArrow: (row, text) to the windows, in both readings, that the bitmap admits; copy: text and reading; sizes: window sizes to form (None: width)."""
 
     def run(stream):
         for batch in stream:
             out: list[tuple] = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                made, copy = Template(raw), None
-                for size in sizes or [width]:
-                    if sizes and len(made.token) < size:
-                        continue
-                    starts, keys = made.windows(size)
-                    if bitmap is not None and len(keys):
-                        low = (keys & np.uint64((1 << BITMAP) - 1)).astype(np.int64)
-                        admitted = bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1 == 1
-                        starts, keys = starts[admitted], keys[admitted]
-                    n = len(made.token)
-                    if copy is None and len(keys):
-                        copy = xxhash.xxh64_intdigest(raw) - (1 << 63)
-                    out += [(row, copy, n, a, key, *made.slots(a, size)) for a, key in zip(starts.tolist(), keys.view(np.int64).tolist(), strict=True)]
+                made = Template(raw)
+                for reading, form in enumerate((made, made.with_initial_names())):
+                    n, copy = len(form.token), None
+                    for size in sizes or [width]:
+                        if sizes and n < size:
+                            continue
+                        starts, keys = form.windows(size)
+                        if reading:
+                            keys = mix(keys + OTHER)
+                        if bitmap is not None and len(keys):
+                            low = (keys & np.uint64((1 << BITMAP) - 1)).astype(np.int64)
+                            admitted = bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1 == 1
+                            starts, keys = starts[admitted], keys[admitted]
+                        if copy is None and len(keys):
+                            copy = xxhash.xxh64_intdigest(raw, reading) - (1 << 63)
+                        out += [(row, reading, copy, n, a, key, *form.slots(a, size)) for a, key in zip(starts.tolist(), keys.view(np.int64).tolist(), strict=True)]
                 if len(out) > 20_000:
                     yield rows_batch(out)
                     out = []
@@ -140,8 +162,8 @@ def windows_of(width: int, sizes: list[int] | None, bitmap: np.ndarray | None):
 
 
 def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["row", "copy", "n", "start", "key", "kinds", "slots"])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["row", "reading", "copy", "n", "start", "key", "kinds", "slots"])
 
 
 def consistent(slots: list[tuple[int, int]]) -> bool:
@@ -174,13 +196,13 @@ def best_occurrence(at: np.ndarray, place: np.ndarray, key: list, slots: list, n
 
 
 def occurrences(width: int, cover: float):
-    """applyInArrow over the hits of one text and one item's text: (doc_id, item_id, cover) if an occurrence passes."""
+    """applyInArrow over the hits of one text and one item's text: (doc_id, item_id, reading, cover) if an occurrence passes."""
 
     def run(hits: pa.Table) -> pa.Table:
         total, n = hits["total"][0].as_py(), hits["n"][0].as_py()
         slots = [list(zip(a, b, strict=True)) for a, b in zip(hits["theirs"].to_pylist(), hits["slots"].to_pylist(), strict=True)]
         k = best_occurrence(hits["at"].to_numpy().astype(np.int64), hits["place"].to_numpy().astype(np.int64), hits["key"].to_pylist(), slots, n, total * cover, width)
-        return hits.select(["doc_id", "item_id"]).slice(0, k > 0).append_column("cover", pa.array([k / total][: k > 0], pa.float64()))
+        return hits.select(["doc_id", "item_id", "reading"]).slice(0, k > 0).append_column("cover", pa.array([k / total][: k > 0], pa.float64()))
 
     return run
 
@@ -188,14 +210,14 @@ def occurrences(width: int, cover: float):
 def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width: int = WIDTH, cover: float = COVER) -> DataFrame:
     """Rows (doc_id, item_id, cover) of the contaminated pairs; docs (doc_id, text), benchmark (item_id, text)."""
     items = scratch.keep(benchmark.select("item_id", "text").where("item_id is not null").distinct().mapInArrow(windows_of(width, None, None), WINDOWS).withColumnsRenamed({"row": "item_id", "copy": "wording"}))
-    item, pair = ["item_id", "wording"], ["doc_id", "item_id", "wording"]
+    item, pair = ["item_id", "reading", "wording"], ["doc_id", "item_id", "reading", "wording"]
     totals = items.groupBy(item).agg(F.count_distinct("key").alias("total"))
     low = F.col("key").bitwiseAND(F.lit((1 << BITMAP) - 1))
     bits = np.zeros(1 << BITMAP, bool)
     # At most 2 ** BITMAP different values, whatever the benchmark's size.
     bits[items.select(low.cast("int").alias("low")).distinct().toPandas()["low"].to_numpy()] = True
     short = sorted({min(r["n"], width) for r in items.select(F.least("n", F.lit(width)).alias("n")).distinct().collect()})
-    seen = docs.select("doc_id", "text").mapInArrow(windows_of(width, short or [width], np.packbits(bits, bitorder="little")), WINDOWS).withColumnRenamed("row", "doc_id").withColumnRenamed("start", "at").drop("n")
+    seen = docs.select("doc_id", "text").mapInArrow(windows_of(width, short or [width], np.packbits(bits, bitorder="little")), WINDOWS).withColumnRenamed("row", "doc_id").withColumnRenamed("start", "at").drop("n", "reading")
     ours = items.select(*item, "n", "key", F.col("start").alias("place"), F.col("kinds").alias("their_kinds"), F.col("slots").alias("theirs"))
     # Several aggregations read the hits; written, they cost one pass over the texts.
     hit = scratch.keep(seen.join(ours, "key").where(F.col("kinds") == F.col("their_kinds")).drop("kinds", "their_kinds"))
@@ -204,10 +226,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width: int
     filled = hit.join(covered.select(pair), pair, "left_semi").select(*pair, F.explode(slots).alias("s")).distinct()
     either = lambda end: filled.groupBy(*pair, f"s.{end}").agg(F.count("*").alias("c")).where("c > 1").select(pair)
     mixed = scratch.keep(either("a").unionByName(either("b")).distinct().join(covered.select(*pair, "total"), pair))
-    whole = covered.join(mixed, pair, "left_anti").select("doc_id", "item_id", (F.col("k") / F.col("total")).alias("cover"))
+    whole = covered.join(mixed, pair, "left_anti").select("doc_id", "item_id", "reading", (F.col("k") / F.col("total")).alias("cover"))
     parts = hit.join(mixed, pair).dropDuplicates([*pair, "copy", "at", "place"])
-    one = parts.groupBy(*pair, "copy").applyInArrow(occurrences(width, cover), "doc_id long, item_id long, cover double")
-    return whole.unionByName(one).groupBy("doc_id", "item_id").agg(F.max("cover").alias("cover"))
+    one = parts.groupBy(*pair, "copy").applyInArrow(occurrences(width, cover), "doc_id long, item_id long, reading int, cover double")
+    return whole.unionByName(one).groupBy("doc_id", "item_id").agg(F.max_by("cover", F.struct(-F.col("reading"), "cover")).alias("cover"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:

@@ -83,3 +83,11 @@ def test_an_occurrence_is_judged_for_itself(spark):
     docs += [(6, ITEM + ". " + changed), (7, ITEM + ", but a train leaves Madrid at 9 miles an hour"), (8, "None of it. " * 3), (9, TWICE), (9, "And " + other)]
     got = run(spark, docs, [(1, TWICE), (2, ITEM), (3, "Another wording"), (3, ITEM)])
     assert got == {1: (True, 1), 2: (True, 1), 3: (True, 1), 4: (True, 1), 5: (False, None), 6: (True, 2), 7: (True, 2), 8: (False, None), 9: (True, 1)}
+
+
+def test_names_that_begin_sentences(spark):
+    apples = "Tom has 3 apples. Ann has 5 apples. How many in total?"
+    docs = [(1, apples.replace("Tom", "Carol").replace("Ann", "Eve")), (2, "Well then. " + apples.replace("Tom", "Carol").replace("Ann", "Eve").replace("3", "17") + " Good."), (3, "Pears has 3 colours. How nice in total"), (4, apples)]
+    docs += [(5, "Bob likes Ann. Bob paid the long bill at once. Ann thanked Bob for it"), (6, "Eve likes Tom. Tom paid the long bill at once. Eve thanked Eve for it"), (7, "Eve likes Tom. Eve paid the long bill at once. Tom thanked Eve for it")]
+    got = run(spark, docs, [(1, apples), (2, docs[4][1])])
+    assert got == {1: (True, 1), 2: (True, 1), 3: (False, None), 4: (True, 1), 5: (True, 2), 6: (False, None), 7: (True, 2)}
