@@ -15,7 +15,7 @@ import pyarrow as pa
 
 #: The ASCII white space that separates words.
 SPACES = b" \t\n\x0b\x0c\r"
-PIECE = 1 << 20
+PIECE = 1 << 18
 BASE, BASE2, SEQ, SEQ2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -47,9 +47,17 @@ def inverse(base: np.uint64) -> np.uint64:
     return np.uint64(pow(int(base), -1, 1 << 64))
 
 
-def text_bytes(column: pa.Array) -> list[bytes]:
-    """UTF-8 of each text; null counts as empty."""
-    return [(x or "").encode() for x in column.to_pylist()]
+def text_slices(batch: pa.RecordBatch, place: int, size: int = PIECE) -> Iterator[tuple[tuple[int, int], list[bytes]]]:
+    """((first row, rows), UTF-8 of their texts) of runs of rows of about `size` bytes; null counts as empty.
+
+    What a kernel holds beside the batch itself is thus bounded by bytes (or the longest text), whatever the batch.
+    """
+    column = batch.column(place)
+    column = column.cast(pa.large_binary()) if pa.types.is_large_string(column.type) else column.cast(pa.binary())
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, kind)
+    for a, b in byte_slices(np.diff(offsets).tolist(), size):
+        yield (a, b - a), [x or b"" for x in column.slice(a, b - a).to_pylist()]
 
 
 def pieces(text: bytes, size: int = PIECE) -> Iterator[tuple[int, int]]:
@@ -108,7 +116,7 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def batches(lengths: list[int], size: int = PIECE) -> Iterator[tuple[int, int]]:
+def byte_slices(lengths: list[int], size: int = PIECE) -> Iterator[tuple[int, int]]:
     """(first, last) of runs of rows of about `size` bytes together."""
     first, total = 0, 0
     for i, n in enumerate(lengths):

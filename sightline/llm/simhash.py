@@ -23,9 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sightline.llm.kernels import LOWER, pieces, spans, text_bytes
+from sightline.llm.kernels import LOWER, pieces, spans, text_slices
 from sightline.operators.components import connected_components
-from sightline.tables import Scratch, table
+from sightline.tables import Scratch, bounded_batches, table
 
 #: Fixed values of the contract.
 BITS, SHINGLE, SEED = 3, 3, 42
@@ -75,10 +75,9 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     def run(stream):
         for batch in stream:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                fps = np.fromiter((fingerprint(t, width) for t in text_bytes(part.column(1))), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            for rows, texts in text_slices(batch, 1):
+                fps = np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(*rows), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -207,6 +206,7 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def components(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """Rows (doc_id, fp, component_id): component_id is the least doc_id reachable by links, its own included."""
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.keep(fingerprints(docs, width))
     groups = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))

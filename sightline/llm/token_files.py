@@ -1,8 +1,8 @@
 """Token-ID output: Parquet files of token lists with chosen encoding, row groups and page indexes.
 
-`write_tokens` tokenises every text (tokenizers library, Arrow batches; texts are cut where a pre-token is sure to begin,
-so that memory does not follow the longest one and repeated words are encoded once), range-partitions by id, and writes one row per document, in ascending id order within and
-across parts: `part`, `doc_id`, `n_tokens`, `tokens`. Token lists are delta-encoded (or dictionary-encoded), row groups
+`write_tokens` tokenises every text (tokenizers library as loaded, Arrow batches; texts are cut where a pre-token is sure
+to begin, so that repeated words are encoded once; a text that holds an added token's string is encoded whole),
+range-partitions by id, and writes one row per document, in ascending id order within and across parts: `part`, `doc_id`, `n_tokens`, `tokens`. Token lists are delta-encoded (or dictionary-encoded), row groups
 hold a set number of bytes, pages are small, and the writer adds page indexes; so a reader that asks for a few
 documents, or for the counts alone, reads little. `read_tokens` reads them, with `start`, the number of ids before each
 document, from the counts alone: in-part running sums plus the totals of earlier parts.
@@ -21,117 +21,105 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sightline.llm.kernels import batches, lut, text_bytes
-from sightline.tables import Scratch, table
+from sightline.llm.kernels import text_slices
+from sightline.llm.parts import Memory, may_follow, safe_parts
+from sightline.tables import Scratch, bounded_batches, table
 
-MEMORY = 800_000  # remembered parts in a worker, of at most SHORT bytes each
-SHORT = 40
+#: A part that begins with a mark follows this one, which is one token, where many parts are encoded as one text.
+LEAD = b" a"
 
-_tokenizers: dict[str, object] = {}
-_seen: dict[str, dict[bytes, bytes]] = {}
-_widths: dict[str, np.ndarray] = {}
-SOLID, LETTER = lut(bytes(range(0x21, 0x7F))), lut(bytes([*range(65, 91), *range(97, 123)]))
 
+class Encoder:
+    """The library's tokenizer of a file, with a memory of parts."""
 
-def safe_parts(raw: bytes) -> list[bytes]:
-    """A text in parts that the library encodes as it encodes the whole.
-
-    Cut before a space or newline that stands between a character that is no white space and a letter (ASCII or
-    U+00C0 to U+00FF): the pre-tokenizer's pattern always begins a match there.
-    """
-    a, n = np.frombuffer(raw, np.uint8), len(raw)
-    at = np.flatnonzero((a == 32) | (a == 10))
-    at = at[(at > 0) & (at < n - 1)]
-    before, after, then = a[at - 1], a[at + 1], a[np.minimum(at + 2, n - 1)]
-    solid = SOLID[before] | ((before >= 0x80) & (a[np.maximum(at - 2, 0)] == 0xC3))
-    letter = LETTER[after] | ((after == 0xC3) & (then != 0x97) & (then != 0xB7))
-    cuts = [0, *at[solid & letter].tolist(), n]
-    return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
-
-
-def may_follow(part: bytes) -> bool:
-    """Whether a part begins and ends as parts do between two cuts."""
-    begins = part[:1] in (b" ", b"\n") and len(part) > 1 and (bool(LETTER[part[1]]) or (part[1] == 0xC3 and part[2] not in (0x97, 0xB7)))
-    return begins and (bool(SOLID[part[-1]]) or (len(part) > 2 and part[-2] == 0xC3))
-
-
-def tokenizer(path: str):
-    if path not in _tokenizers:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
-        _tokenizers[path] = made
-        _seen[path] = {}
-        vocabulary = made.get_vocab()
+        self.made = Tokenizer.from_file(path)
+        vocabulary = self.made.get_vocab()
         # A token of a byte-level vocabulary is written with one character for each of its bytes.
-        _widths[path] = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        _widths[path][list(vocabulary.values())] = [len(t) for t in vocabulary]
-    return _tokenizers[path]
-
-
-def encode_missing(made, widths: np.ndarray, some: list[bytes], alone: list[bytes]) -> dict[bytes, bytes]:
-    """Ids of each part. Parts that may follow each other (`some`) are encoded as one text, and told apart by token widths."""
-    out = {}
-    for k in range(0, len(alone), 256):
-        rows = alone[k : k + 256]
-        out |= {p: np.array(e.ids, "<i4").tobytes() for p, e in zip(rows, made.encode_batch_fast([p.decode() for p in rows], add_special_tokens=False), strict=True)}
-    for k in range(0, len(some), 4096):
-        rows = some[k : k + 4096]
-        (coded,) = made.encode_batch_fast([b"".join(rows).decode()], add_special_tokens=False)
-        ids = np.array(coded.ids, "<i4")
-        ends, stops = np.cumsum(widths[ids]), np.cumsum([len(p) for p in rows])
-        at = np.searchsorted(ends, stops) + 1
-        if not np.array_equal(ends[at - 1], stops):
-            raise RuntimeError("a token runs across a place where a pre-token begins")
-        raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
-        out |= {p: raw[i:j] for p, i, j in zip(rows, cuts, cuts[1:], strict=False)}
-    return out
-
-
-def encode_texts(path: str, texts: list[bytes]) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers.
-
-    The library encodes a part once; a worker remembers short parts, and empties that memory when it is full.
-    """
-    made = tokenizer(path)
-    seen = _seen[path]
-    cut = [safe_parts(t) for t in texts]
-    known = [list(map(seen.get, c)) for c in cut]
-    new = {p for c, r in zip(cut, known, strict=True) if None in r for p, x in zip(c, r, strict=True) if x is None}
-    # Parts between two cuts may follow each other; the first and last of a text need not.
-    alone = {c[k] for c in cut for k in (0, -1) if c[k] in new and not may_follow(c[k])}
-    found = encode_missing(made, _widths[path], list(new - alone), list(alone))
-    if len(seen) + len(found) > MEMORY:
-        seen.clear()
-    seen |= {p: ids for p, ids in found.items() if len(p) <= SHORT}
-    return [b"".join([found[p] if x is None else x for p, x in zip(c, r, strict=True)]) for c, r in zip(cut, known, strict=True)]
+        self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.added = [t.content.encode() for t in self.made.get_added_tokens_decoder().values()]
+        self.memory = Memory(self.parts)
+
+    def whole(self, text: bytes) -> bool:
+        return any(t in text for t in self.added)
+
+    def alone(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        out = {}
+        for k in range(0, len(parts), 256):
+            rows = parts[k : k + 256]
+            out |= {p: np.array(e.ids, "<i4").tobytes() for p, e in zip(rows, self.made.encode_batch_fast([p.decode() for p in rows], add_special_tokens=False), strict=True)}
+        return out
+
+    def together(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of parts that may follow each other, encoded as one text and told apart by the widths of tokens."""
+        out = {}
+        for k in range(0, len(parts), 4096):
+            rows = parts[k : k + 4096]
+            laid = [x for p in rows for x in ((p,) if p[0] in b" \n" else (LEAD, p))]
+            (coded,) = self.made.encode_batch_fast([b"".join(laid).decode()], add_special_tokens=False)
+            ids = np.array(coded.ids, "<i4")
+            ends, stops = np.cumsum(self.widths[ids]), np.cumsum(list(map(len, laid)))
+            at = np.searchsorted(ends, stops) + 1
+            if not np.array_equal(ends[at - 1], stops):
+                raise RuntimeError("a token runs across a place where a pre-token begins")
+            raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
+            out |= {p: raw[i:j] for p, i, j in zip(laid, cuts, cuts[1:], strict=False)}
+        return out
+
+    def parts(self, parts: list[bytes]) -> list[bytes]:
+        some = [p for p in parts if may_follow(p) and not self.whole(p)]
+        found = self.together(some)
+        found |= self.alone([p for p in parts if p not in found])
+        return [found[p] for p in parts]
+
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each)"""
+        return self.memory.texts(texts, self.whole)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders.clear()  # one vocabulary at a time
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def encoder(path: str, end_id: int):
     """A mapInArrow function: (doc_id, text) to (doc_id, n_tokens, tokens)."""
-    end = np.array([end_id], "<i4").tobytes()
 
     def run(stream):
+        made = encoder_of(path)
         for batch in stream:
-            texts = text_bytes(batch.column(1))
-            for a, b in batches([len(t) for t in texts], 1 << 18):
-                ids = [x + end for x in encode_texts(path, texts[a:b])]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), tokens], names=["doc_id", "n_tokens", "tokens"])
+            for rows, texts in text_slices(batch, 1, 1 << 20):
+                ids, counts = made.texts(texts)
+                ids = np.insert(ids, np.cumsum(counts), end_id).astype("<i4", copy=False)
+                offsets = np.concatenate([[0], np.cumsum(counts + 1)]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(*rows), pa.array(counts + 1, pa.int64()), tokens], names=["doc_id", "n_tokens", "tokens"])
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, encoding: str = "delta", row_group_bytes: int = 8 << 20, page_bytes: int = 64 << 10, parts: int | None = None) -> None:
-    """Write the token files of docs (doc_id, text) to `path`. encoding: delta or dictionary."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, encoding: str = "delta", row_group_bytes: int = 8 << 20, page_bytes: int = 64 << 10, part_bytes: int = 256 << 20) -> None:
+    """Write the token files of docs (doc_id, text) to `path`. encoding: delta or dictionary.
+
+    A part holds about `part_bytes` of text or less; there are at least as many as the session's shuffle partitions.
+    Rows that are equal in all they are sorted by are dealt among parts by their place in the input.
+    """
     spark = docs.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").withColumns({"__h": F.xxhash64("text"), "__l": F.length("text")})
-    dealt = rows.repartitionByRange(n, "doc_id", "__h", "__l").sortWithinPartitions("doc_id", "__h", "__l").select("doc_id", "text")
+    bounded_batches(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(-(-size // part_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = ["doc_id", "__h", "__l"]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__h"), F.length("text").alias("__l"), F.monotonically_increasing_id().alias("__place"))
+    dealt = rows.repartitionByRange(n, *order, "__place").sortWithinPartitions(*order).select("doc_id", "text")
     coded = dealt.mapInArrow(encoder(tokenizer_path, end_id), "doc_id long, n_tokens long, tokens array<int>")
     placed = coded.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()).select("part", "place", "doc_id", "n_tokens", "tokens")
     dictionary = str(encoding == "dictionary").lower()

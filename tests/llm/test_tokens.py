@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from sightline.llm import bpe, token_files as F
+from sightline.llm import bpe, parts as P, token_files as F
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id long, text string, tokens string"
@@ -17,9 +17,7 @@ SCHEMA = "doc_id long, text string, tokens string"
 
 @pytest.fixture(scope="module")
 def made():
-    out = Tokenizer.from_file(JSON)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(JSON)
 
 
 @pytest.fixture(scope="module")
@@ -33,21 +31,47 @@ def theirs():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+BITS = ["it's", "ab", " ", "  ", "\n", "é", "don't", " x", "9", "!", ",", ".\n", "'s", "\u3000", "×", "÷y", " à", "\x1c", "\u00a0", "\0"]
+
+
 def test_safe_parts_keep_the_ids(made):
     R = random.Random(1)
     for _ in range(3000):
-        text = "".join(R.choice(["it's", "ab", " ", "  ", "\n", "é", "don't", " x", "9", "!", "\u3000", "×", "÷y", " à", "\x1c", "\u00a0", "<|endoftext|>"]) for _ in range(80))
-        parts = F.safe_parts(text.encode())
+        text = "".join(R.choice(BITS) for _ in range(80))
+        parts = P.safe_parts(text.encode())
         assert b"".join(parts) == text.encode()
         assert [i for p in parts for i in made.encode(p.decode(), add_special_tokens=False).ids] == made.encode(text, add_special_tokens=False).ids
 
 
-def test_memory_is_bounded_and_does_not_change_the_ids(made, monkeypatch):
-    monkeypatch.setattr(F, "MEMORY", 50)
+@pytest.mark.parametrize("limit", [0, 3000, 10**6])
+def test_memory_is_bounded_and_does_not_change_the_ids(made, limit):
     R = random.Random(6)
-    for _ in range(200):
-        texts = [" ".join("".join(R.choice("abcé") for _ in range(R.randint(1, 50))) for _ in range(R.randint(0, 30))) for _ in range(3)]
-        assert [np.frombuffer(x, "<i4").tolist() for x in F.encode_texts(JSON, [t.encode() for t in texts])] == [made.encode(t, add_special_tokens=False).ids for t in texts]
+    ours = F.Encoder(JSON)
+    ours.memory = P.Memory(ours.parts, limit)
+    for _ in range(300):
+        texts = ["".join(R.choice([*BITS, "<|endoftext|>"] if R.random() < 0.1 else BITS + ["".join(R.choice("abcé") for _ in range(R.randint(1, 50)))]) for _ in range(R.randint(0, 30))) for _ in range(3)]
+        ids, counts = ours.texts([t.encode() for t in texts])
+        want = [made.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+        assert ours.memory.size <= limit
+
+
+def test_added_tokens_are_read_as_the_library_reads_them(made):
+    ours = F.Encoder(JSON)
+    for text in ["abc <|endoftext|> def", "<|endoftext|>", "x<|endoftext|>\n\nThe end. <|endoftext|>"]:
+        assert ours.texts([text.encode()])[0].tolist() == made.encode(text, add_special_tokens=False).ids
+    assert 50256 in made.encode("abc <|endoftext|> def", add_special_tokens=False).ids
+
+
+def test_null_and_repeated_ids(spark, made, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    rows = [(None, "no id"), (3, "one"), (3, "another text"), (3, "one"), (2, None), (None, None)]
+    F.write_tokens(spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA), path, JSON)
+    got = sorted((r.start, str(r.doc_id), r.n_tokens) for r in F.read_checksums(spark, path).collect())
+    ids = lambda t: len(made.encode(t or "", add_special_tokens=False).ids) + 1
+    assert sorted((d, n) for _, d, n in got) == sorted((str(d), ids(t)) for d, t in rows)
+    assert [d for _, d, _ in got] == ["None", "None", "2", "3", "3", "3"]
+    assert [s for s, _, _ in got] == [sum(n for _, _, n in got[:k]) for k in range(6)]
 
 
 def expected(made, rows):
@@ -64,7 +88,7 @@ def test_files_round_trip(spark, made, tmp_path, encoding):
     R = random.Random(2)
     rows = [(i * 7 % 101, " ".join(R.choice(["the", "of", "Zug", "été", "42"]) for _ in range(R.randint(0, 50)))) for i in range(101)] + [(-5, None), (500, ""), (501, "long text " * 100_000)]
     path = f"file://{tmp_path}/tokens"
-    F.write_tokens(spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA), path, JSON, encoding=encoding, parts=5)
+    F.write_tokens(spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA), path, JSON, encoding=encoding)
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in F.read_checksums(spark, path).collect())
     assert got == expected(made, rows)
     whole = {r.doc_id: (r.start, r.tokens) for r in F.read_tokens(spark, path).collect()}
@@ -78,9 +102,9 @@ def test_file_layout(spark, tmp_path):
     import pyarrow.parquet as pq
 
     R = random.Random(7)
-    rows = [(i, " ".join(R.choice(["some", "words", "und", "mehr", "été", "of", "them"]) for _ in range(300)), "x") for i in range(600)]
-    F.write_tokens(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/tokens", JSON, row_group_bytes=64 << 10, page_bytes=8 << 10, parts=1)
-    (file,) = (p for p in (tmp_path / "tokens").iterdir() if p.suffix == ".parquet")
+    rows = [(i, " ".join(R.choice(["some", "words", "und", "mehr", "été", "of", "them"]) for _ in range(300)), "x") for i in range(2400)]
+    F.write_tokens(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/tokens", JSON, row_group_bytes=64 << 10, page_bytes=8 << 10)
+    file = next(p for p in (tmp_path / "tokens").iterdir() if p.suffix == ".parquet")
     meta = pq.ParquetFile(file).metadata
     column = next(meta.row_group(0).column(k) for k in range(meta.num_columns) if "tokens.list" in meta.row_group(0).column(k).path_in_schema)
     assert meta.num_row_groups > 1 and "DELTA_BINARY_PACKED" in column.encodings and column.has_offset_index
@@ -112,7 +136,7 @@ def test_queue_order():
     R = random.Random(5)
     items = [(R.randrange(70_000), i) for i in range(2000)] + [(5, 9999), (5, 3)]
     for rank, at in items:
-        queue.push(rank, at)
+        queue.push(rank, [at])
     out = []
     while (rank := queue.first()) >= 0:
         out += [(rank, at) for at in reversed(queue.take(rank))]
