@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from sightline.llm import kernels as K
 from sightline.llm import line_dedup as L
@@ -21,21 +22,23 @@ def words(line):
     return [w for w in line.translate({k: " " for k in (9, 11, 12, 13)}).split(" ") if w]
 
 
-def brute(docs, least=5):
+def brute(docs, least=5, most=1):
     lines = [(d, k, words(x)) for d, t in docs if t is not None and d is not None for k, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= least]
-    gone = {(d, k) for d, k, w in lines if any((e, j) < (d, k) and abs(len(v) - len(w)) < 2 and distance(v, w) <= 1 for e, j, v in lines)}
+    lines = [x for x in lines if x[2]]
+    near = lambda v, w: v == w or (min(len(v), len(w)) >= least and abs(len(v) - len(w)) <= most and distance(v, w) <= most)
+    gone = {(d, k) for d, k, w in lines if any((e, j) < (d, k) and near(v, w) for e, j, v in lines)}
     return [(d, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone)) for d, t in docs]
 
 
-def run(spark, docs):
-    return [(r.doc_id, r.text) for r in L.dedup_lines(spark.createDataFrame([(d, t, "clash") for d, t in docs], SCHEMA)).collect()]
+def run(spark, docs, **bounds):
+    return [(r.doc_id, r.text) for r in L.dedup_lines(spark.createDataFrame([(d, t, "clash") for d, t in docs], SCHEMA), **bounds).collect()]
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_matches_brute_force(spark, most):
     R = random.Random(1)
     vocabulary = ["w%d" % i for i in range(12)]
-    bases = [[R.choice(vocabulary) for _ in range(R.randint(3, 9))] for _ in range(25)]
+    bases = [[R.choice(vocabulary) for _ in range(R.randint(1, 9))] for _ in range(25)]
     docs = []
     for i in range(60):
         lines = []
@@ -47,7 +50,12 @@ def test_matches_brute_force(spark):
             lines.append(R.choice([" ", "  ", "\t"]).join(line))
         docs.append((i, "\n".join(lines)))
     docs += [(100, None), (101, ""), (102, "\n\n"), (103, "one two three four five")]
-    assert sorted(run(spark, docs), key=str) == sorted(brute(docs), key=str)
+    assert sorted(run(spark, docs, max_edits=most), key=str) == sorted(brute(docs, most=most), key=str)
+
+
+def test_short_lines_go_when_they_repeat(spark):
+    docs = [(1, "Subscribe now\nAll rights reserved"), (2, "All  rights reserved\nSubscribe\n\nSubscribe now"), (3, "Subscribe later")]
+    assert sorted(run(spark, docs)) == [(1, "Subscribe now\nAll rights reserved"), (2, "Subscribe\n"), (3, "Subscribe later")]
 
 
 def test_templates_runs_and_repeats(spark):
@@ -66,6 +74,7 @@ def test_within_one():
         a = [R.choice("xy") for _ in range(R.randint(0, 6))]
         b = [R.choice("xy") for _ in range(R.randint(0, 6))]
         assert L.within_one(a, b) == (distance(a, b) <= 1)
+        assert all(L.within(a, b, n) == (distance(a, b) <= n) for n in range(5))
 
 
 def test_long_texts_are_cut_at_newlines():
@@ -88,10 +97,10 @@ def test_query_matches_brute_force(spark, sf):
     # Brute force by lines with equal word counts or one off, sharing a first or last word sequence, would repeat the
     # method; so all lines are compared, fast, by common ends.
     lines = [(d, k, words(x)) for d, t in docs for k, x in enumerate((t or "").split("\n"))]
-    lines = sorted((x for x in lines if len(x[2]) >= 5), key=lambda x: x[:2])
+    lines = sorted((x for x in lines if x[2]), key=lambda x: x[:2])
     by_size, gone = {}, set()
     for d, k, w in lines:
-        if any(L.within_one(v, w) for n in (len(w) - 1, len(w), len(w) + 1) for v in by_size.get(n, [])):
+        if w in by_size.get(len(w), []) or len(w) >= 5 and any(L.within_one(v, w) for n in (len(w) - 1, len(w), len(w) + 1) if n >= 5 for v in by_size.get(n, [])):
             gone.add((d, k))
         by_size.setdefault(len(w), []).append(w)
     want = {d: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (d, k) not in gone) for d, t in docs}
