@@ -1,8 +1,10 @@
 """Quality rules, quotation linking, WARC derivatives and URL rules: against DuckDB, brute force and edge cases."""
 
 import gzip
+import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,9 +115,10 @@ def test_empty_conversations(spark):
 PAGE = "<html><head><title>A &amp; B</title><style>p{}</style></head><body><!-- no --><p>One&nbsp;two<br>three &#233;&#xE9; &#0; &lt;b&gt;</p><script>var t='</p>';</script><div>four <i>five</i></div><p"
 
 
-def test_plain_text(spark):
-    got = spark.createDataFrame([(PAGE,), (None,), ("",), ("no tags",), ("&#38;amp; &#1234567; &#x;",)], "h string").select(W.plain_text(F.col("h")).alias("t")).collect()
-    assert [r.t for r in got] == ["One two\nthree éé � <b>\nfour five", "", "", "no tags", "& � &#x;"]
+def test_plain_text():
+    got = [W.page_text(x)[0] for x in (PAGE, "", "no tags", "&#38;lt;b&#38;gt; &#38;amp; &#1234567; &#x; &eacute;&rsquo;&Sum;&am &amp")]
+    assert got == ["One two\nthree éé � <b>\nfour five", "", "no tags", "&lt;b&gt; &amp; � &#x; é’∑&am &amp"]
+    assert W.page_text(PAGE)[1] == "A & B"
 
 
 def test_records_refer_and_files_read_back(spark, tmp_path):
@@ -126,7 +129,7 @@ def test_records_refer_and_files_read_back(spark, tmp_path):
     by_id = {r.derived_id: r for r in got}
     assert all(by_id[r.concurrent_to].refers_to == r.refers_to and by_id[r.concurrent_to].record_type != r.record_type for r in got)
     meta = next(r for r in got if r.page_id == 1 and r.record_type == "metadata")
-    assert "source-header: Content-Type: text/html; charset=utf-8\r\n" in meta.block and "title: A &amp; B\r\n" in meta.block and meta.payload_digest in meta.block
+    assert "source-header: Content-Type: text/html; charset=utf-8\r\n" in meta.block and "title: A & B\r\n" in meta.block and meta.payload_digest in meta.block
     W.write_warc(records.coalesce(1), f"file://{tmp_path}/warc")
     raw = b"".join(gzip.open(p).read() for p in (tmp_path / "warc").iterdir() if p.suffix == ".gz")
     at, seen = 0, []
@@ -153,12 +156,34 @@ def test_responses_read_from_files(spark, tmp_path):
     assert len(got) == 6
     for kind in "xz":
         one = got[f"<urn:{kind}:1>"]
-        assert one.complete and one.payload == "<p>one</p>\r\n\r\n<p>zwei ü</p>" and one.http_head == "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"
-        assert one.target_uri == "http://a/1" and got[f"<urn:{kind}:3>"].payload == "" and not got[f"<urn:{kind}:4>"].complete
+        assert one.complete and bytes(one.payload).decode() == "<p>one</p>\r\n\r\n<p>zwei ü</p>" and one.http_head == "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"
+        assert one.target_uri == "http://a/1" and got[f"<urn:{kind}:3>"].payload == b"" and not got[f"<urn:{kind}:4>"].complete
     meta = W.derive(W.read_responses(spark, f"file://{tmp_path}")).where("record_type = 'metadata'").collect()
     assert all("source-header: Content-Type: text/html\r\n" in r.block for r in meta if r.refers_to.endswith(":1>"))
 
 
+def test_source_digests_and_bytes_are_kept(spark, tmp_path):
+    body = "<title>Caf\u00e9</title><p>\u00fcber</p>".encode("latin-1")
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n" + body
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:1>\r\nWARC-Payload-Digest: sha1:PAY\r\nWARC-Block-Digest: sha1:BLK\r\nContent-Length: {len(http)}\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(head.encode() + http + b"\r\n\r\n")
+    seen = W.read_responses(spark, f"file://{tmp_path}")
+    (r,) = seen.collect()
+    assert bytes(r.payload) == body and r.complete and (r.source_payload_digest, r.source_block_digest) == ("sha1:PAY", "sha1:BLK")
+    made = {x.record_type: x for x in W.derive(seen).collect()}
+    assert made["conversion"].block == "Caf\u00e9\n\u00fcber" and made["conversion"].payload_digest == made["metadata"].payload_digest == "sha1:PAY"
+    assert "source-payload-digest: sha1:PAY\r\nsource-block-digest: sha1:BLK\r\ntitle: Caf\u00e9\r\n" in made["metadata"].block
+    bare = {x.payload_digest for x in W.derive(seen.drop("source_payload_digest", "source_block_digest")).collect()}
+    assert bare == {"sha256:" + hashlib.sha256(body).hexdigest()}
+
+
+@pytest.mark.parametrize("bit", ["<!--", "<script>", "<script ", "<p ", "<title>", "&#", "<", "</script", "<template><!-- "])
+def test_long_pages_take_time_in_proportion(bit):
+    began = time.process_time()
+    W.page_text(bit * (1_000_000 // len(bit)) + ">")
+    assert time.process_time() - began < 5
+
+
 # URL rules
 
 
