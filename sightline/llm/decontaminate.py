@@ -15,7 +15,12 @@ A capitalised word that begins a sentence may be a name or not. Texts are read b
 all as names; the windows of a reading meet those of the same reading only, and either can contaminate.
 The cover is the first reading's where that contaminates.
 
-Items of fewer tokens than a window are one window. Nulls: null texts have no windows; rows with a null id are kept
+An item none of whose windows has words enough is read as it stands: its windows of plain tokens, numbers and names as
+they are, must be found in the document's; so an exact copy of an item made of numbers and names is found, and other
+numbers make another item.
+
+Items of fewer tokens than a window are one window. Very long texts are cut at white space and need eight bytes a word.
+Nulls: null texts have no windows; rows with a null id are kept
 and not judged, items with a null id are ignored. Repeated rows of one doc_id share one judgement; different texts of
 one item_id are judged each for itself. Ties: of several items, the best covered is reported,
 then the one with the least item_id. Empty documents or an empty benchmark contaminate nothing. Extra columns of the
@@ -29,8 +34,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sightline.llm.kernels import LOWER, hash_spans, lut, mix, pieces, prefix_sums, sequence_hash, spans
-from sightline.tables import Scratch, table
+from sightline.llm.kernels import LOWER, hash_spans, lut, mix, pieces, prefix_sums, sequence_hash, spans, text_slices
+from sightline.tables import Scratch, bounded_batches, table
 
 WIDTH, COVER = 5, 0.5
 BITMAP = 24  # log2 of the bits in the prefilter
@@ -41,7 +46,8 @@ UNITS = "mm cm m km in ft mi inch inches foot feet yard yards mile miles metre m
 WORD = ~lut(bytes(set(range(128)) - set(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")))
 STOPS, DIGIT, UPPER = lut(b".!?:;\n"), lut(b"0123456789"), lut(bytes(range(65, 91)))
 NUM, NAME, UNIT = 1, 2, 3
-OTHER = np.uint64(0x2545F4914F6CDD1D)  # sets the keys of the second reading apart
+#: Added to the keys of the second reading (initial names) and of the third (as it stands), to set them apart.
+APART = [np.uint64(0), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x8A5CD789635D2DFF)]
 TAG = mix(np.array([0, 11, 22, 33], np.uint64))
 
 
@@ -88,6 +94,12 @@ class Template:
         self.read = kind, value, np.concatenate(initials) if initials else np.zeros(0, bool)
         self.join(kind, value, np.zeros(len(kind), bool))
 
+    def as_it_stands(self) -> Template:
+        """The reading without placeholders: every token for itself."""
+        out = Template.__new__(Template)
+        out.read, out.kind, out.value, out.token = self.read, np.zeros(len(self.read[0]), np.int8), self.read[1], self.read[1]
+        return out
+
     def with_initial_names(self) -> Template:
         """The other reading: capitalised words that begin a sentence are names; a sentence's begin parts names."""
         kind, value, initial = self.read
@@ -129,34 +141,39 @@ WINDOWS = "row long, reading int, copy long, n int, start int, key long, kinds a
 
 
 def windows_of(width: int, sizes: list[int] | None, bitmap: np.ndarray | None):
-    """mapInArrow: (row, text) to the windows, in both readings, that the bitmap admits; copy: text and reading; sizes: window sizes to form (None: width)."""
+    """mapInArrow: (row, text) to the windows, in all readings, that the bitmap admits; copy: text and reading; sizes: window sizes to form (None: width).
+
+    Without a bitmap (items), the reading as it stands is for texts that have no windows in the first reading.
+    """
 
     def run(stream):
         for batch in stream:
-            out: list[tuple] = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                made = Template(raw)
-                for reading, form in enumerate((made, made.with_initial_names())):
-                    n, copy = len(form.token), None
-                    for size in sizes or [width]:
-                        if sizes and n < size:
-                            continue
-                        starts, keys = form.windows(size)
-                        if reading:
-                            keys = mix(keys + OTHER)
-                        if bitmap is not None and len(keys):
-                            low = (keys & np.uint64((1 << BITMAP) - 1)).astype(np.int64)
-                            admitted = bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1 == 1
-                            starts, keys = starts[admitted], keys[admitted]
-                        if copy is None and len(keys):
-                            copy = xxhash.xxh64_intdigest(raw, reading) - (1 << 63)
-                        out += [(row, reading, copy, n, a, key, *form.slots(a, size)) for a, key in zip(starts.tolist(), keys.view(np.int64).tolist(), strict=True)]
-                if len(out) > 20_000:
+            for (first, rows), texts in text_slices(batch, 1):
+                out: list[tuple] = []
+                for row, raw in zip(batch.column(0).slice(first, rows).to_pylist(), texts, strict=True):
+                    made = Template(raw)
+                    forms = [made, made.with_initial_names()]
+                    if bitmap is not None or not len(made.windows(width)[0]):
+                        forms.append(made.as_it_stands())
+                    for reading, form in enumerate(forms):
+                        n, copy = len(form.token), None
+                        for size in sizes or [width]:
+                            if sizes and n < size:
+                                continue
+                            starts, keys = form.windows(size)
+                            keys = mix(keys + APART[reading]) if reading else keys
+                            if bitmap is not None and len(keys):
+                                low = (keys & np.uint64((1 << BITMAP) - 1)).astype(np.int64)
+                                admitted = bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1 == 1
+                                starts, keys = starts[admitted], keys[admitted]
+                            if copy is None and len(keys):
+                                copy = xxhash.xxh64_intdigest(raw, reading) - (1 << 63)
+                            out += [(row, reading, copy, n, a, key, *form.slots(a, size)) for a, key in zip(starts.tolist(), keys.view(np.int64).tolist(), strict=True)]
+                    if len(out) > 20_000:
+                        yield rows_batch(out)
+                        out = []
+                if out:
                     yield rows_batch(out)
-                    out = []
-            if out:
-                yield rows_batch(out)
 
     return run
 
@@ -209,15 +226,18 @@ def occurrences(width: int, cover: float):
 
 def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width: int = WIDTH, cover: float = COVER) -> DataFrame:
     """Rows (doc_id, item_id, cover) of the contaminated pairs; docs (doc_id, text), benchmark (item_id, text)."""
+    bounded_batches(scratch.spark)
     items = scratch.keep(benchmark.select("item_id", "text").where("item_id is not null").distinct().mapInArrow(windows_of(width, None, None), WINDOWS).withColumnsRenamed({"row": "item_id", "copy": "wording"}))
     item, pair = ["item_id", "reading", "wording"], ["doc_id", "item_id", "reading", "wording"]
     totals = items.groupBy(item).agg(F.count_distinct("key").alias("total"))
-    low = F.col("key").bitwiseAND(F.lit((1 << BITMAP) - 1))
-    bits = np.zeros(1 << BITMAP, bool)
-    # At most 2 ** BITMAP different values, whatever the benchmark's size.
-    bits[items.select(low.cast("int").alias("low")).distinct().toPandas()["low"].to_numpy()] = True
+    # The bits of all keys' low ends, gathered in Spark: 2 MB at most, whatever the benchmark's size.
+    low = F.col("key").bitwiseAND(F.lit((1 << BITMAP) - 1)) + 1
+    parts = items.groupBy(F.bitmap_bucket_number(low).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(low)).alias("bits")).collect()
+    bitmap = np.zeros(1 << BITMAP - 3, np.uint8)
+    for part in parts:
+        bitmap[(part["part"] - 1) * 4096 : part["part"] * 4096] = np.frombuffer(part["bits"], np.uint8)
     short = sorted({min(r["n"], width) for r in items.select(F.least("n", F.lit(width)).alias("n")).distinct().collect()})
-    seen = docs.select("doc_id", "text").mapInArrow(windows_of(width, short or [width], np.packbits(bits, bitorder="little")), WINDOWS).withColumnRenamed("row", "doc_id").withColumnRenamed("start", "at").drop("n", "reading")
+    seen = docs.select("doc_id", "text").mapInArrow(windows_of(width, short or [width], bitmap), WINDOWS).withColumnRenamed("row", "doc_id").withColumnRenamed("start", "at").drop("n", "reading")
     ours = items.select(*item, "n", "key", F.col("start").alias("place"), F.col("kinds").alias("their_kinds"), F.col("slots").alias("theirs"))
     # Several aggregations read the hits; written, they cost one pass over the texts.
     hit = scratch.keep(seen.join(ours, "key").where(F.col("kinds") == F.col("their_kinds")).drop("kinds", "their_kinds"))

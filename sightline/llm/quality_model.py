@@ -5,13 +5,14 @@ r"""Quality classifier from weak labels: overlapping heuristic labellers, expect
 2. Expectation-maximisation over the counted patterns estimates the share of good documents and how each labeller
    votes on good and on bad ones, and gives every pattern the posterior probability of being good.
 3. A logistic model over hashed features (word shapes, text statistics in bins) learns the posteriors from about
-   `sample` documents, chosen by a hash of the text; `sample` bounds what the driver trains on.
+   `sample` different texts, chosen by a hash of the text and each taken once; `sample` bounds what the driver trains
+   on, also where one text is held by a third of all documents.
 4. Every document is scored in one narrow pass with the weights (2 ** `HASH` numbers, broadcast).
 
 No gold label is used in training; tests compare with `labels`.
 
 Nulls: a null text is an empty one, which is scored as any other (no words: the empty-text feature). Repeated rows get
-equal scores; ties at the threshold are kept. With no documents, or none with votes of both kinds, all are kept. Extra
+equal scores; ties at the threshold are kept. Very long texts are read in pieces. With no documents, or none with votes of both kinds, all are kept. Extra
 columns are kept; `score` and `kept` are added (replacing columns so named).
 """
 
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.kernels import IS_SPACE, hash_spans, lut, mix, pieces, spans
-from sightline.tables import table
+from sightline.llm.kernels import IS_SPACE, hash_spans, lut, mix, pieces, spans, text_slices
+from sightline.tables import bounded_batches, table
 
 HASH = 14
 SAMPLE = 20_000
@@ -184,15 +185,17 @@ def train(rows: list[np.ndarray], values: list[np.ndarray], target: np.ndarray,
 def patterns(stream):
     """mapInArrow: (text) to (pattern)."""
     for batch in stream:
-        yield pa.RecordBatch.from_arrays([pa.array([vote(Reading((t or "").encode()).stats) for t in batch.column(0).to_pylist()], pa.int64())], names=["pattern"])
+        for _, texts in text_slices(batch, 0):
+            yield pa.RecordBatch.from_arrays([pa.array([vote(Reading(t).stats) for t in texts], pa.int64())], names=["pattern"])
 
 
 def sampled(stream):
     """mapInArrow: (text) to (pattern, buckets, values)."""
     for batch in stream:
-        readings = [Reading((t or "").encode()) for t in batch.column(0).to_pylist()]
-        features = [r.features() for r in readings]
-        yield pa.RecordBatch.from_arrays([pa.array([vote(r.stats) for r in readings], pa.int64()), pa.array([f[0] for f in features], pa.list_(pa.int64())), pa.array([f[1] for f in features], pa.list_(pa.float64()))], names=["pattern", "buckets", "values"])
+        for _, texts in text_slices(batch, 0):
+            readings = [Reading(t) for t in texts]
+            features = [r.features() for r in readings]
+            yield pa.RecordBatch.from_arrays([pa.array([vote(r.stats) for r in readings], pa.int64()), pa.array([f[0] for f in features], pa.list_(pa.int64())), pa.array([f[1] for f in features], pa.list_(pa.float64()))], names=["pattern", "buckets", "values"])
 
 
 @dataclass
@@ -203,15 +206,18 @@ class Model:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Estimate labellers on all documents, and train the scorer on about `sample` of them."""
+    bounded_batches(docs.sparkSession)
     counted = docs.select("text").mapInArrow(patterns, "pattern long").groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
     counts = counted["n"].to_numpy(np.float64)
     votes = votes_of(counted["pattern"].to_numpy(np.int64))
     if not len(counts) or not (votes == -1).any():
         return Model(None, np.zeros(1 << HASH))
     labels = expectation_maximisation(votes, counts)
-    chosen = docs.select("text")
-    if counts.sum() > sample:
-        chosen = chosen.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample / counts.sum())))
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    chosen, different = docs.select("text", key.alias("t")), docs.agg(F.approx_count_distinct(key)).first()[0]
+    if different > sample:
+        chosen = chosen.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample / different)))
+    chosen = chosen.groupBy("t").agg(F.first("text").alias("text")).select("text")
     rows = chosen.mapInArrow(sampled, "pattern long, buckets array<long>, values array<double>").toPandas()
     target = labels.posterior(votes_of(rows["pattern"].to_numpy(np.int64)))
     order = np.argsort(rows["pattern"].to_numpy(), kind="stable")
@@ -223,14 +229,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     docs = docs.drop("score", "kept")
     place, weights, known = docs.columns.index("text"), model.weights, model.labels is not None
 
+    bounded_batches(docs.sparkSession)
+
     def run(stream):
         for batch in stream:
-            margins = []
-            for t in batch.column(place).to_pylist():
-                bucket, value = Reading((t or "").encode()).features()
-                margins.append(float(weights[bucket] @ value) if known else 50.0)
-            scores = np.round(1 / (1 + np.exp(-np.clip(margins, -50, 50))), 6)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(scores >= threshold)], names=[*batch.schema.names, "score", "kept"])
+            for (first, rows), texts in text_slices(batch, place):
+                margins = []
+                for t in texts:
+                    bucket, value = Reading(t).features()
+                    margins.append(float(weights[bucket] @ value) if known else 50.0)
+                scores = np.round(1 / (1 + np.exp(-np.clip(margins, -50, 50))), 6)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, rows).columns, pa.array(scores), pa.array(scores >= threshold)], names=[*batch.schema.names, "score", "kept"])
 
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]
     return docs.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]))

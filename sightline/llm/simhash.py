@@ -1,34 +1,57 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Fingerprints link where at most `BITS` of 64 bits differ. The anchors are the codewords of the perfect Hamming code
-[31, 26] (covering radius 1), used on 31 bits of each half of the fingerprint: of at most 3 differing bits, one half
-has at most 1. A fingerprint is at home at the single anchor within the radius and is replicated to every anchor
-within radius plus threshold (2 bits: 1 or 16 anchors); two fingerprints with at most one difference in a half meet
-at the home anchor of either. At an anchor, home fingerprints are compared with all, over all 64 bits.
-
-Only different fingerprints are placed; copies are carried by the least doc_id of their fingerprint. Anchors that one
-fingerprint alone reaches are dropped before anything is compared, by a count. An anchor with many fingerprints is cut
-into blocks of bounded size that different tasks compare, and a block yields a spanning set of its links (fewer than
-its rows), never all pairs, so the links form the same components. Components come from star contraction.
+Fingerprints of one or more 64-bit words link where at most `bits` bits differ. The anchors are the codewords of the
+perfect Hamming code [31, 26] (covering radius 1), used on 31 bits of each half of each word. A fingerprint is at home at
+the single anchor within the radius and is replicated to every anchor within radius plus threshold (2 bits: 1 or 16
+anchors of a half); two fingerprints with at most one difference in a half meet at the home anchor of either. At an
+anchor, home fingerprints are compared with all, over all bits.
+
+- `CONTRACT`: one word from three-word shingles, repeats included, 3 bits. Of 3 differing bits, one of the two halves has
+  at most 1, so every link is found.
+- `SIMILAR`: eight words from the different five-word shingles, for a similarity (shared of all shingles) of 0.8: there
+  the share of differing bits is acos(8/9)/pi, 78 of 512, and `bits` adds one standard deviation. Links that close need
+  not share an anchor: a half of 31 bits differs in few places only by chance. By the binomial distribution, about three
+  in four pairs of similarity 0.8 meet in one of the sixteen halves, nine in ten at 0.85, 99 in 100 at 0.9; tests measure
+  it.
+
+Only different fingerprints are placed; copies are carried by the least doc_id of their fingerprint. Replicas at anchors
+where nothing is at home are dropped before anything is compared. An anchor with many fingerprints is cut into blocks of
+bounded size that different tasks compare (n fingerprints of one anchor make about n * n / `BLOCK` rows), and a block
+yields a spanning set of its links (fewer than its rows), never all pairs, so the links form the same components.
+Components come from star contraction.
 
 Nulls: a null text has no words, as an empty one: fingerprint zero, linked like any other. Rows with a null doc_id get
-a fingerprint and join their component, but never name it. Repeated rows are kept. An empty table gives an empty
-result. Extra columns are ignored.
+a fingerprint and join their component, but never name it. Repeated rows are kept. Very long texts are read in pieces.
+An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sightline.llm.kernels import LOWER, pieces, spans, text_slices
+from sightline.llm.kernels import LOWER, SEQ, hash_spans, mix, pieces, prefix_sums, sequence_hash, spans, text_slices
 from sightline.operators.components import connected_components
 from sightline.tables import Scratch, bounded_batches, table
 
-#: Fixed values of the contract.
-BITS, SHINGLE, SEED = 3, 3, 42
+
+@dataclass(frozen=True)
+class Kind:
+    """How fingerprints are made and which link: words of 64 bits, words of a shingle, most differing bits."""
+
+    words: int
+    shingle: int
+    bits: int
+
+
+CONTRACT = Kind(1, 3, 3)
+SIMILAR = Kind(8, 5, 86)
+
+SEED = 42  # fixed value of the contract
 BLOCK = 1024
 
 
@@ -53,7 +76,7 @@ def normal_pieces(text: bytes, keep: int):
             tail = joined[int(begin[max(0, len(begin) - keep)]) :]
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+def fingerprint(text: bytes, width: int = CONTRACT.shingle) -> int:
     """Bits set in over half of the XXH64 hashes of the word shingles, repeats included."""
     counts, n = np.zeros(64, np.int64), 0
     short, digest = b"", xxhash.xxh64_intdigest
@@ -62,24 +85,64 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
             short = joined
             continue
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begin[: len(begin) - width + 1].tolist(), stop[width - 1 :].tolist(), strict=True)), np.uint64)
-        for k in range(0, len(hashes), 1 << 16):
-            counts += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += set_bits(hashes[:, None])
         n += len(hashes)
     if not n and short:
         return digest(short, SEED)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, fp long)."""
+def set_bits(rows: np.ndarray) -> np.ndarray:
+    """How many rows have each bit set; rows of 64-bit words."""
+    out = np.zeros(64 * rows.shape[1], np.int64)
+    for k in range(0, len(rows), 255 * 16):
+        bits = np.unpackbits(np.ascontiguousarray(rows[k : k + 255 * 16]).view(np.uint8), axis=1, bitorder="little")
+        for j in range(0, len(bits), 255):
+            out += bits[j : j + 255].sum(axis=0, dtype=np.uint8)
+    return out
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the different word shingles; of the whole sequence, if it is shorter; none for a text without words."""
+    words = []
+    for a, b in pieces(text):
+        data = LOWER[np.frombuffer(text[a:b], np.uint8)]
+        words.append(hash_spans(data, *spans(data)))
+    word = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    if not len(word):
+        return word
+    size = min(width, len(word))
+    at = np.arange(len(word) - size + 1)
+    return np.unique(mix(sequence_hash(prefix_sums(word, SEQ), at, at + size, SEQ)))
+
+
+def wide_fingerprint(text: bytes, kind: Kind) -> bytes:
+    """Bits set in over half of the hashes of the different shingles, `kind.words` hashes for each."""
+    found = shingles(text, kind.shingle)
+    salts = mix(np.arange(1, kind.words + 1, dtype=np.uint64))
+    counts = np.zeros(64 * kind.words, np.int64)
+    for k in range(0, len(found), 1 << 14):
+        counts += set_bits(mix(found[k : k + (1 << 14), None] + salts[None, :]))
+    return np.packbits(2 * counts > len(found), bitorder="little").tobytes()
+
+
+def fingerprints(docs: DataFrame, kind: Kind = CONTRACT) -> DataFrame:
+    """Rows (doc_id, t, fp): t is a hash of the text, fp the little-endian bytes of the fingerprint."""
 
     def run(stream):
         for batch in stream:
-            for rows, texts in text_slices(batch, 1):
-                fps = np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(*rows), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            for (first, rows), texts in text_slices(batch, 2):
+                if kind.words == 1:
+                    fps = [fingerprint(t, kind.shingle).to_bytes(8, "little") for t in texts]
+                else:
+                    fps = [wide_fingerprint(t, kind) for t in texts]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, rows) for k in (0, 1)), pa.array(fps, pa.binary())], names=["doc_id", "t", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", text_key().alias("t"), "text").mapInArrow(run, "doc_id long, t long, fp binary")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def syndrome(word: np.ndarray) -> np.ndarray:
@@ -94,37 +157,48 @@ def syndrome(word: np.ndarray) -> np.ndarray:
 FLIPS = [np.array([0], np.uint32)] + [np.array([1 << (s - 1)] + [1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, 32) if i < i ^ s], np.uint32) for s in range(1, 32)]
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the fingerprint, anchor, at home) of every place of each fingerprint; the top bit names the half."""
-    index, anchor, home = [], [], []
-    for half in (0, 1):
-        word = (fps >> np.uint64(32 * half) & np.uint64(0x7FFFFFFF)).astype(np.uint32)
+def as_words(column: pa.Array, words: int) -> np.ndarray:
+    """Rows of 64-bit words of a binary column."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
+
+
+def anchors(fps: np.ndarray, home: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the fingerprint, anchor) of the home places, or of all others; the bits from 31 on name the half."""
+    index, anchor = [], []
+    for half in range(2 * fps.shape[1]):
+        word = (fps[:, half // 2] >> np.uint64(32 * (half % 2)) & np.uint64(0x7FFFFFFF)).astype(np.uint32)
         found = syndrome(word)
         for s in range(32):
-            mine = np.flatnonzero(found == s)
-            if len(mine):
-                places = word[mine, None] ^ FLIPS[s][None, :]
-                index.append(np.repeat(mine, places.shape[1]))
-                anchor.append(places.ravel().astype(np.int64) | half << 31)
-                home.append(np.tile(np.arange(places.shape[1]) == 0, len(mine)))
-    return (np.concatenate(index), np.concatenate(anchor), np.concatenate(home)) if index else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+            mine, flips = np.flatnonzero(found == s), FLIPS[s][:1] if home else FLIPS[s][1:]
+            if len(mine) and len(flips):
+                index.append(np.repeat(mine, len(flips)))
+                anchor.append((word[mine, None] ^ flips[None, :]).ravel().astype(np.int64) | half << 31)
+    return (np.concatenate(index), np.concatenate(anchor)) if index else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def place(stream):
-    """mapInArrow: (fp) to (anchor, fp, home)."""
-    for batch in stream:
-        for k in range(0, batch.num_rows, 20_000):
-            fps = np.asarray(batch.column(0).slice(k, 20_000)).view(np.uint64)
-            index, anchor, home = anchors(fps)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fps[index].view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
+def place(words: int, home: bool):
+    """mapInArrow: (id, fp) to (anchor, id)."""
+
+    def run(stream):
+        for batch in stream:
+            size = 8192 // words
+            for k in range(0, batch.num_rows, size):
+                part = batch.slice(k, size)
+                index, anchor = anchors(as_words(part.column(1), words), home)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), part.column(0).take(pa.array(index))], names=["anchor", "id"])
+
+    return run
 
 
 def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    return np.bitwise_count(a[:, None] ^ b[None, :]) <= bits
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        out += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    return out <= bits
 
 
-def spanning_links(home: np.ndarray, other: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
-    """Pairs that join what is linked between two sets, fewer than their members together.
+def spanning_links(home: np.ndarray, other: np.ndarray, home_ids: np.ndarray, other_ids: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Pairs of ids that join what is linked between two sets of fingerprints, fewer than their members together.
 
     Labels spread over the 0/1 matrix of links until they settle; each member then names its component's least member.
     """
@@ -133,7 +207,7 @@ def spanning_links(home: np.ndarray, other: np.ndarray, bits: int = BITS) -> lis
     if not rows.any():
         return []
     links = links[rows][:, cols]
-    left, right = home[rows], other[cols]
+    left, right = home_ids[rows], other_ids[cols]
     a, b = np.arange(len(left)), np.zeros(len(right), np.int64)
     while True:
         b = np.where(links, a[:, None], len(left)).min(axis=0)
@@ -146,78 +220,94 @@ def spanning_links(home: np.ndarray, other: np.ndarray, bits: int = BITS) -> lis
     return [(x, y) for x, y in pairs if x != y]
 
 
-def compare(stream):
-    """mapInArrow over rows (block, fp, home) sorted by block: spanning links of each block."""
-    carry: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def compare(kind: Kind):
+    """mapInArrow over rows (block, id, fp, home) sorted by block: spanning links of each block."""
 
-    def done(block, fp, home, last):
-        at = np.flatnonzero(np.diff(block, prepend=block[:1] - 1))
-        stop = np.append(at[1:], len(block))
-        pairs = []
-        for a, b in zip(at, stop, strict=True):
-            if b == len(block) and not last:
-                return pairs, a
-            mine = fp[a:b].view(np.uint64)
-            pairs += spanning_links(mine[home[a:b] != 1], mine[home[a:b] != 0]) if b - a > 1 else []
-        return pairs, len(block)
+    def links_of(rows: pa.Table) -> pa.RecordBatch:
+        ids, fps, home = rows["id"].to_numpy(), as_words(rows["fp"], kind.words), rows["home"].to_numpy()
+        mine, others = home != 1, home != 0
+        pairs = spanning_links(fps[mine], fps[others], ids[mine], ids[others], kind.bits)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    def out(pairs):
-        return pa.RecordBatch.from_arrays([pa.array(np.array([p[k] for p in pairs], np.uint64).view(np.int64)) for k in (0, 1)], names=["u", "v"])
+    def run(stream):
+        rest = None
+        for batch in stream:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            block = rows["block"].to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist()]
+            for a, b in zip(starts, starts[1:], strict=False):
+                yield links_of(rows.slice(a, b - a))
+            rest = rows.slice(starts[-1])
+        if rest is not None and rest.num_rows:
+            yield links_of(rest)
 
-    for batch in stream:
-        carry.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2))))
-        if carry[0][0][0] == carry[-1][0][-1] and len(carry) > 1:
-            continue
-        block, fp, home = (np.concatenate(x) for x in zip(*carry, strict=True))
-        pairs, rest = done(block, fp, home, False)
-        carry = [(block[rest:], fp[rest:], home[rest:])]
-        if pairs:
-            yield out(pairs)
-    if carry and len(carry[0][0]):
-        pairs, _ = done(*(np.concatenate(x) for x in zip(*carry, strict=True)), True)
-        if pairs:
-            yield out(pairs)
+    return run
 
 
 def blocks(placed: DataFrame, counts: DataFrame, block: int) -> DataFrame:
-    """Rows (block long, fp, home): home 0 is compared as at home, 1 as other, 2 as both.
+    """Rows (block long, id, home): home 0 is compared as at home, 1 as other, 2 as both.
 
     An anchor with up to `block` members is one block. A larger one is cut into k parts by a hash of the fingerprint;
     home members of part i meet all members of part j in block (i, j).
     """
     few = counts.select("anchor", F.ceil(F.col("n") / block).cast("int").alias("k"))
-    joined = placed.join(few, "anchor").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    joined = placed.join(few, "anchor").withColumn("part", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     whole = lambda i, j: F.xxhash64("anchor", i, j)
     steps = F.sequence(F.lit(0), F.col("k") - 1)
     single = F.array(F.struct(whole(F.lit(0), F.lit(0)).alias("block"), F.when(F.col("home"), 2).otherwise(1).alias("home")))
     as_other = F.transform(steps, lambda i: F.struct(whole(i, F.col("part")).alias("block"), F.lit(1).alias("home")))
     as_home = F.when(F.col("home"), F.transform(steps, lambda j: F.struct(whole(F.col("part"), j).alias("block"), F.lit(0).alias("home")))).otherwise(F.array().cast("array<struct<block:bigint,home:int>>"))
     rows = F.when(F.col("k") == 1, single).otherwise(F.concat(as_other, as_home))
-    return joined.select("fp", F.explode(rows).alias("r")).select("r.block", "fp", "r.home")
+    return joined.select("id", F.explode(rows).alias("r")).select("r.block", "id", "r.home")
 
 
-def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (u, v) of linked fingerprints, enough to join every component; prints: distinct rows (fp)."""
-    placed = prints.select("fp").mapInArrow(place, "anchor long, fp long, home boolean")
-    counts = placed.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 and any").select("anchor", "n")
-    dealt = blocks(placed, counts, block).repartition("block").sortWithinPartitions("block")
-    return dealt.select("block", "fp", F.col("home").cast("int")).mapInArrow(compare, "u long, v long").distinct()
+def links(prints: DataFrame, scratch: Scratch, kind: Kind = CONTRACT, block: int = BLOCK) -> DataFrame:
+    """Rows (u, v) of ids of linked fingerprints, enough to join every component; prints: distinct rows (id, fp)."""
+    prints = prints.select("id", "fp")
+    homes = scratch.keep(prints.mapInArrow(place(kind.words, True), "anchor long, id long"))
+    others = prints.mapInArrow(place(kind.words, False), "anchor long, id long")
+    # An anchor is there once on the right, so no key is hot there, and a partition's share of anchors is its memory.
+    others = scratch.keep(others.join(homes.select("anchor").distinct().hint("shuffle_hash"), "anchor", "left_semi"))
+    placed = homes.withColumn("home", F.lit(True)).unionByName(others.withColumn("home", F.lit(False)))
+    counts = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = blocks(placed, counts, block).join(prints, "id").repartition("block").sortWithinPartitions("block")
+    return dealt.select("block", "id", "fp", F.col("home").cast("int")).mapInArrow(compare(kind), "u long, v long").distinct()
 
 
-def components(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, fp, component_id): component_id is the least doc_id reachable by links, its own included."""
+def components(docs: DataFrame, kind: Kind = CONTRACT) -> DataFrame:
+    """Rows (doc_id, t, fp, component, component_id): component_id is the least doc_id reachable by links, its own included."""
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.keep(fingerprints(docs, width))
-    groups = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = connected_components(links(groups))
-    named = groups.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    marked = scratch.keep(fingerprints(docs, kind))
+    groups = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
+    parts = connected_components(links(groups, scratch, kind))
+    named = groups.join(parts.withColumnRenamed("node", "id"), "id", "left").select("fp", "least", F.coalesce("component", "id").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(named.join(ids, "component").select("fp", "component_id"), "fp")
+    return marked.join(named.join(ids, "component").select("fp", "component", "component_id"), "fp")
+
+
+def first_of_each(docs: DataFrame, kind: Kind = SIMILAR) -> DataFrame:
+    """One row of each component: the one with the least doc_id (null last), then the least hash of its text.
+
+    Rows of one doc_id stay apart where their texts do; of rows equal in doc_id and text, the least in all columns stays.
+    """
+    names = docs.columns
+    found = Scratch(docs.sparkSession, "simhash").keep(components(docs, kind).select("doc_id", "t", "component"))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("f"), F.count("*").alias("n"))
+    won = first.select(F.col("f.doc_id").alias("__d"), F.col("f.t").alias("__t"))
+    again = found.groupBy(F.col("doc_id").alias("__d"), F.col("t").alias("__t")).agg(F.count("*").alias("n")).where("n > 1").select("__d", "__t")
+    row = docs.withColumn("__k", text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__t"))
+    chosen = row.join(won.hint("shuffle_hash"), same, "left_semi")
+    single = chosen.join(again, same, "left_anti").select(names)
+    one = chosen.join(again, same, "left_semi").groupBy("doc_id", "__k").agg(F.min(F.struct(*names)).alias("r"))
+    return single.unionByName(one.select("r.*"))
 
 
 def hex16(fp: Column) -> Column:
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+    """Hexadecimal digits of a fingerprint of one word, the highest first."""
+    return F.concat(*[F.substring(F.lower(F.hex(fp)), 2 * k + 1, 2) for k in reversed(range(8))])
 
 
 def op9_simhash(spark, sf_dir):

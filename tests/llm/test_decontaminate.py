@@ -91,3 +91,10 @@ def test_names_that_begin_sentences(spark):
     docs += [(5, "Bob likes Ann. Bob paid the long bill at once. Ann thanked Bob for it"), (6, "Eve likes Tom. Tom paid the long bill at once. Eve thanked Eve for it"), (7, "Eve likes Tom. Eve paid the long bill at once. Tom thanked Eve for it")]
     got = run(spark, docs, [(1, apples), (2, docs[4][1])])
     assert got == {1: (True, 1), 2: (True, 1), 3: (False, None), 4: (True, 1), 5: (True, 2), 6: (False, None), 7: (True, 2)}
+
+
+def test_items_of_numbers_and_names_are_found_as_they_stand(spark):
+    items = ["What does 48 Boston 12 km Rome 9 Lima 7 kg Oslo 5 give", "12 + 30 = 42 7 8 9"]
+    docs = [(1, "So: what does 48 Boston 12 km Rome 9 Lima 7 kg Oslo 5 give, they asked."), (2, "sums: 12 + 30 = 42 7 8 9 10"), (3, "what does 49 Boston 13 km Rome 8 Lima 6 kg Oslo 4 give"), (4, "12 + 31 = 43 7 8 9")]
+    out = D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {r.doc_id: r.item_id for r in out.collect()} == {1: 0, 2: 1, 3: None, 4: None}

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from sightline.llm import simhash as S
+from sightline.tables import Scratch
 
 SCHEMA = "doc_id long, text string, extra string"
 
@@ -52,15 +53,13 @@ def test_anchors_meet():
     a = R.integers(0, 1 << 63, 3000, dtype=np.uint64)
     flips = np.array([sum(1 << int(b) for b in R.choice(64, R.integers(0, 4), replace=False)) for _ in a], dtype=np.uint64)
     b = a ^ flips
-    index_a, anchor_a, home_a = S.anchors(a)
-    index_b, anchor_b, _ = S.anchors(b)
-    homes = {}
-    for i, x in zip(index_a[home_a], anchor_a[home_a]):
-        homes.setdefault(int(i), set()).add(int(x))
-    every = {}
-    for i, x in zip(index_b, anchor_b):
-        every.setdefault(int(i), set()).add(int(x))
+    homes, every = {}, {}
+    for out, fps, kinds in ((homes, a, (True,)), (every, b, (True, False))):
+        for kind in kinds:
+            for i, x in zip(*S.anchors(fps[:, None], kind)):
+                out.setdefault(int(i), set()).add(int(x))
     assert all(homes[i] & every[i] for i in range(len(a)))
+    assert all(len(x) <= 34 for x in every.values())
 
 
 def test_components_match_brute_force(spark):
@@ -78,7 +77,7 @@ def test_components_match_brute_force(spark):
     rows = [(i, t, "e") for i, t in texts.items()]
     got = {r.doc_id: (r.fp, r.component_id) for r in S.components(spark.createDataFrame(rows, SCHEMA)).collect()}
     fps = {i: brute_fingerprint(t) for i, t in texts.items()}
-    assert {i: v[0] & (1 << 64) - 1 for i, v in got.items()} == fps
+    assert {i: int.from_bytes(v[0], "little") for i, v in got.items()} == fps
     assert {i: v[1] for i, v in got.items()} == brute_components(fps)
 
 
@@ -87,10 +86,9 @@ def test_dense_blocks_match_brute_force(spark):
     R = np.random.default_rng(2)
     centre = int(R.integers(0, 1 << 62))
     fps = sorted({centre ^ sum(1 << int(b) for b in R.choice(64, R.integers(0, 9), replace=False)) for _ in range(700)})
-    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
-    prints = spark.createDataFrame(signed, "fp long")
+    prints = spark.createDataFrame([(i, x.to_bytes(8, "little")) for i, x in enumerate(fps)], "id long, fp binary")
     for block in (32, 4096):
-        pairs = [(r.u & (1 << 64) - 1, r.v & (1 << 64) - 1) for r in S.links(prints, block).collect()]
+        pairs = [(fps[r.u], fps[r.v]) for r in S.links(prints, Scratch(spark, "test"), block=block).collect()]
         assert all((a ^ b).bit_count() <= 64 for a, b in pairs)
         up = {x: x for x in fps}
 
@@ -119,3 +117,43 @@ def test_query_matches_brute_force(spark, sf):
     assert got == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
 
 
+
+
+def jaccard(a, b):
+    cut = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    a, b = cut(a), cut(b)
+    return len(a & b) / len(a | b)
+
+
+def test_similar_documents_link(spark):
+    """Pairs by similarity: what share of them link; and one row of each group stays."""
+    R = random.Random(8)
+    words = ["w%d" % i for i in range(3000)]
+    texts, pairs = [], []
+    for i in range(400):
+        base = [R.choice(words) for _ in range(R.randint(60, 400))]
+        copy = list(base)
+        if i % 2:
+            for _ in range(R.randint(1, max(1, len(base) // 40))):
+                copy[R.randrange(len(base))] = R.choice(words)
+        else:
+            copy += [R.choice(words) for _ in range(int(len(base) * R.random() * 0.3))]
+        pairs.append((len(texts), len(texts) + 1, jaccard(" ".join(base), " ".join(copy))))
+        texts += [" ".join(base), " ".join(copy)]
+    rows = [(i, t, "e") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    part = {r.doc_id: r.component for r in S.components(docs, S.SIMILAR).collect()}
+    linked = lambda low, high: [part[a] == part[b] for a, b, s in pairs if low <= s < high]
+    close, edge, far = linked(0.9, 1.01), linked(0.8, 0.9), linked(0, 0.7)
+    assert len(close) > 80 and np.mean(close) >= 0.95
+    assert len(edge) > 80 and np.mean(edge) >= 0.75
+    assert not far or np.mean(far) <= 0.2
+    assert all(part[a] != part[c] for a, _, _ in pairs[:50] for c, _, _ in pairs[50:100])
+    left = {r.doc_id for r in S.first_of_each(docs).collect()}
+    assert left == {min(i for i in part if part[i] == c) for c in set(part.values())}
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    rows = [(1, "a b c d", "y"), (1, "a b c d", "x"), (1, "quite another text that is long", "x"), (2, "A b c d", "x"), (None, "a b c d", "x"), (None, "alone", "x"), (3, None, "x"), (4, "", "x")]
+    got = sorted((str(r.doc_id), r.text, r.extra) for r in S.first_of_each(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [("1", "a b c d", "x"), ("1", "quite another text that is long", "x"), ("3", None, "x"), ("None", "alone", "x")]
