@@ -28,18 +28,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the least doc_id.
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the least doc_id.
 
-    Rows that share a doc_id count as copies of one document. Rows without a doc_id name no group and stay.
+    Null and empty texts are copies of each other. A row without a doc_id stays only if no row of its group has one.
+    Rows that share a doc_id stay apart where their texts do; of rows with equal doc_id and text, the least stays.
     """
-    docs = docs.select(*COLUMNS)
-    groups = Scratch(spark, "pipeline").keep(simhash.components(docs).select("doc_id", "component_id"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    again = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    chosen = docs.join(first, "doc_id", "left_semi")
-    single = chosen.join(again, "doc_id", "left_anti")
-    one = chosen.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(one).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    return simhash.first_of_each(docs.select(*COLUMNS))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
