@@ -1,9 +1,24 @@
-"""Addresses: order-dependent token rules, run once per distinct address."""
+r"""Addresses in canonical form, and their parts.
+
+An address is read as a sequence of words by a small grammar, tried in this order at each word:
+
+    unit      = unit-name value     корпус 2, лит. А: the name in full, then the value
+    house     = number letter       12 а, apart by spaces alone or by marks: one word
+    noise     = stop word | postcode of six digits: left out
+    anything else: the word itself
+
+where a value is a number, perhaps with a letter, or a single letter after a name that may have one. A slash between
+numbers stands for корпус. A г after a house number is its letter where only spaces part them, else it stands for город.
+Then street names are told in one form (the longest spelling first).
+
+Each distinct address is read once. Nulls and empty texts have an empty form and no parts.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -15,61 +30,71 @@ KINDS = ("корпус", "строение", "литера", "владение",
 LETTERED = ("корпус", "строение", "литера")
 STREETS = {"маршала жукова": ["маршала советского союза к жукова"]}
 
-_SLASH = re.compile(r"(?<!\d)(\d{1,4}[а-яa-z]?)\s*/\s*(\d+[а-яa-z]?)", re.I)
-_HOUSE_G = re.compile(r"(?<!\d)(\d{1,4}[а-яa-z]?)\s+г(?=\s*(?:[,;.]|$|[^\W\d_]))", re.I)
-_NUMBER = re.compile(r"\d+[а-яa-z]?")
-_MARK = "houseletterg"
+#: A word, with what stands between it and the one before.
+WORD = re.compile(r"(?P<gap>[\W_]*)(?P<word>[^\W_]+)")
 
 
-def _words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", text).lower().replace("ё", "е"))
+def words(text: str) -> Iterator[tuple[str, str]]:
+    """(gap, word) of a text: compatibility composition, lower case, ё as е."""
+    for found in WORD.finditer(unicodedata.normalize("NFKC", text).lower().replace("ё", "е")):
+        yield found["gap"], found["word"]
 
 
-def _is_value(kind: str, value: str | None, letter: bool) -> bool:
-    return bool(value) and (bool(_NUMBER.fullmatch(value)) or letter and len(value) == 1 and value.isalpha())
+def numbered(word: str) -> bool:
+    """A number of any length, perhaps with one letter."""
+    return word[:1].isdigit() and (word.isdigit() or (word[:-1].isdigit() and word[-1].isalpha()))
 
 
-def _replace(tokens: list[str], streets: dict[str, list[str]]) -> list[str]:
-    """Phrases to their canonical form, the longest alias first."""
-    pairs = [(_words(a), _words(name)) for name, aliases in streets.items() for a in (name, *aliases)]
-    for alias, name in sorted(pairs, key=lambda p: -len(p[0])):
-        out: list[str] = []
-        i = 0
-        while i < len(tokens):
-            if alias and tokens[i : i + len(alias)] == alias:
-                out += name
-                i += len(alias)
-            else:
-                out.append(tokens[i])
-                i += 1
-        tokens = out
-    return tokens
+def lettered(word: str) -> bool:
+    return len(word) == 1 and word.isalpha()
 
 
-def normal_address(value: str | None, streets: dict[str, list[str]] | None = None) -> str:
-    """Tokens of an address in canonical form."""
-    text = _HOUSE_G.sub(rf"\1 {_MARK}", _SLASH.sub(r"\1 корпус \2", value or ""))
-    raw = ["г" if w == _MARK else w for w in _words(text) if w not in STOP and not re.fullmatch(r"\d{6}", w)]
-    out: list[str] = []
-    i = 0
-    while i < len(raw):
-        word, after, then = raw[i], *(raw[i + 1 : i + 3] + [None, None])[:2]
-        letter = after is not None and len(after) == 1 and after.isalpha()
-        if word.isdigit() and letter and not (after in UNITS and then and _NUMBER.fullmatch(then)):
-            out.append(word + after)
-            i += 2
+def parsed(text: str) -> Iterator[str]:
+    """The words of an address by the grammar."""
+    left = list(words(text))[::-1]
+    while left:
+        gap, word = left.pop()
+        after, then = (left[-k] if len(left) >= k else ("", "") for k in (1, 2))
+        if gap.strip() == "/" and numbered(word):
+            yield from ("корпус", word)
             continue
         kind = UNITS.get(word)
-        out.append(kind if kind and _is_value(kind, after, word != "к" and kind in LETTERED) else word)
-        i += 1
-    return " ".join(_replace(_replace(out, STREETS), streets or {}))
+        if kind and (numbered(after[1]) or (word != "к" and kind in LETTERED and lettered(after[1]))):
+            yield kind
+            yield left.pop()[1]
+        elif word.isdigit() and len(word) == 6:
+            continue
+        elif word.isdigit() and lettered(after[1]) and not after[0].strip(" \t.,;" if after[1] != "г" else " ") and not (after[1] in UNITS and numbered(then[1])):
+            left.pop()
+            yield word + after[1]
+        elif word not in STOP:
+            yield word
+
+
+def renamed(address: str, streets: dict[str, list[str]]) -> str:
+    """Spellings of street names in the form of the dictionary, the longest first."""
+    told = {" ".join(w for _, w in words(spelling)): " ".join(w for _, w in words(name)) for name, spellings in streets.items() for spelling in (name, *spellings)}
+    told.pop("", None)
+    if not told:
+        return address
+    any_of = "|".join(re.escape(x) for x in sorted(told, key=lambda x: (-x.count(" "), x)))
+    return re.sub(rf"(?<!\S)(?:{any_of})(?!\S)", lambda found: told[found[0]], address)
+
+
+def normal_address(value: str | None, streets: dict[str, list[str]] | None = None) -> str:
+    """An address in canonical form."""
+    return renamed(renamed(" ".join(parsed(value or "")), STREETS), streets or {})
 
 
 def address_parts(address: str) -> tuple[str | None, dict[str, str]]:
-    """(house, units): the last number that no unit kind precedes, and the value after each unit kind."""
-    tokens = address.split()
-    units = {a: b for a, b in zip(tokens, tokens[1:], strict=False) if a in KINDS and _is_value(a, b, a in LETTERED)}
-    house = next((t for i, t in reversed(list(enumerate(tokens))) if _NUMBER.fullmatch(t) and not (i and tokens[i - 1] in KINDS)), None)
+    """(house, units) of a canonical address: its last number outside the units, and the value of each kind of unit."""
+    house, units, name = None, {}, None
+    for word in address.split():
+        if name and (numbered(word) or (name in LETTERED and lettered(word))):
+            units[name] = word
+        elif numbered(word) and not name:
+            house = word
+        name = word if word in KINDS else None
     return house, units
 
 

@@ -22,12 +22,13 @@ def plain(text: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
+    return pd.Series([None if v is None else unicodedata.normalize("NFKC", v) for v in values], dtype="object")
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition, which Spark SQL has no function for."""
-    return _nfkc(text)
+    """Compatibility composition, which Spark SQL has no function for; ASCII is sent to Python as null and stays as it is."""
+    other = text.rlike("[^\\x00-\\x7F]")
+    return F.when(other, _nfkc(F.when(other, text))).otherwise(text)
 
 
 def normal_text(text: Column) -> Column:
@@ -47,8 +48,8 @@ def octane(product_key: Column, family: Column, label: Column) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    """Lower case, _ and - as spaces, white space squeezed."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "ё", "е"), "[_-]+", " "), r"\s+", " "))
+    """Compatibility composition, lower case, _ and - as spaces, white space squeezed."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(nfkc(F.coalesce(text, F.lit("")))), "ё", "е"), "[_-]+", " "), r"\s+", " "))
 
 
 def first_match(text: Column, ladder: list[tuple[str, str]]) -> Column:

@@ -7,6 +7,8 @@ components of the scored pairs never influence each other: the order-dependent m
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,6 +18,7 @@ from sightline.functions.text import plain
 from sightline.operators.components import connected_components
 from sightline.operators.spatial import neighbour_pairs
 from sightline.params import DEFAULTS, Params
+from sightline.tables import Scratch
 
 
 def member_key() -> Column:
@@ -25,11 +28,13 @@ def member_key() -> Column:
 def initial_keys(stations: DataFrame, overrides: DataFrame) -> DataFrame:
     """stations with member and key: a manual override, else the source's id, else a hash of brand, address and place.
 
-    overrides (member, manual): a small configured table.
+    overrides (member, manual): a small configured table. Stations that come with a member of their own keep it; that
+    sets those without an id apart.
     """
     anon = F.concat(F.lit("anon:"), F.substring(F.sha2(F.concat_ws("|", F.coalesce("comparable", F.lit("")), F.coalesce("norm", F.lit("")), F.col("lon").cast("string"), F.col("lat").cast("string")), 256), 1, 20))
     own = F.when(F.col("station").isNotNull(), F.concat(F.lit("source:"), F.col("source"), F.lit(":"), F.col("station"))).otherwise(anon)
-    j = stations.withColumn("member", member_key()).join(overrides, "member", "left")
+    named = stations if "member" in stations.columns else stations.withColumn("member", member_key())
+    j = named.join(overrides, "member", "left")
     return j.withColumn("key", F.coalesce(F.concat(F.lit("manual:"), F.col("manual")), own))
 
 
@@ -71,80 +76,99 @@ def merge_component(members: list[tuple], scores: dict[tuple[str, str], float],
 
     members: (order, member, key, source). The first pair (in order) of groups with disjoint sources, no two manual
     keys, a score of at least the threshold and a lead of at least the margin over its rivals is merged; then again.
-    A group's score is its least member score; a rival shares a source with the counterpart, not with the target.
+    A group's score is its least member score, if all its members score; a rival shares a source with the counterpart,
+    not with the target. Pairs wait in a heap in their order; a merge can change the pairs near it only, which are
+    looked at again.
     """
-    groups: dict[str, dict] = {}
+    names: dict[str, int] = {}
+    groups: list[dict | None] = []
+    owner: dict[str, int] = {}
     for _, member, key, source in sorted(members):
-        g = groups.setdefault(key, {"members": [], "sources": set(), "manual": key if key.startswith("manual:") else None})
-        g["members"].append(member)
-        g["sources"].add(source)
-    live: list[dict | None] = list(groups.values())
-    doubts: dict[str, tuple[str, float, float]] = {}
-
-    def total(x, y):
-        found = [scores.get((min(i, j), max(i, j))) for i in x["members"] for j in y["members"]]
-        return None if None in found or not found else min(found)
-
-    def clash(x, y):
-        return bool(x["manual"] and y["manual"] and x["manual"] != y["manual"])
-
-    def rival(target, other):
-        best = 0.0
-        for g in live:
-            if g is None or g is target or g is other or not g["sources"] & other["sources"] or g["sources"] & target["sources"] or clash(target, g):
-                continue
-            best = max(best, total(target, g) or 0.0)
-        return best
-
-    def one_merge():
-        for i, x in enumerate(live):
-            for j in range(i + 1, len(live)):
-                y = live[j]
-                if x is None or y is None or x["sources"] & y["sources"] or clash(x, y):
-                    continue
-                s = total(x, y)
-                if s is None or s < p.merge_threshold:
-                    continue
-                second = max(rival(x, y), rival(y, x))
-                if s - second < p.ambiguity_margin:
-                    name = ",".join(sorted(x["members"] + y["members"]))
-                    doubts.setdefault(name, (name, round(s, 4), round(second, 4)))
-                    continue
-                live[i] = {"members": x["members"] + y["members"], "sources": x["sources"] | y["sources"], "manual": x["manual"] or y["manual"]}
-                live[j] = None
-                return True
-        return False
-
-    while one_merge():
-        pass
-    return [g["members"] for g in live if g], list(doubts.values())
-
-
-def resolve(stations: DataFrame, p: Params = DEFAULTS, most: int = 5000) -> tuple[DataFrame, DataFrame]:
+        at = names.setdefault(key, len(names))
+        if at == len(groups):
+            groups.append({"members": [], "sources": set(), "manual": key if key.startswith("manual:") else None, "near": {}})
+        groups[at]["members"].append(member)
+        groups[at]["sources"].add(source)
+        owner[member] = at
+    # near: of each neighbour, how many member pairs score and the least score.
+    for (a, b), score in scores.items():
+        i, j = owner.get(a), owner.get(b)
+        if i is not None and j is not None and i != j:
+            for x, y in ((i, j), (j, i)):
+                count, least = groups[x]["near"].get(y, (0, score))
+                groups[x]["near"][y] = count + 1, min(least, score)
+
+    def total(i: int, j: int) -> float | None:
+        count, least = groups[i]["near"].get(j, (0, 0.0))
+        return least if count and count == len(groups[i]["members"]) * len(groups[j]["members"]) else None
+
+    def apart(x: dict, y: dict) -> bool:
+        """Whether two groups may not be one."""
+        return bool(x["sources"] & y["sources"]) or bool(x["manual"] and y["manual"] and x["manual"] != y["manual"])
+
+    def rival(i: int, j: int) -> float:
+        target, other = groups[i], groups[j]
+        return max((total(i, k) or 0.0 for k in target["near"] if k != j and groups[k]["sources"] & other["sources"] and not apart(target, groups[k])), default=0.0)
+
+    waiting = sorted({(min(i, j), max(i, j)) for i, g in enumerate(groups) for j in g["near"]})
+    known, doubts = set(waiting), {}
+    while waiting:
+        i, j = pair = heapq.heappop(waiting)
+        known.discard(pair)
+        x, y = groups[i], groups[j]
+        if x is None or y is None or apart(x, y):
+            continue
+        score = total(i, j)
+        if score is None or score < p.merge_threshold:
+            continue
+        second = max(rival(i, j), rival(j, i))
+        if score - second < p.ambiguity_margin:
+            name = ",".join(sorted(x["members"] + y["members"]))
+            doubts.setdefault(name, (name, round(score, 4), round(second, 4)))
+            continue
+        near = {k: v for k, v in x["near"].items() if k != j}
+        for k, (count, least) in y["near"].items():
+            if k != i:
+                more, low = near.get(k, (0, least))
+                near[k] = count + more, min(least, low)
+        groups[i] = {"members": x["members"] + y["members"], "sources": x["sources"] | y["sources"], "manual": x["manual"] or y["manual"], "near": near}
+        groups[j] = None
+        for k, v in near.items():
+            groups[k]["near"].pop(j, None)
+            groups[k]["near"][i] = v
+        for k in (i, *near):
+            for m in groups[k]["near"]:
+                again = min(k, m), max(k, m)
+                if again not in known:
+                    known.add(again)
+                    heapq.heappush(waiting, again)
+    return [g["members"] for g in groups if g], list(doubts.values())
+
+
+def resolve(stations: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """(groups, doubts): rows (group, member), and ambiguous pairs (members, score, rival).
 
-    stations need member, key and source. A component of more than `most` members, which neighbours within the drift
-    distance do not make, raises instead of being cut.
+    stations need member, key and source. A component (stations linked by scored pairs, each within the drift distance)
+    is merged in one task, in time in proportion to its pairs and their neighbours; it has no size limit.
     """
-    pairs = pair_scores(stations, p)
+    scratch = Scratch(stations.sparkSession, "resolve")
+    pairs = scratch.keep(pair_scores(stations, p))
     same_key = stations.groupBy("key").agg(F.min("member").alias("first"))
     joined = stations.join(same_key, "key").select(F.col("member").alias("u"), F.col("first").alias("v"))
     parts = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(joined))
-    placed = stations.select("member", "key", "source", F.coalesce("order", F.lit(0)).alias("order") if "order" in stations.columns else F.lit(0).alias("order")).join(parts.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+    order = F.coalesce("order", F.lit(0)).alias("order") if "order" in stations.columns else F.lit(0).alias("order")
+    placed = stations.select("member", "key", "source", order).join(parts.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
     edges = pairs.join(parts.withColumnRenamed("node", "a"), "a").select("component", F.lit(1).alias("kind"), "a", "b", "score", F.lit(0).alias("order"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("source"))
     rows = edges.unionByName(placed.select("component", F.lit(0).alias("kind"), F.col("member").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("score"), "order", "key", "source"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        members = pdf[pdf["kind"] == 0]
-        if len(members) > most:
-            raise ValueError(f"component of {len(members)} members around {members['a'].iloc[0]}")
-        links = pdf[pdf["kind"] == 1]
+        members, links = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
         scores = {(a, b): s for a, b, s in zip(links["a"], links["b"], links["score"], strict=True)}
         groups, doubts = merge_component(list(zip(members["order"], members["a"], members["key"], members["source"], strict=True)), scores, p)
         out = [(min(g), m, None, None) for g in groups for m in g] + [(None, *d) for d in doubts]
         return pd.DataFrame(out, columns=["group", "member", "score", "rival"]).astype({"score": "float64", "rival": "float64"})
 
-    done = rows.groupBy("component").applyInPandas(run, "group string, member string, score double, rival double")
+    done = scratch.keep(rows.groupBy("component").applyInPandas(run, "group string, member string, score double, rival double"))
     return done.where("group is not null").select("group", "member"), done.where("group is null").select(F.col("member").alias("members"), "score", "rival")
 
 

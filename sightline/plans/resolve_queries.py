@@ -18,39 +18,39 @@ def stations(spark, sf):
     brand = F.when(F.col("k") % 11 == 0, "brand-id:9").otherwise(F.concat(F.lit("brand "), (place % 7).cast("string")))
     house = place.cast("string")
     return b.select(
-        "source", F.when(F.col("k") % 50 > 0, F.col("k").cast("string")).alias("station"), F.concat(F.lit("station "), (place % 9).cast("string")).alias("title"), brand.alias("brand"),
+        "k", "source", F.when(F.col("k") % 50 > 0, F.col("k").cast("string")).alias("station"), F.concat(F.lit("station "), (place % 9).cast("string")).alias("title"), brand.alias("brand"),
         F.when(F.col("k") % 11 == 0, "").otherwise(brand).alias("comparable"), F.concat(F.lit("street "), (place % 5).cast("string"), F.lit(" "), house).alias("norm"), house.alias("house"),
         F.when(F.col("k") % 13 == 0, F.create_map(F.lit("корпус"), F.col("source"))).otherwise(F.create_map().cast("map<string,string>")).alias("units"),
         (44.40 + n / 5000 + F.when(F.col("source") == "s", 0.0001).otherwise(0.0)).alias("lon"), (48.65 + (F.col("k") * 104729 % 1000) / 5000).alias("lat"),
-    ).withColumn("member", F.concat("source", F.lit(":"), F.coalesce("station", F.concat(F.lit("x"), "house", F.lit("-"), F.crc32(F.col("norm").cast("binary")).cast("string")))))
+    ).withColumn("member", F.concat("source", F.lit(":"), F.coalesce("station", F.concat(F.lit("x"), F.col("k").cast("string")))))
 
 
 STATIONS = """b AS (SELECT c_custkey AS k, 'c' AS source FROM customer UNION ALL SELECT s_suppkey, 's' FROM supplier),
 st AS (SELECT source, CASE WHEN k % 50 > 0 THEN k::VARCHAR END AS station, k, 'station ' || (k % 1000) % 9 AS title, CASE WHEN k % 11 = 0 THEN 'brand-id:9' ELSE 'brand ' || (k % 1000) % 7 END AS brand, CASE WHEN k % 11 = 0 THEN '' ELSE 'brand ' || (k % 1000) % 7 END AS comparable,
-'street ' || (k % 1000) % 5 || ' ' || k % 1000 AS norm, (k % 1000)::VARCHAR AS house, CASE WHEN k % 13 = 0 THEN source END AS unit, 44.40::DOUBLE + (k * 7919 % 1000)::DOUBLE / 5000 + CASE source WHEN 's' THEN 0.0001::DOUBLE ELSE 0 END AS lon, 48.65::DOUBLE + (k * 104729 % 1000)::DOUBLE / 5000 AS lat FROM b)"""
+'street ' || (k % 1000) % 5 || ' ' || k % 1000 AS norm, (k % 1000)::VARCHAR AS house, CASE WHEN k % 13 = 0 THEN source END AS unit, 44.40::DOUBLE + (k * 7919 % 1000)::DOUBLE / 5000 + CASE source WHEN 's' THEN 0.0001::DOUBLE ELSE 0 END AS lon, 48.65::DOUBLE + (k * 104729 % 1000)::DOUBLE / 5000 AS lat, source || ':' || CASE WHEN k % 50 > 0 THEN k::VARCHAR ELSE 'x' || k END AS member FROM b)"""
 
 
-@query("d1_initial_keys", f"WITH {STATIONS} SELECT source, k::VARCHAR AS station, CASE WHEN k % 100 = 7 THEN 'manual:m' || k % 1000 ELSE 'source:' || source || ':' || k END AS key FROM st WHERE station IS NOT NULL")
+@query("d1_initial_keys", f"WITH {STATIONS} SELECT source, k, station, CASE WHEN k % 100 = 7 THEN 'manual:m' || k % 1000 WHEN station IS NOT NULL THEN 'source:' || source || ':' || k ELSE 'anon:' || left(sha256(comparable || '|' || norm || '|' || lon::VARCHAR || '|' || lat::VARCHAR), 20) END AS key FROM st")
 def d1(spark, sf):
-    s = stations(spark, sf).where("station is not null").drop("member")
-    overrides = s.where("int(station) % 100 = 7").select(R.member_key().alias("member"), F.concat(F.lit("m"), "house").alias("manual"))
-    return R.initial_keys(s, overrides).select("source", "station", "key")
+    s = stations(spark, sf)
+    overrides = s.where("k % 100 = 7").select("member", F.concat(F.lit("m"), "house").alias("manual"))
+    return R.initial_keys(s, overrides).select("source", "k", "station", "key")
 
 
 _DIST = hav("a.lon", "a.lat", "b.lon", "b.lat")
 _JAC = "len(list_intersect(string_split(a.{0}, ' '), string_split(b.{0}, ' '))) / len(list_distinct(list_concat(string_split(a.{0}, ' '), string_split(b.{0}, ' '))))"
 
 
-@query("d3_pair_scores", f"""WITH {STATIONS}, m AS (SELECT *, source || ':' || station AS member FROM st WHERE station IS NOT NULL), p AS (SELECT a.member AS a, b.member AS b, {_DIST} AS d, a.comparable <> '' AND a.comparable = b.comparable AS same, {_JAC.format('norm')} AS ja, {_JAC.format('title')} AS jt, a.norm = b.norm AS eq
+@query("d3_pair_scores", f"""WITH {STATIONS}, m AS (SELECT * FROM st), p AS (SELECT a.member AS a, b.member AS b, {_DIST} AS d, a.comparable <> '' AND a.comparable = b.comparable AS same, {_JAC.format('norm')} AS ja, {_JAC.format('title')} AS jt, a.norm = b.norm AS eq
 FROM m a JOIN m b ON a.member < b.member AND abs(a.lat - b.lat) < 0.002 AND abs(a.lon - b.lon) < 0.003 WHERE a.comparable <> '' AND b.comparable <> '' AND a.comparable = b.comparable AND a.house = b.house AND NOT coalesce(a.unit <> b.unit, false))
 SELECT a, b, round(CASE WHEN eq AND d <= 5 THEN 1.2 ELSE 0.45 * (1 - d / 100) + 0.4 * ja + 0.15 * greatest(jt, same::INT) END, 6) AS score FROM p WHERE d <= 100""")
 def d3(spark, sf):
-    return R.pair_scores(stations(spark, sf).where("station is not null")).select("a", "b", F.round("score", 6).alias("score"))
+    return R.pair_scores(stations(spark, sf)).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def _resolved(spark, sf):
-    s = stations(spark, sf).where("station is not null")
-    keyed = R.initial_keys(s.drop("member"), s.where("int(station) % 100 = 7").select("member", F.concat(F.lit("m"), "source", "station").alias("manual")))
+    s = stations(spark, sf)
+    keyed = R.initial_keys(s, s.where("k % 100 = 7").select("member", F.concat(F.lit("m"), "source", F.col("k").cast("string")).alias("manual")))
     return keyed, *R.resolve(keyed)
 
 
@@ -62,13 +62,13 @@ def d5(spark, sf):
 @query("d6_stable_keys")
 def d6(spark, sf):
     keyed, groups, _ = _resolved(spark, sf)
-    previous = keyed.where("int(station) % 3 = 0").select("member", F.concat(F.lit("old:"), "house").alias("previous"))
+    previous = keyed.where("k % 3 = 0").select("member", F.concat(F.lit("old:"), "house").alias("previous"))
     return R.stable_keys(groups, keyed, previous)
 
 
-@query("d7_canonical_fields", f"WITH {STATIONS}, g AS (SELECT house, arg_min(title, (CASE source WHEN 's' THEN 0 ELSE 1 END, source, source || ':' || station)) AS title, arg_min(brand, (CASE source WHEN 's' THEN 0 ELSE 1 END, source, source || ':' || station)) AS brand FROM st WHERE station IS NOT NULL GROUP BY 1) SELECT * FROM g")
+@query("d7_canonical_fields", f"WITH {STATIONS}, g AS (SELECT house, arg_min(title, (CASE source WHEN 's' THEN 0 ELSE 1 END, source, member)) AS title, arg_min(brand, (CASE source WHEN 's' THEN 0 ELSE 1 END, source, member)) AS brand FROM st GROUP BY 1) SELECT * FROM g")
 def d7(spark, sf):
-    s = stations(spark, sf).where("station is not null")
+    s = stations(spark, sf)
     out = R.canonical(s.select(F.col("house").alias("group"), "member"), s, ["s", "c"])
     return out.select(F.col("group").alias("house"), "title", "brand")
 

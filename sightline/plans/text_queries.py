@@ -54,10 +54,10 @@ def b4(spark, sf):
     return p.select("p_partkey", X.octane(F.when(c == 0, F.concat(F.lit("AI"), o, F.lit("_BASE"))), F.when(c == 1, F.concat(F.lit("AI-"), o)), F.when(c == 2, F.concat(F.lit("АИ "), o, F.lit(" plus"))).when(c == 3, F.concat(F.lit("x"), o)).otherwise(F.lit("diesel"))).alias("octane"))
 
 
-_STATUS_SAY = ["", "no data", "Not available", "OUT_OF_STOCK", "нет топлива", "low stock", "заканчивается", "In-Stock", "available", "есть", "uncertain", "whatever"]
-_STATUS_IS = ["UNKNOWN", "UNKNOWN", "OUT_OF_STOCK", "OUT_OF_STOCK", "OUT_OF_STOCK", "LIMITED", "LIMITED", "IN_STOCK", "IN_STOCK", "IN_STOCK", "UNCERTAIN", "UNKNOWN"]
-_QUEUE_SAY = ["", "Very long", "no queue", "high", "moderate", "small queue", "небольшая", "большая очередь", "нет", "unknown", "?"]
-_QUEUE_IS = [None, "VERY_LONG", "NONE", "LONG", "MEDIUM", "SHORT", "SHORT", "LONG", "NONE", None, None]
+_STATUS_SAY = ["", "no data", "Not available", "OUT_OF_STOCK", "нет топлива", "low stock", "заканчивается", "In-Stock", "available", "есть", "uncertain", "whatever", "not\u00a0available", "in\u00a0stock", "ｉｎ　ｓｔｏｃｋ"]
+_STATUS_IS = ["UNKNOWN", "UNKNOWN", "OUT_OF_STOCK", "OUT_OF_STOCK", "OUT_OF_STOCK", "LIMITED", "LIMITED", "IN_STOCK", "IN_STOCK", "IN_STOCK", "UNCERTAIN", "UNKNOWN", "OUT_OF_STOCK", "IN_STOCK", "IN_STOCK"]
+_QUEUE_SAY = ["", "Very long", "no queue", "high", "moderate", "small queue", "небольшая", "большая очередь", "нет", "unknown", "?", "ｖｅｒｙ\u00a0ｌｏｎｇ", "без\u00a0очереди"]
+_QUEUE_IS = [None, "VERY_LONG", "NONE", "LONG", "MEDIUM", "SHORT", "SHORT", "LONG", "NONE", None, None, "VERY_LONG", "NONE"]
 
 
 def _pick(values, column):
@@ -68,12 +68,12 @@ def _sql_list(values):
     return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
 
 
-@query("b5_status_words", f"WITH {V.EVENTS} SELECT event_id, {_sql_list(_STATUS_IS)}[event_id % 12 + 1] AS status FROM e")
+@query("b5_status_words", f"WITH {V.EVENTS} SELECT event_id, {_sql_list(_STATUS_IS)}[event_id % 15 + 1] AS status FROM e")
 def b5(spark, sf):
     return V.events(spark, sf).select("event_id", X.status(F.concat(F.lit(" "), _pick(_STATUS_SAY, F.col("event_id")), F.lit("  "))).alias("status"))
 
 
-@query("b6_queue_words", f"WITH {V.EVENTS} SELECT event_id, coalesce({_sql_list(_QUEUE_IS)}[event_id % 11 + 1], {_sql_list(_QUEUE_IS)}[k % 11 + 1]) AS ordinal FROM e")
+@query("b6_queue_words", f"WITH {V.EVENTS} SELECT event_id, coalesce({_sql_list(_QUEUE_IS)}[event_id % 13 + 1], {_sql_list(_QUEUE_IS)}[k % 13 + 1]) AS ordinal FROM e")
 def b6(spark, sf):
     return V.events(spark, sf).select("event_id", X.queue_ordinal(_pick(_QUEUE_SAY, F.col("event_id")), _pick(_QUEUE_SAY, F.col("k"))).alias("ordinal"))
 
@@ -163,7 +163,7 @@ def b21(spark, sf):
     return V.events(spark, sf).select("event_id", local_minute(m, 180).alias("minute"), local_weekday(m, 180).alias("weekday"))
 
 
-# A: payloads. Each payload is the JSON of the stations of one batch (user % 50).
+# A: payloads. Each payload is the JSON of one station (user), so that none grows with the table.
 def _iso(column):
     return F.date_format(F.timestamp_seconds(column), "yyyy-MM-dd HH:mm:ss")
 
@@ -175,7 +175,7 @@ def timeline_payloads(spark, sf):
     g = e.groupBy("entity").agg(F.collect_list(comment).alias("comments"), F.max("t").alias("t"), F.max_by("k", F.struct("t", "event_id")).alias("k"), F.max_by("event_type", F.struct("t", "event_id")).alias("last"))
     k = F.col("k")
     row = F.struct(F.col("entity").cast("string").alias("id"), F.when(F.col("entity") % 17 == 0, "").otherwise(F.lit("44.5")).alias("lon"), F.lit("48.7").alias("lat"), F.concat(F.lit("s"), F.col("entity").cast("string")).alias("name"), F.when(k % 3 == 0, "92 · Очередь 100+ машин").when(k % 3 == 1, "АИ-95, 98 · Цена 60").otherwise("Обновлено 95 минут назад").alias("detail"), F.when(F.col("last") == "error", "no").otherwise("yes").alias("status"), _iso("t").alias("last_at"), F.when(k % 4 == 0, "92,95,ДТ").when(k % 4 == 1, "ДТ").when(k % 4 == 2, "").otherwise("95").alias("fuels_now"), "comments")
-    return g.select(row.alias("r"), (F.col("entity") % 50).alias("b")).groupBy("b").agg(F.to_json(F.collect_list("r")).alias("payload")).select(F.lit("timeline").alias("source"), F.lit(V.NOW).alias("fetched_at"), "payload")
+    return g.select(F.lit("timeline").alias("source"), F.lit(V.NOW).alias("fetched_at"), F.to_json(F.array(row)).alias("payload"))
 
 
 LASTK = "lk AS (SELECT entity, max(t) AS t, arg_max(k, (t, event_id)) AS k, arg_max(event_type, (t, event_id)) AS last FROM e GROUP BY 1)"
@@ -199,7 +199,7 @@ def status_payloads(spark, sf):
     g = e.groupBy("entity").agg(F.collect_list(fuel).alias("fuel_statuses"))
     station = F.struct(F.col("entity").cast("string").alias("id"), F.lit("44.5").alias("lng"), F.lit("48.7").alias("lat"), F.lit("n").alias("name"), F.lit("a").alias("address"), F.lit("b").alias("brand"))
     row = F.struct(station.alias("station"), "fuel_statuses", F.lit(40.0).alias("limit_liters"), F.array(F.lit("АИ-92"), F.lit("95")).alias("fuel_assortment"))
-    return g.select(row.alias("r"), (F.col("entity") % 50).alias("b")).groupBy("b").agg(F.to_json(F.collect_list("r")).alias("payload")).select(F.lit("status").alias("source"), F.lit(V.NOW).alias("fetched_at"), "payload")
+    return g.select(F.lit("status").alias("source"), F.lit(V.NOW).alias("fetched_at"), F.to_json(F.array(row)).alias("payload"))
 
 
 @query("a2_status_observations", f"WITH {V.EVENTS} SELECT entity::VARCHAR AS station, 'АИ-' || ['92', '95', '98', '100'][k % 4 + 1] AS grade, CASE event_type WHEN 'purchase' THEN 'IN_STOCK' WHEN 'error' THEN 'OUT_OF_STOCK' ELSE 'UNKNOWN' END AS status, t AS at FROM e")
@@ -221,7 +221,7 @@ def exhaustive_payloads(spark, sf):
     arr = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
     st = F.struct(F.when(F.col("last") == "error", "no").otherwise("yes").alias("status"), _iso("t").alias("updated_at"), F.when(k % 4 == 0, arr("АИ-95", "АИ-95+")).when(k % 4 == 1, arr("АИ-92")).otherwise(arr()).alias("fuels_now"), F.when(k % 8 == 2, arr("95")).otherwise(arr()).alias("fuels_out"), F.when(k % 5 == 0, F.struct(_iso(F.col("t") + F.when(k % 2 == 0, 60).otherwise(-60)).alias("created_at"), F.lit("x").alias("text"))).alias("conflict"))
     row = F.struct(F.col("entity").cast("string").alias("id"), F.lit("44.5").alias("lon"), F.lit("48.7").alias("lat"), st.alias("st"))
-    return g.select(row.alias("r"), (F.col("entity") % 50).alias("b")).groupBy("b").agg(F.to_json(F.collect_list("r")).alias("payload")).select(F.lit("exhaustive").alias("source"), F.lit(V.NOW).alias("fetched_at"), "payload")
+    return g.select(F.lit("exhaustive").alias("source"), F.lit(V.NOW).alias("fetched_at"), F.to_json(F.array(row)).alias("payload"))
 
 
 @query("a3_exhaustive_observations", f"""WITH {V.EVENTS}, {LASTK}, x AS (SELECT entity::VARCHAR AS station, t, k, last = 'error' AS gone, k % 5 = 0 AND k % 2 = 0 AS active, k % 4 = 0 AS has FROM lk),
@@ -236,7 +236,7 @@ def tree_payloads(spark, sf):
     fuel = F.struct(F.concat(F.lit("g"), (F.col("k") % 4).cast("string")).alias("fuel"), F.col("event_type").alias("status"), F.when(F.col("k") % 3 > 0, F.when(F.col("k") % 3 == 1, F.col("t")).otherwise(F.col("t") * 1000)).alias("updatedAt"), F.when(F.col("k") % 2 == 0, F.col("k")).alias("signalsCountPerHour"))
     g = e.groupBy("entity").agg(F.collect_list(fuel).alias("fuels"))
     row = F.struct(F.when(F.col("entity") % 2 == 0, F.col("entity").cast("string")).alias("id"), F.when(F.col("entity") % 2 == 1, F.col("entity").cast("string")).alias("businessId"), F.array(F.lit(44.5), F.when(F.col("entity") % 13 > 0, F.lit(48.7))).alias("coordinates"), "fuels", F.lit(5).alias("updatedAt"))
-    return g.select(row.alias("r"), (F.col("entity") % 50).alias("b")).groupBy("b").agg(F.to_json(F.struct(F.collect_list("r").alias("items"))).alias("payload")).select(F.lit("tree").alias("source"), F.lit(V.NOW).alias("fetched_at"), "payload")
+    return g.select(F.lit("tree").alias("source"), F.lit(V.NOW).alias("fetched_at"), F.to_json(F.struct(F.array(row).alias("items"))).alias("payload"))
 
 
 @query("a4_state_tree", f"WITH {V.EVENTS} SELECT entity::VARCHAR AS station, 'g' || k % 4 AS fuel, event_type AS status, CASE WHEN k % 2 = 0 THEN k::DOUBLE END AS signals, CASE WHEN k % 3 > 0 THEN t::DOUBLE END AS at FROM e WHERE entity % 13 > 0")
@@ -329,3 +329,33 @@ def a14(spark, sf):
 @query("a16_retention", f"WITH {V.EVENTS} SELECT event_id FROM e WHERE t >= {V.NOW} - 7 * 86400")
 def a16(spark, sf):
     return store.retained(V.events(spark, sf).withColumn("fetched_at", F.col("t")), V.NOW, 7).select("event_id")
+
+
+def _stored_lines(spark, sf):
+    """JSON lines of the events, in the shared folder: every seventh is torn, every eleventh has no stations."""
+    e = V.events(spark, sf)
+    line = F.to_json(F.struct(F.col("t").alias("fetched_at"), F.when(F.col("event_id") % 11 > 0, F.array(F.col("entity").cast("string"))).alias("stations"), "event_id"))
+    path = Scratch(spark, "lines").path()
+    e.select(F.when(F.col("event_id") % 7 == 0, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(path)
+    return store.read_lines(spark, path, "fetched_at long, stations array<string>, event_id long")
+
+
+@query("a13_readable_lines", f"WITH {V.EVENTS} SELECT event_id, t AS fetched_at, entity::VARCHAR AS station FROM e WHERE event_id % 7 > 0 AND event_id % 11 > 0")
+def a13(spark, sf):
+    return _stored_lines(spark, sf)[0].select("event_id", "fetched_at", F.get("stations", F.lit(0)).alias("station"))
+
+
+@query("a13_corrupt_lines", f"WITH {V.EVENTS} SELECT count(*) FILTER (event_id % 7 = 0 OR event_id % 11 = 0) AS corrupt FROM e")
+def a13c(spark, sf):
+    return _stored_lines(spark, sf)[1]
+
+
+@query("a18_snapshot_sink", f"""WITH {V.EVENTS}, x AS (SELECT event_id, entity, strftime(make_timestamp(t * 1000000), '%Y-%m-%d') AS day FROM e), l AS (SELECT max(day) AS last FROM x)
+SELECT event_id, day, day = last AS replaced FROM x, l WHERE day < last OR entity % 2 = 0""")
+def a18(spark, sf):
+    path = Scratch(spark, "snapshots").path()
+    rows = V.events(spark, sf).select("event_id", "entity", F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd").alias("day"), F.lit(False).alias("replaced"))
+    store.write_snapshot(rows, path)
+    last = rows.agg(F.max("day").alias("day"))
+    store.write_snapshot(rows.where("entity % 2 = 0").join(last, "day", "left_semi").withColumn("replaced", F.lit(True)).select(*rows.columns), path)
+    return spark.read.parquet(path).select("event_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "replaced")

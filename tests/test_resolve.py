@@ -1,6 +1,7 @@
 """Entity resolution and components against plain single-machine versions."""
 
 import random
+import time
 
 from sightline.functions.address import address_parts, normal_address
 from sightline.operators import resolve as R
@@ -99,6 +100,78 @@ def test_stable_keys(spark):
     assert got == {"a:1": "old", "c:1": "source:c:1"}
 
 
+def plain_merges(members, scores, p):
+    """The rule as stated, starting again after every merge."""
+    groups = {}
+    for _, m, key, source in sorted(members):
+        groups.setdefault(key, [[], set(), key if key.startswith("manual:") else None])[0].append(m)
+        groups[key][1].add(source)
+    live, doubts = list(groups.values()), {}
+
+    def total(x, y):
+        found = [scores.get((min(a, b), max(a, b))) for a in x[0] for b in y[0]]
+        return None if None in found else min(found)
+
+    clash = lambda x, y: x[2] and y[2] and x[2] != y[2]
+
+    def rival(x, y):
+        return max((total(x, g) or 0 for g in live if g is not x and g is not y and g[1] & y[1] and not g[1] & x[1] and not clash(x, g)), default=0)
+
+    def step():
+        for i, x in enumerate(live):
+            for y in live[i + 1 :]:
+                s = None if x[1] & y[1] or clash(x, y) else total(x, y)
+                if s is None or s < p.merge_threshold:
+                    continue
+                second = max(rival(x, y), rival(y, x))
+                if s - second >= p.ambiguity_margin:
+                    live[i] = [x[0] + y[0], x[1] | y[1], x[2] or y[2]]
+                    live.remove(y)
+                    return True
+                name = ",".join(sorted(x[0] + y[0]))
+                doubts.setdefault(name, (name, round(s, 4), round(second, 4)))
+        return False
+
+    while step():
+        pass
+    return sorted(sorted(g[0]) for g in live), sorted(doubts.values())
+
+
+def test_merges_equal_the_plain_rule():
+    rng = random.Random(20)
+    merged = 0
+    for _ in range(1500):
+        p = Params(ambiguity_margin=rng.choice([0, 0.05, 0.18, 0.5]))
+        n = rng.randint(3, 12)
+        members = [(0, f"m{i:02}", f"manual:{rng.randint(0, 1)}" if rng.random() < 0.1 else f"source:m{rng.randint(0, i):02}", rng.choice("vwxyz")) for i in range(n)]
+        scores = {(f"m{i:02}", f"m{j:02}"): rng.choice([0.5, 0.83, 0.9, 1.0, 1.2]) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5}
+        groups, doubts = R.merge_component(members, scores, p)
+        assert (sorted(map(sorted, groups)), sorted(doubts)) == plain_merges(members, scores, p)
+        merged += len(groups) < len({m[2] for m in members})
+    assert merged > 300
+
+
+def test_large_components_merge_in_time():
+    n = 3000
+    members = [(0, f"m{i:05}", f"source:m{i:05}", f"s{i % 7}") for i in range(n)]
+    scores = {(f"m{i:05}", f"m{j:05}"): 1.2 - (j - i) / 100 for i in range(n) for j in range(i + 1, min(n, i + 8))}
+    began = time.process_time()
+    groups, _ = R.merge_component(members, scores, Params(ambiguity_margin=0))
+    assert sum(map(len, groups)) == n and time.process_time() - began < 20
+
+
+def test_address_rules():
+    """One case for each rule of the grammar."""
+    told = {
+        "ул. Мира, 10/1": "мира 10 корпус 1", "ул. Мира, 10, лит. А": "мира 10 литера а", "Мира 10 стр. Б": "мира 10 строение б", "Мира 5 к 2": "мира 5 корпус 2",
+        "ул. Мира, 27 г": "мира 27г", "ул. Мира, 27 г, Волгоград": "мира 27г", "ул. Мира, 27, г. Волгоград": "мира 27", "Мира 27Г": "мира 27г",
+        "400075 г. Волгоград, ул. Мира, 27": "мира 27", "ул. им. К. А. Тимирязева, 5": "к а тимирязева 5", "Ёлочная ул., 3": "елочная 3", "проспект Мира １２": "мира 12",
+    }
+    assert {a: normal_address(a) for a in told} == told
+    assert normal_address("ул. им. К. Маркса, 5", {"карла маркса": ["к маркса"]}) == "карла маркса 5"
+    assert address_parts("мира 10 литера а") == ("10", {"литера": "а"}) and address_parts("мира 12 корпус 3 строение б") == ("12", {"корпус": "3", "строение": "б"})
+
+
 def test_addresses():
     assert normal_address("г. Волгоград, ул. Мира, 5/2") == "мира 5 корпус 2"
     assert normal_address("400005, проспект Мира, 5 г, стр. 3") == "мира 5г строение 3"
