@@ -4,7 +4,7 @@
 `apply_policy` reads the bits, never the texts, so a new policy version costs a scan of a few integers per document.
 `ablation` tells in one aggregation, from the bits, what each rule of a policy does alone and beside the others.
 
-Nulls: a null text has no words (all measurements 0), a null id stays null. Repeated rows are judged one by one, so
+Very long texts are one row each, measured in place. Nulls: a null text has no words (all measurements 0), a null id stays null. Repeated rows are judged one by one, so
 ties cannot arise. An empty table gives an empty ledger. Columns whose names clash with a measurement's are replaced;
 other extra columns are kept.
 """
@@ -15,6 +15,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sightline.tables import Scratch, table
+
 #: ASCII white space that separates words, and the characters counted as symbols.
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -126,7 +128,7 @@ def apply_policy(book: DataFrame, policy: str, out: str = "kept") -> DataFrame:
 
 
 def ablation(book: DataFrame, policy: str, rules: list[Rule] = RULES) -> DataFrame:
-    """For each rule of the policy: rows failing it, rows only it fails, and rows kept without it.
+    """For each rule of the policy (and its bit): rows failing it, rows only it fails, and rows kept without it.
 
     One pass: the rows of each distinct bit pattern are counted first (at most 2 ** number of rules rows).
     """
@@ -134,7 +136,7 @@ def ablation(book: DataFrame, policy: str, rules: list[Rule] = RULES) -> DataFra
     seen = book.groupBy(F.col("fail_bits").bitwiseAND(F.lit(m)).alias("bits")).agg(F.count("*").alias("n"))
     parts = [F.struct(F.lit(r.name).alias("rule"), F.lit(1 << k).cast("long").alias("bit")) for k, r in enumerate(rules) if m >> k & 1]
     one = seen.select("bits", "n", F.explode(F.array(*parts)).alias("r")).select("bits", "n", "r.rule", "r.bit")
-    return one.groupBy("rule").agg(
+    return one.groupBy("rule", "bit").agg(
         F.sum(F.when(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.col("n")).otherwise(0)).alias("failing"),
         F.sum(F.when(F.col("bits") == F.col("bit"), F.col("n")).otherwise(0)).alias("failing_alone"),
         F.sum(F.when(F.col("bits").bitwiseAND(F.bitwise_not(F.col("bit"))) == 0, F.col("n")).otherwise(0)).alias("kept_without"),
@@ -142,10 +144,17 @@ def ablation(book: DataFrame, policy: str, rules: list[Rule] = RULES) -> DataFra
 
 
 def op8_quality_rules(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    book = apply_policy(ledger(docs), "v1")
-    base = F.col("fail_bits").bitwiseAND(F.lit(mask("base"))) != 0
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "n_upper", "fail_bits")
+    """The ledger, stored once; policies base and v1 and v1's ablation read the stored bits.
+
+    failing_alone: of a document that a single rule of v1 fails, how many documents that rule alone fails.
+    """
+    scratch = Scratch(spark, "quality-rules")
+    book = scratch.keep(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    alone = scratch.keep(ablation(book, "v1").select(F.col("bit").alias("sole"), "failing_alone"))
+    book = apply_policy(apply_policy(book, "v1"), "base", out="base_kept")
+    failed = F.col("fail_bits").bitwiseAND(F.lit(mask("v1")))
+    out = book.withColumn("sole", F.when(F.bit_count(failed) == 1, failed)).join(alone, "sole", "left")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "n_lines", "n_upper", "fail_bits", "failing_alone")
 
 
 ORACLE = r"""
@@ -176,7 +185,8 @@ WITH d AS (
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
-       (fail_bits & 127) = 0 AS kept, n_lines, n_upper, fail_bits
+       (fail_bits & 127) = 0 AS kept, n_lines, n_upper, fail_bits,
+       CASE WHEN bit_count(fail_bits & 127) = 1 THEN count(*) OVER (PARTITION BY fail_bits & 127) END AS failing_alone
 FROM b
 """
 
