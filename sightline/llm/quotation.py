@@ -1,7 +1,8 @@
 r"""Quotation linking: find what each message quotes, link it to the message it answers, and drop the quotes.
 
 Built-in expressions and joins only. A line's quote level is the number of `>` before its text; a passage is a run of
-lines of one level. The normal form of a passage (lower case, white space collapsed, so wrapping does not matter) is
+lines of one level, one of its paragraphs, or one of its lines; so a reply that quotes some of several paragraphs,
+wrapped to another width, is linked by each. The normal form of a passage (lower case, white space collapsed, so wrapping does not matter) is
 hashed and joined, within the conversation, to the earliest message whose own text has that passage: as its whole
 text, a paragraph or a line. Aggregating originals to the earliest per hash first keeps one row per passage, so a
 phrase that every message of a huge conversation repeats makes no pairs.
@@ -12,7 +13,7 @@ As an answer always comes after what it answers, (conv_id, thread, turn) is repl
 pointer doubling, log2(depth) joins.
 
 Nulls: a null text is an empty message; rows with a null conv_id or turn link to nothing and open a thread at their
-own turn. Repeated rows of one (conv_id, turn) each get the same links. An empty table gives an empty result. Extra
+own turn. Very long texts are cut in place; a deep chain costs its depth's logarithm in joins. Repeated rows of one (conv_id, turn) each get the same links. An empty table gives an empty result. Extra
 columns are ignored.
 """
 
@@ -26,6 +27,7 @@ from sightline.tables import Scratch, table
 #: What stands before a quoted line, and a line that introduces a quote.
 PREFIX = r"^[ >]*> ?"
 ATTRIBUTION = r"^ *On .* wrote: *$"
+PARAGRAPH = r"\n[ \t]*\n"
 
 
 def normal(text: Column) -> Column:
@@ -47,7 +49,7 @@ def lines_of(text: Column) -> Column:
 
 
 def passages_of(lines: Column) -> Column:
-    """array<struct<level, body>> of the quoted runs, and of their lines where a run has several."""
+    """array<struct<level, body>> of the quoted runs, of their paragraphs and of their lines where a run has several."""
 
     def runs(ls: Column) -> Column:
         starts = F.filter(F.transform(ls, lambda x, i: F.when((i == 0) | (x["level"] != F.get(ls, i - 1)["level"]), i)), lambda i: i.isNotNull())
@@ -55,7 +57,9 @@ def passages_of(lines: Column) -> Column:
         quoted = F.filter(let(starts, cut), lambda run: F.get(run, F.lit(0))["level"] > 0)
         whole = F.transform(quoted, lambda run: F.struct(F.get(run, F.lit(0))["level"].alias("level"), F.array_join(F.transform(run, lambda x: x["body"]), "\n").alias("body")))
         single = F.flatten(F.filter(quoted, lambda run: F.size(run) > 1))
-        return F.concat(whole, single)
+        several = lambda ws: F.filter(ws, lambda x: F.size(F.split(x["body"], PARAGRAPH)) > 1)
+        parted = lambda ws: F.flatten(F.transform(several(ws), lambda x: F.transform(F.split(x["body"], PARAGRAPH), lambda b: F.struct(x["level"].alias("level"), b.alias("body")))))
+        return let(whole, lambda ws: F.concat(ws, parted(ws), single))
 
     return let(lines, runs)
 
@@ -72,7 +76,7 @@ def link(messages: DataFrame) -> DataFrame:
     quotes = cut.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", F.col("p.level").alias("level"), normal(F.col("p.body")).alias("body")).where("body <> ''")
     quotes = quotes.select("conv_id", "turn", "level", F.md5("body").alias("hash"), F.size(F.split("body", " ")).alias("words")).distinct()
     quoting = quotes.select("conv_id").distinct()
-    own = cut.join(quoting, "conv_id", "left_semi").where("text <> ''").select("conv_id", "turn", F.explode(F.array_distinct(F.concat(F.array("text"), F.split("text", "\n"), F.split("text", r"\n[ \t]*\n")))).alias("body"))
+    own = cut.join(quoting, "conv_id", "left_semi").where("text <> ''").select("conv_id", "turn", F.explode(F.array_distinct(F.concat(F.array("text"), F.split("text", "\n"), F.split("text", PARAGRAPH)))).alias("body"))
     first = own.select("conv_id", "turn", normal(F.col("body")).alias("body")).where("body <> ''").groupBy("conv_id", F.md5("body").alias("hash")).agg(F.min("turn").alias("origin"))
     linked = quotes.join(first, ["conv_id", "hash"]).where("origin < turn")
     best = F.max(F.struct((-F.col("level")).alias("level"), "words", "origin"))["origin"]
@@ -132,6 +136,8 @@ WITH RECURSIVE m AS (
 ), quoted AS (
   SELECT rid, conv_id, turn, level, body FROM run
   UNION ALL
+  SELECT rid, conv_id, turn, level, unnest(ps) FROM (SELECT *, regexp_split_to_array(body, '\n[ \t]*\n') AS ps FROM run) WHERE len(ps) > 1
+  UNION ALL
   SELECT l3.rid, l3.conv_id, l3.turn, l3.level, l3.body FROM l3 JOIN (SELECT rid, level, grp FROM l3 WHERE level > 0 GROUP BY rid, level, grp HAVING count(*) > 1) b USING (rid, level, grp)
 ), nq AS (
   SELECT rid, count(*) AS n FROM quoted GROUP BY rid

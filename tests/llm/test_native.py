@@ -106,6 +106,22 @@ def test_quotation_equals_its_sql_on_quoting_mail(spark):
     assert ours == sql_rows(db, T.ORACLE)
 
 
+def test_some_paragraphs_quoted_at_another_width(spark):
+    first = "One long paragraph that was\nwrapped here.\n\nA second one that\nnobody quotes.\n\nThe third paragraph, also\nof two lines."
+    reply = "> One long paragraph\n> that was wrapped here.\n>\n> The third\n> paragraph, also of two lines.\nAgreed."
+    mail = [(1, 0, "a", first), (1, 1, "b", "Something else."), (1, 2, "c", reply)]
+    got = {r.turn: (r.reply_to, r.n_linked, r.text) for r in T.reply_ordered(spark.createDataFrame(mail, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[2] == (0, 2, "Agreed.")
+
+
+def test_one_huge_conversation_and_a_deep_chain(spark):
+    n = 700
+    mail = [(1, t, "u", f"message {t} of the chain" if t == 0 else f"> message {t - 1} of the chain\nmessage {t} of the chain") for t in range(n)] + [(2, t, "u", "> hello all\nsame words" if t else "hello all") for t in range(n)]
+    got = {(r.conv_id, r.turn): (r.thread, r.depth, r.reply_to) for r in T.reply_ordered(spark.createDataFrame(mail, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(got[1, t] == (0, t, t - 1 if t else None) for t in range(n))
+    assert all(got[2, t] == (0, min(t, 1), 0 if t else None) for t in range(n))
+
+
 def test_empty_conversations(spark):
     assert T.reply_ordered(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
