@@ -15,13 +15,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly trained quality classifier keeps."""
+    """Documents that the weakly trained quality classifier keeps.
+
+    Null texts are judged as empty ones, repeated rows alike; null ids stay. Columns beyond those of documents go.
+    """
     docs = docs.select(*COLUMNS)
     return quality_model.score(docs, quality_model.fit(docs)).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that an earlier one has, up to one word; a document that loses all its words goes."""
+    """Documents less the lines that an earlier one has, up to one word; a document that loses all its words goes.
+
+    Documents without a word to begin with stay, as do null texts and rows without a doc_id; repeated rows lose nothing
+    to each other.
+    """
     cut = line_dedup.dedup_lines(docs.select(*COLUMNS))
     cut = cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_dropped") == 0))
     return cut.select("doc_id", "text", "lang", "source", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
@@ -37,13 +44,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item, also with other numbers, names or units."""
+    """Documents that contain no benchmark item, also with other numbers, names or units.
+
+    Null and empty texts contain none; rows without a doc_id are not judged and stay; repeated rows share one judgement.
+    """
     out = decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return out.where("not contaminated").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left, encoded and decoded."""
+    """Token counts and digests of what is left, encoded and decoded.
+
+    A null text is an empty one; ids pass through, null or repeated, a row for each document.
+    """
     import public_tokenizers
 
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
