@@ -2,7 +2,8 @@
 
 A station row has source, station (its id there, may be null), title, brand (label), comparable (brand, '' if opaque),
 norm (address), house, units (map), lon, lat. Only pairs within the drift distance can score, so groups in different
-components of the scored pairs never influence each other: the order-dependent merge runs per component, in parallel.
+components of the pairs that can matter never influence each other: the order-dependent merge runs per component, in
+parallel.
 """
 
 from __future__ import annotations
@@ -148,11 +149,12 @@ def merge_component(members: list[tuple], scores: dict[tuple[str, str], float],
 def resolve(stations: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """(groups, doubts): rows (group, member), and ambiguous pairs (members, score, rival).
 
-    stations need member, key and source. A component (stations linked by scored pairs, each within the drift distance)
-    is merged in one task, in time in proportion to its pairs and their neighbours; it has no size limit.
+    stations need member, key and source. A pair that scores less than the threshold by the margin can neither merge
+    nor be a rival, so components are those of the other pairs. A component is merged in one task, in time in proportion
+    to its pairs and their neighbours; it has no size limit.
     """
     scratch = Scratch(stations.sparkSession, "resolve")
-    pairs = scratch.keep(pair_scores(stations, p))
+    pairs = scratch.keep(pair_scores(stations, p).where(F.col("score") > p.merge_threshold - p.ambiguity_margin - 1e-9))
     same_key = stations.groupBy("key").agg(F.min("member").alias("first"))
     joined = stations.join(same_key, "key").select(F.col("member").alias("u"), F.col("first").alias("v"))
     parts = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(joined))

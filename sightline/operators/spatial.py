@@ -7,6 +7,7 @@ higher-order functions on each row. Distances beside haversine are local equirec
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -75,8 +76,18 @@ def in_corridor(lon: Column, lat: Column, route: list[Point], width: float) -> C
     return distance_to_lines(lon, lat, edges([route], closed=False)) <= width / 2
 
 
+def turn(a: Point, b: Point, c: Point) -> float:
+    """Positive where a, b, c turn left, zero where they are in line; worked out in fractions where doubles can't tell."""
+    left, right = (b[0] - a[0]) * (c[1] - a[1]), (b[1] - a[1]) * (c[0] - a[0])
+    if abs(left - right) > 1e-15 * (abs(left) + abs(right)):
+        return left - right
+    (ax, ay), (bx, by), (cx, cy) = ([Fraction(float(v)) for v in p] for p in (a, b, c))
+    exact = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    return (exact > 0) - (exact < 0)
+
+
 def hull(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull, counter-clockwise from the least; collinear points left out."""
+    """Corners of the convex hull, counter-clockwise from the least; points in line with two corners left out."""
     points = np.unique(points, axis=0)
     if len(points) < 3:
         return points
@@ -84,7 +95,7 @@ def hull(points: np.ndarray) -> np.ndarray:
     def chain(rows):
         out: list = []
         for p in rows:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+            while len(out) > 1 and turn(out[-2], out[-1], p) <= 0:
                 out.pop()
             out.append(p)
         return out
@@ -149,15 +160,18 @@ def area_rejects(corners: DataFrame, ceilings: DataFrame, greatest: float = 2000
 
 
 def reference_points(corners: DataFrame) -> DataFrame:
-    """A point inside each area: the mean of its corners, or else the first middle of two alternate corners that is."""
+    """A point of each area: the mean of its corners if that is inside or on the edge, or else the first middle of two
+    alternate corners that is, or else the mean all the same."""
     w = W.partitionBy("area").orderBy("place")
     sides = corners.withColumns({"x2": F.coalesce(F.lead("lon").over(w), F.first("lon").over(w)), "y2": F.coalesce(F.lead("lat").over(w), F.first("lat").over(w)), "mx": (F.col("lon") + F.lead("lon", 2).over(w)) / 2, "my": (F.col("lat") + F.lead("lat", 2).over(w)) / 2})
     mean = corners.groupBy("area").agg(F.avg("lon").alias("px"), F.avg("lat").alias("py")).withColumn("place", F.lit(-1))
     middles = sides.where("mx is not null").select("area", F.col("mx").alias("px"), F.col("my").alias("py"), "place")
     tried = mean.unionByName(middles).join(sides.select("area", "lon", "lat", "x2", "y2"), "area")
     crossing = ((F.col("lat") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < (F.col("x2") - F.col("lon")) * (F.col("py") - F.col("lat")) / F.when(F.col("y2") != F.col("lat"), F.col("y2") - F.col("lat")).otherwise(1.0) + F.col("lon"))
-    inside = tried.groupBy("area", "place", "px", "py").agg((F.count_if(crossing) % 2 == 1).alias("inside")).where("inside")
-    return inside.groupBy("area").agg(F.min_by(F.struct(F.col("px").alias("lon"), F.col("py").alias("lat")), "place").alias("p")).select("area", "p.*")
+    across = (F.col("x2") - F.col("lon")) * (F.col("py") - F.col("lat")) - (F.col("y2") - F.col("lat")) * (F.col("px") - F.col("lon"))
+    touching = (F.abs(across) < 1e-12) & F.col("px").between(F.least("lon", "x2"), F.greatest("lon", "x2")) & F.col("py").between(F.least("lat", "y2"), F.greatest("lat", "y2"))
+    judged = tried.groupBy("area", "place", "px", "py").agg(((F.count_if(crossing) % 2 == 1) | F.bool_or(touching)).alias("inside"))
+    return judged.groupBy("area").agg(F.min_by(F.struct(F.col("px").alias("lon"), F.col("py").alias("lat")), F.struct(~F.col("inside"), "place")).alias("p")).select("area", "p.*")
 
 
 def neighbour_pairs(left: DataFrame, right: DataFrame, drift: float = DEFAULTS.drift_meters, max_lat: float = 60.0) -> DataFrame:

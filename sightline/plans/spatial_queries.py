@@ -66,7 +66,18 @@ def areas(spark, sf):
     return stations(spark, sf).withColumn("area", F.concat(F.lit("a"), (F.col("id") % 40).cast("string"))).select("area", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"))
 
 
-@query("c4_convex_hulls")
+# Corners of the areas' hulls: ends of a side that has every other point on its left or on itself. Coordinates between
+# 32 and 64 are whole multiples of 2^-47, so the turns are worked out in integers.
+HULLS = f"""{ST}, pt AS (SELECT DISTINCT 'a' || id % 40 AS area, round(lon, 4) AS lon, round(lat, 4) AS lat, (round(lon, 4) * 140737488355328::DOUBLE)::HUGEINT AS x, (round(lat, 4) * 140737488355328::DOUBLE)::HUGEINT AS y FROM c),
+sd AS (SELECT a.area, a.x AS a_x, a.y AS a_y, b.x AS b_x, b.y AS b_y FROM pt a JOIN pt b ON a.area = b.area AND (a.x, a.y) <> (b.x, b.y)),
+side AS (SELECT area, a_x, a_y, b_x, b_y FROM (SELECT sd.*, x, y, (b_x - a_x) * (y - a_y) - (b_y - a_y) * (x - a_x) AS t FROM sd JOIN pt USING (area)) GROUP BY area, a_x, a_y, b_x, b_y HAVING bool_and(t > 0 OR t = 0 AND x BETWEEN least(a_x, b_x) AND greatest(a_x, b_x) AND y BETWEEN least(a_y, b_y) AND greatest(a_y, b_y))),
+corner AS (SELECT pt.* FROM pt SEMI JOIN side ON pt.area = side.area AND pt.x = side.a_x AND pt.y = side.a_y),
+ends AS (SELECT area, min((x, y)) AS lo, max((x, y)) AS hi FROM corner GROUP BY 1),
+up AS (SELECT corner.*, (hi[1] - lo[1]) * (y - lo[2]) - (hi[2] - lo[2]) * (x - lo[1]) > 0 AS up FROM corner JOIN ends USING (area)),
+hull AS (SELECT area, (row_number() OVER (PARTITION BY area ORDER BY up, CASE WHEN up THEN -x ELSE x END, CASE WHEN up THEN -y ELSE y END) - 1)::INT AS place, lon, lat FROM up)"""
+
+
+@query("c4_convex_hulls", f"WITH {HULLS} SELECT area, place, lon, lat FROM hull")
 def c4(spark, sf):
     return S.convex_hulls(areas(spark, sf))
 
@@ -81,7 +92,16 @@ def c6(spark, sf):
     return stations(spark, sf).where(S.in_corridor(F.col("lon"), F.col("lat"), ROUTE, 1500)).select("id")
 
 
-@query("c7_area_rejects")
+_SIDE = "sign(({1}_x - {0}_x) * ({2}_y - {0}_y) - ({1}_y - {0}_y) * ({2}_x - {0}_x))"
+
+
+@query("c7_area_rejects", f"""WITH {HULLS}, odd AS (SELECT area, CASE WHEN substr(area, 2)::INT % 4 = 0 THEN place * 2 % 5 * 100 + place ELSE place END AS place, lon, lat FROM hull),
+ring AS (SELECT area, row_number() OVER w AS i, count(*) OVER (PARTITION BY area) AS n, lon AS px, lat AS py, coalesce(lead(lon) OVER w, first(lon) OVER w) AS qx, coalesce(lead(lat) OVER w, first(lat) OVER w) AS qy FROM odd WINDOW w AS (PARTITION BY area ORDER BY place)),
+size AS (SELECT area, abs(sum(px * qy - qx * py)) / 2 * cos(radians(avg(py))) * pow({_K} / 1000, 2) AS km2 FROM ring GROUP BY 1),
+two AS (SELECT a.area, a.px AS a_x, a.py AS a_y, a.qx AS b_x, a.qy AS b_y, b.px AS c_x, b.py AS c_y, b.qx AS d_x, b.qy AS d_y FROM ring a JOIN ring b ON a.area = b.area AND b.i >= a.i + 2 AND NOT (a.i = 1 AND b.i = b.n)),
+cut AS (SELECT DISTINCT area FROM two WHERE {_SIDE.format('a', 'b', 'c')} * {_SIDE.format('a', 'b', 'd')} < 0 AND {_SIDE.format('c', 'd', 'a')} * {_SIDE.format('c', 'd', 'b')} < 0),
+why AS (SELECT area, CASE WHEN area IN (FROM cut) THEN 'SELF_CROSSING' WHEN km2 <= 1e-9 THEN 'EMPTY' WHEN km2 > 2000 THEN 'TOO_LARGE' WHEN km2 > CASE WHEN substr(area, 2)::INT % 3 = 0 THEN 120 ELSE 1000 END THEN 'ABOVE_CEILING' END AS reason FROM size)
+SELECT * FROM why WHERE reason IS NOT NULL""")
 def c7(spark, sf):
     corners = S.convex_hulls(areas(spark, sf))
     # Every fourth area's corners are put out of order, so that its ring crosses itself.
@@ -90,7 +110,8 @@ def c7(spark, sf):
     return S.area_rejects(odd, ceilings)
 
 
-@query("c8_reference_points")
+# The mean of a convex ring's corners is inside it.
+@query("c8_reference_points", f"WITH {HULLS} SELECT area, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM hull GROUP BY 1")
 def c8(spark, sf):
     return S.reference_points(S.convex_hulls(areas(spark, sf))).select("area", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 

@@ -147,6 +147,8 @@ def test_merges_equal_the_plain_rule():
         scores = {(f"m{i:02}", f"m{j:02}"): rng.choice([0.5, 0.83, 0.9, 1.0, 1.2]) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5}
         groups, doubts = R.merge_component(members, scores, p)
         assert (sorted(map(sorted, groups)), sorted(doubts)) == plain_merges(members, scores, p)
+        told = {pair: s for pair, s in scores.items() if s > p.merge_threshold - p.ambiguity_margin - 1e-9}
+        assert R.merge_component(members, told, p) == (groups, doubts)
         merged += len(groups) < len({m[2] for m in members})
     assert merged > 300
 
