@@ -7,7 +7,7 @@ tokens (com, www) open no posting list, and a hit is verified against the whole
 
 Nulls: a null URL, or one without `://`, has an empty host and path, fits no rule and is allowed. Rows whose label is
 null are unlabelled. Repeated labels of one id count once (bad if any is). Repeated pages are judged one by one. Empty
-pages give an empty result, empty labels no mined rule. Extra columns are ignored.
+pages give an empty result, empty labels no mined rule. Very long URLs are read whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,9 +89,14 @@ def inverted_index(rules: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def match(urls: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows (url, mined_rule) of the distinct urls that some mined rule matches; the least rule id stands for all."""
-    each = urls.where("url is not null").select("url").distinct().withColumn("tokens", tokens_of(F.col("url")))
-    hits = each.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("items", "tokens")) == 0)
+    """Rows (url, mined_rule) of the distinct urls that some mined rule matches; the least rule id stands for all.
+
+    A token is looked up with a hash of its url alone; the url's own tokens verify what is found, so that a hash two
+    urls share does no harm and a url of n tokens makes n short rows.
+    """
+    each = urls.where("url is not null").select("url").distinct().withColumns({"k": F.xxhash64("url"), "tokens": tokens_of(F.col("url"))})
+    near = each.select("k", F.explode("tokens").alias("token")).join(index, "token").select("k", "rule_id", "items").distinct()
+    hits = each.join(near, "k").where(F.size(F.array_except("items", "tokens")) == 0)
     return hits.groupBy("url").agg(F.min("rule_id").alias("mined_rule"))
 
 

@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,6 +249,33 @@ def test_mined_rules_match_brute_force(spark):
     assert got == {i: "block" if any(m <= t for m in mined) else "allow" for i, t in tokens.items()}
 
 
+def test_mining_matches_brute_force(spark):
+    R = random.Random(5)
+    rows = [(sorted({R.choice("abcdef") for _ in range(4)}), R.random() < 0.2) for _ in range(600)]
+    rows = [(t, bad or {"a", "b"} <= set(t) or "f" in t and R.random() < 0.9) for t, bad in rows]
+    often, with_bad = Counter(), Counter()
+    for t, bad in rows:
+        for size in range(1, len(t) + 1):
+            for some in combinations(t, size):
+                often[some] += 1
+                with_bad[some] += bad
+    n, all_bad = len(rows), sum(bad for _, bad in rows)
+    sure = {s: with_bad[s] / often[s] for s in often if with_bad[s] >= 20 and with_bad[s] / often[s] >= 0.8 and with_bad[s] / often[s] * n / all_bad >= 1.2}
+    want = {s for s in sure if not any(set(r) < set(s) and sure[r] >= sure[s] for r in sure)}
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    got = {tuple(r["items"]): (r.confidence, r.support) for r in U.mine(labelled, Scratch(spark, "test")).collect()}
+    assert len(want) > 1 and set(got) == want
+    assert all(got[s] == pytest.approx((sure[s], with_bad[s] / n)) for s in want)
+
+
+def test_very_long_urls(spark):
+    index = spark.createDataFrame([("p:x#", ["h:io", "p:x#"], "r1"), ("p:none", ["p:none"], "r2"), ("p:only", ["h:com", "p:only"], "r0")], "token string, items array<string>, rule_id string")
+    long = "/".join("x" + chr(97 + i % 26) * (i // 26 + 1) for i in range(1500))
+    urls = [f"https://a.io/{long}/x7777/only", f"https://a.io/{long}", None, "https://b.io/x7777"]
+    got = {(r.url, r.mined_rule) for r in U.match(spark.createDataFrame([(u,) for u in urls * 2], "url string"), index).collect()}
+    assert got == {(urls[0], "r1"), (urls[3], "r1")}
+
+
 def test_query_over_the_table(spark, sf):
     got = {r.page_id: (r.host, r.path, r.rule) for r in U.op4_url_filters(spark, sf).collect()}
     assert got == {r.page_id: brute_rule(r.url) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
