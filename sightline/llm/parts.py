@@ -54,6 +54,37 @@ def packed(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray
     return words[starts] & mask[np.minimum(size, 8)], words[starts + 8] & mask[np.clip(size - 8, 0, 8)]
 
 
+def different(texts: list[bytes], cut: Callable[[np.ndarray], np.ndarray], whole: Callable[[bytes], bool]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(the different parts of all texts, which of them each part in a row is, the text that it is from).
+
+    Parts of up to 16 bytes are told apart as pairs of 64-bit numbers, so that Python sees each different one once.
+    """
+    raw = b"\0".join(texts) + bytes(17)
+    data = np.frombuffer(raw, np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    at = cut(data[: len(raw) - 17])
+    uncut = np.array([whole(t) for t in texts], bool)
+    if uncut.any():
+        at = at[~uncut[np.searchsorted(begins, at, "right") - 1]]
+    starts = np.sort(np.concatenate([at, begins]))
+    owner = np.searchsorted(begins, starts, "right") - 1
+    ends = np.minimum(np.append(starts[1:], len(raw)), (begins + sizes)[owner])
+    solid = ends > starts
+    starts, ends, owner = starts[solid], ends[solid], owner[solid]
+    short = np.flatnonzero(ends - starts <= 16)
+    low, high = packed(raw, starts[short], ends[short])
+    key = mix(low + mix(high ^ np.uint64(0x9E3779B97F4A7C15)) + (ends - starts)[short].astype(np.uint64))
+    _, first, kind = np.unique(key, return_index=True, return_inverse=True)
+    if not ((low == low[first][kind]) & (high == high[first][kind]) & ((ends - starts)[short] == (ends - starts)[short][first][kind])).all():
+        first, kind = np.arange(len(short)), np.arange(len(short))  # two parts of one key: each for itself
+    long = np.flatnonzero(ends - starts > 16)
+    which = np.zeros(len(starts), np.int64)
+    which[short], which[long] = kind, len(first) + np.arange(len(long))
+    some = np.concatenate([short[first], long])
+    return [raw[i:j] for i, j in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], which, owner
+
+
 class Memory:
     """Ids (little-endian 32-bit integers) of parts; `encode` gives those of a list of different parts."""
 
@@ -81,34 +112,9 @@ class Memory:
         return ids
 
     def texts(self, texts: list[bytes], whole: Callable[[bytes], bool] = lambda _: False) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each); texts for which `whole` says so are not cut.
-
-        Parts of up to 16 bytes are told apart as pairs of 64-bit numbers, so that Python sees each different one once.
-        """
-        raw = b"\0".join(texts) + bytes(17)
-        data = np.frombuffer(raw, np.uint8)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        begins = np.cumsum(sizes + 1) - sizes - 1
-        at = cuts(data[: len(raw) - 17])
-        uncut = np.array([whole(t) for t in texts], bool)
-        if uncut.any():
-            at = at[~uncut[np.searchsorted(begins, at, "right") - 1]]
-        starts = np.sort(np.concatenate([at, begins]))
-        owner = np.searchsorted(begins, starts, "right") - 1
-        ends = np.minimum(np.append(starts[1:], len(raw)), (begins + sizes)[owner])
-        solid = ends > starts
-        starts, ends, owner = starts[solid], ends[solid], owner[solid]
-        short = np.flatnonzero(ends - starts <= 16)
-        low, high = packed(raw, starts[short], ends[short])
-        key = mix(low + mix(high ^ np.uint64(0x9E3779B97F4A7C15)) + (ends - starts)[short].astype(np.uint64))
-        _, first, kind = np.unique(key, return_index=True, return_inverse=True)
-        if not ((low == low[first][kind]) & (high == high[first][kind]) & ((ends - starts)[short] == (ends - starts)[short][first][kind])).all():
-            first, kind = np.arange(len(short)), np.arange(len(short))  # two parts of one key: each for itself
-        long = np.flatnonzero(ends - starts > 16)
-        which = np.zeros(len(starts), np.int64)
-        which[short], which[long] = kind, len(first) + np.arange(len(long))
-        some = np.concatenate([short[first], long])
-        ids = self.of([raw[i:j] for i, j in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+        """(ids of all texts in a row, number of ids of each); texts for which `whole` says so are not cut."""
+        parts, which, owner = different(texts, cuts, whole)
+        ids = self.of(parts)
         upto = np.cumsum([0, *map(len, ids)]) // 4
         count = np.diff(upto)[which]
         place = np.repeat(upto[which] - np.cumsum(count) + count, count) + np.arange(count.sum())
