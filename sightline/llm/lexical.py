@@ -40,9 +40,9 @@ TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 NO_TERM = ~lut(bytes(x for x in range(256) if TERM.match(bytes([x]))))
 DEPTH = 50
 #: A block's bounds: documents, and cells that are not empty (one document alone may have more).
-DOCUMENTS, CELLS = 1 << 13, 1 << 20
+DOCUMENTS, CELLS = 1 << 14, 1 << 21
 #: Ranges opened at a time, entries of paths held at a time, and bytes of queries in a chunk.
-OPENED, HELD, CHUNK = 128, 1 << 24, 4 << 20
+OPENED, HELD, CHUNK = 256, 1 << 24, 4 << 20
 BLOCK = "doc_ids array<long>, terms array<binary>, dfs array<int>, height int, levels array<int>, bits binary, falls binary"
 
 
@@ -184,7 +184,7 @@ class Block:
             most[start : start + size] = most[at[start - 1 : start - 1 + size] // 4] - most[start : start + size]
             start += size
         # Only inner cells have quarters: leaves are never opened, and the empty cell has the place after the last inner one.
-        self.inner, self.most = inner, most
+        self.inner, self.most = inner, most.astype(np.float32)  # impacts are below 10**6, so exact
         self.child = np.full(4 * inner + 4, self.empty, np.int32)
         self.child[at] = np.arange(1, len(at) + 1)
         self.ids = np.array([-1 if x is None else x for x in self.doc_ids], np.int64)
@@ -211,7 +211,11 @@ class Block:
         """As `best`, for the columns from `low` to below `high`."""
         height, width = self.height, len(rows)
         # What has been reached, in order of arrival: level, first column's prefix, cells on the paths.
-        level, prefix, paths = np.zeros(64, np.int8), np.zeros(64, np.int64), np.zeros((64, width), np.int32)
+        level, prefix, paths = np.zeros(1024, np.int8), np.zeros(1024, np.int64), np.zeros((1024, width), np.int32)
+        halves = 2 * ((rows[None, :] >> np.arange(height - 1, -1, -1)[:, None]) & 1)
+        # Sums are exact in doubles below 2**53; else they are made in integers.
+        whole = float(self.most[0]) * float(weights.sum()) >= 1 << 53
+        factors = weights if whole else weights.astype(float)
         used, opened = 1, 0
         waiting, bounds = np.zeros(1, np.int64), np.array([int(self.most[0]) * int(weights.sum())])
         found, scores = [], []
@@ -236,13 +240,13 @@ class Block:
             if not len(taken):
                 continue
             opened += len(taken)
-            below = height - 1 - level[taken].astype(np.int64)
-            half = (rows[None, :] >> below[:, None]) & 1
-            cells = paths[taken].astype(np.int64)
-            quarter = 4 * np.where(cells == self.empty, self.inner, cells) + 2 * half
+            at = level[taken]
+            below = height - 1 - at.astype(np.int64)
+            quarter = 4 * np.minimum(paths[taken], self.inner) + halves[at]
             cells = np.concatenate([self.child[quarter], self.child[quarter + 1]])
             column = np.concatenate([2 * prefix[taken], 2 * prefix[taken] + 1])
-            bound = self.most[cells] @ weights
+            reach = self.most[cells]
+            bound = (reach.astype(factors.dtype) @ factors).astype(np.int64)
             size = np.concatenate([below, below])
             keep = (bound >= least) & (column << size < high) & ((column + 1) << size > low)
             n = int(keep.sum())

@@ -111,13 +111,13 @@ def means(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
                 np.add.at(sums, at, rows)
                 counts += np.bincount(at, minlength=k)
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some]), pa.array(sums[some].tolist(), pa.list_(pa.int64()))], names=["cluster", "n", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, dims), pa.int32()), pa.array(np.tile(np.arange(dims), len(some)), pa.int32()), pa.array(sums[some].ravel()), pa.array(np.repeat(counts[some], dims))], names=["cluster", "dim", "total", "n"])
 
-    parts = vectors.where("v is not null").select("v").mapInArrow(run, "cluster int, n long, sums array<long>")
-    exact = [F.sum(F.get("sums", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in range(dims)]
+    parts = vectors.where("v is not null").select("v").mapInArrow(run, "cluster int, dim int, total long, n long")
     out = centroids.copy()
-    for r in parts.groupBy("cluster").agg(F.sum("n").alias("n"), *exact).collect():  # a row for each centroid
-        out[r.cluster] = [int(r[f"s{i}"]) // r.n for i in range(dims)]
+    # A row for each component of each centroid.
+    for r in parts.groupBy("cluster", "dim").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("n").alias("n")).collect():
+        out[r.cluster, r.dim] = int(r.total) // r.n
     return out
 
 
