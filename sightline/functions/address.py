@@ -7,8 +7,8 @@ An address is read as a sequence of words by a small grammar, tried in this orde
     noise     = stop word | postcode of six digits: left out
     anything else: the word itself
 
-where a value is a number, perhaps with a letter, or a single letter after a name that may have one. A slash between
-numbers stands for корпус. A г after a house number is its letter where only spaces part them, else it stands for город.
+where a value is a number, perhaps with a letter, or a single letter after a name that may have one. A slash between a
+house number and another number stands for корпус; after anything else it only parts words. A г after a house number is its letter where only spaces part them, else it stands for город.
 Then street names are told in one form (the longest spelling first).
 
 Each distinct address is read once. Nulls and empty texts have an empty form and no parts.
@@ -30,6 +30,8 @@ KINDS = ("корпус", "строение", "литера", "владение",
 LETTERED = ("корпус", "строение", "литера")
 STREETS = {"маршала жукова": ["маршала советского союза к жукова"]}
 
+LETTERS = "абвгдежзийклмнопрстуфхцчшщъыьэюяabcdefghijklmnopqrstuvwxyz"
+
 #: A word, with what stands between it and the one before.
 WORD = re.compile(r"(?P<gap>[\W_]*)(?P<word>[^\W_]+)")
 
@@ -51,21 +53,27 @@ def lettered(word: str) -> bool:
 
 def parsed(text: str) -> Iterator[str]:
     """The words of an address by the grammar."""
-    left = list(words(text))[::-1]
+    left, number = list(words(text))[::-1], False
     while left:
         gap, word = left.pop()
         after, then = (left[-k] if len(left) >= k else ("", "") for k in (1, 2))
-        if gap.strip() == "/" and numbered(word):
+        if number and gap.strip() == "/" and numbered(word):
             yield from ("корпус", word)
+            number = False
             continue
+        # What a slash after it may divide: a house number, which has four digits at most.
+        number = numbered(word) and len(word.rstrip(LETTERS)) <= 4
         kind = UNITS.get(word)
         if kind and (numbered(after[1]) or (word != "к" and kind in LETTERED and lettered(after[1]))):
             yield kind
-            yield left.pop()[1]
+            value = left.pop()[1]
+            number = numbered(value) and len(value.rstrip(LETTERS)) <= 4
+            yield value
         elif word.isdigit() and len(word) == 6:
             continue
         elif word.isdigit() and lettered(after[1]) and not after[0].strip(" \t.,;" if after[1] != "г" else " ") and not (after[1] in UNITS and numbered(then[1])):
             left.pop()
+            number = False
             yield word + after[1]
         elif word not in STOP:
             yield word

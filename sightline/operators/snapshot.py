@@ -53,6 +53,16 @@ def diff(before: DataFrame, after: DataFrame, same_scope: bool = True) -> DataFr
     return j.select(kind.alias("change"), "entity", F.col("a.verdict").alias("was"), F.col("b.verdict").alias("now")).where("change is not null")
 
 
+def previous_ticks(ticks: DataFrame) -> DataFrame:
+    """(tick, before): each snapshot's time and that of the one before it, null for the first.
+
+    Ticks are compared within their day; only the last tick of each day goes through a window over all days.
+    """
+    seq = ticks.select("tick").distinct().withColumn("day", F.floor(F.col("tick") / 1440))
+    days = seq.groupBy("day").agg(F.max("tick").alias("last")).select("day", F.lag("last").over(W.orderBy("day")).alias("carried"))
+    return seq.withColumn("before", F.lag("tick").over(W.partitionBy("day").orderBy("tick"))).join(days, "day").select("tick", F.coalesce("before", "carried").alias("before"))
+
+
 def availability_runs(ticks: DataFrame, all_ticks: DataFrame | None = None) -> DataFrame:
     """Runs (entity, opened, last_confirmed, closed or null, basis, verdict, confidence of the last positive).
 

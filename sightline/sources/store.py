@@ -1,7 +1,14 @@
-"""The history store: tick tables by UTC day, appended once, with a station dimension beside them."""
+"""The history store: tick tables by UTC day, appended once, with a station dimension beside them.
+
+Tables that are replaced as a whole are published in versions: each has a folder of its own, and a small pointer file,
+switched last, names the one that readers get. A writer that dies leaves the old version in place.
+"""
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 EVENT_KINDS = ["SOURCE_REPORTED_TRANSITION", "TRANSACTIONS_RESUMED"]
@@ -64,16 +71,144 @@ def rehydrate(stored: DataFrame, dimension: DataFrame) -> DataFrame:
     return j.withColumns({"title": F.col("__l.title"), "brand": F.col("__l.brand")}).drop("__l", "labels", "label")
 
 
+#: The fields of a station that its latest sighting tells; the coordinates are one field.
+FIELDS = ["title", "brand", "address", "place"]
+
+
+def seen_stations(sightings: DataFrame) -> DataFrame:
+    """Per station: the latest value of each field that is not null and when that was, first and last seen, labels.
+
+    Columns: station, fields and at (structs of FIELDS), first_seen, last_seen, labels (since, title, brand) in the
+    order in which they were first seen. Of values that were seen at one time the greatest counts. Labels are aggregated
+    to their first sighting before they are listed, so the list has distinct pairs only.
+    """
+    s = sightings.withColumn("place", F.when(F.col("lon").isNotNull(), F.struct("lon", "lat")))
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct("fetched_at", F.col(c).alias("value")))).alias(c) for c in FIELDS]
+    fields = s.groupBy("station").agg(*last, F.min("fetched_at").alias("first_seen"), F.max("fetched_at").alias("last_seen"))
+    pairs = s.groupBy("station", "title", "brand").agg(F.min("fetched_at").alias("since"))
+    labels = pairs.groupBy("station").agg(F.array_sort(F.collect_list(F.struct("since", "title", "brand"))).alias("labels"))
+    values = F.struct(*[F.col(f"{c}.value").alias(c) for c in FIELDS])
+    times = F.struct(*[F.col(f"{c}.fetched_at").alias(c) for c in FIELDS])
+    return fields.join(labels, "station").select("station", values.alias("fields"), times.alias("at"), "first_seen", "last_seen", "labels")
+
+
+def merged_stations(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """A stored dimension with new sightings in it, both as of `seen_stations`: one full outer join by station.
+
+    The later value of each field wins, and a null never replaces anything, in whatever order days come. New labels go
+    behind the stored ones, so that a label's number, which stored ticks carry, stays true.
+    """
+    a, b = stored.select("station", F.struct(*stored.columns[1:]).alias("a")), new.select("station", F.struct(*new.columns[1:]).alias("b"))
+    newer = lambda c: F.col("a.fields")[c].isNull() | F.coalesce((F.col("b.at")[c] > F.col("a.at")[c]) | ((F.col("b.at")[c] == F.col("a.at")[c]) & (F.col("b.fields")[c] > F.col("a.fields")[c])), F.lit(False))
+    pick = lambda part: F.struct(*[F.when(newer(c), F.col(f"b.{part}")[c]).otherwise(F.col(f"a.{part}")[c]).alias(c) for c in FIELDS])
+    none = F.array().cast(new.schema["labels"].dataType)
+    old = F.coalesce(F.col("a.labels"), none)
+    more = F.filter(F.coalesce(F.col("b.labels"), none), lambda x: ~F.exists(old, lambda y: y["title"].eqNullSafe(x["title"]) & y["brand"].eqNullSafe(x["brand"])))
+    return a.join(b, "station", "full").select("station", pick("fields").alias("fields"), pick("at").alias("at"), F.least("a.first_seen", "b.first_seen").alias("first_seen"), F.greatest("a.last_seen", "b.last_seen").alias("last_seen"), F.concat(old, more).alias("labels"))
+
+
+def told_stations(seen: DataFrame) -> DataFrame:
+    """The dimension as readers use it: (station, title, brand, address, lon, lat, first_seen, last_seen, labels)."""
+    f = F.col("fields")
+    labels = F.transform("labels", lambda x: F.struct(x["title"].alias("title"), x["brand"].alias("brand")))
+    return seen.select("station", f["title"].alias("title"), f["brand"].alias("brand"), f["address"].alias("address"), f["place"]["lon"].alias("lon"), f["place"]["lat"].alias("lat"), "first_seen", "last_seen", labels.alias("labels"))
+
+
 def station_dimension(sightings: DataFrame) -> DataFrame:
-    """Per station: the latest value of each field that is not null, first and last seen, and its labels as they came.
+    """The dimension of all sightings at once."""
+    return told_stations(seen_stations(sightings))
+
+
+def upsert_stations(spark: SparkSession, root: str, sightings: DataFrame) -> DataFrame:
+    """Merge sightings into the stored dimension at `root` and publish it as a new version, which is returned."""
+    new, stored = seen_stations(sightings), current(spark, root)
+    publish(new if stored is None else merged_stations(stored, new), root)
+    return current(spark, root)
+
+
+POINTER = "CURRENT"
+
 
-    Labels are aggregated to their first sighting before they are listed, so the list has distinct pairs only.
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    """Put a file in the place of another in one step."""
+    jvm = spark._jvm
+    fs, kinds = jvm.org.apache.hadoop.fs, getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kinds, 1)
+    how[0] = kinds.OVERWRITE
+    at = fs.Path(target)
+    fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.Path(source), at, how)
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """The versions that the pointer names, the current one first; none before the first is published."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    at = fs.Path(f"{root}/{POINTER}")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return []
+    return spark.read.option("wholetext", True).text(at.toString()).first().value.split()
+
+
+def publish(rows: DataFrame, root: str, partition_by: list[str] | None = None, keep: int = 2) -> str:
+    """Write rows as a new version under `root`, then switch the pointer to it; returns the version's name.
+
+    Until the switch readers get the old version, whole, over however many days or files it goes. Readers that found
+    the old version before the switch can go on reading: the last `keep` published versions stay, older ones and what
+    writers that died have left are deleted. One writer at a time.
+    """
+    spark = rows.sparkSession
+    version = f"v-{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    writer = rows.write
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/{version}")
+    named = [version, *_versions(spark, root)][:keep]
+    fs = spark._jvm.org.apache.hadoop.fs
+    at = fs.Path(f"{root}/{POINTER}-{version}")
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(at, True)
+    out.write(bytearray("\n".join(named).encode()))
+    out.close()
+    _rename(spark, at.toString(), f"{root}/{POINTER}")
+    for found in system.listStatus(fs.Path(root)):
+        if found.isDirectory() and found.getPath().getName().startswith("v-") and found.getPath().getName() not in named:
+            system.delete(found.getPath(), True)
+    return version
+
+
+def current(spark: SparkSession, root: str) -> DataFrame | None:
+    """The version that the pointer names; None before the first is published."""
+    named = _versions(spark, root)
+    return spark.read.parquet(f"{root}/{named[0]}") if named else None
+
+
+def expire_days(spark: SparkSession, path: str, now: int, days: int, grace_seconds: int = 86400) -> list[str]:
+    """Delete the day folders of a tick table that ended before the retention began, and say which.
+
+    A day that is partly within stays whole; `retained` and `read_ticks` leave out its expired rows. A folder goes only
+    `grace_seconds` after its last row has expired: a reader that asked for what was retained when it began reads no
+    folder that goes within that time.
     """
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("fetched_at"))).alias(c)
-    fields = sightings.groupBy("station").agg(last("title"), last("brand"), last("address"), F.max_by(F.struct("lon", "lat"), F.when(F.col("lon").isNotNull(), F.col("fetched_at"))).alias("p"), F.min("fetched_at").alias("first_seen"), F.max("fetched_at").alias("last_seen"))
-    pairs = sightings.groupBy("station", "title", "brand").agg(F.min("fetched_at").alias("since"))
-    labels = pairs.groupBy("station").agg(F.transform(F.array_sort(F.collect_list(F.struct("since", "title", "brand"))), lambda x: F.struct(x["title"].alias("title"), x["brand"].alias("brand"))).alias("labels"))
-    return fields.join(labels, "station").select("station", "title", "brand", "address", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"), "first_seen", "last_seen", "labels")
+    fs = spark._jvm.org.apache.hadoop.fs
+    top = fs.Path(path)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    cutoff, gone = now - days * 86400 - grace_seconds, []
+    for found in system.listStatus(top):
+        name = found.getPath().getName()
+        if found.isDirectory() and name.startswith("day="):
+            try:
+                day = datetime.strptime(name.removeprefix("day="), "%Y-%m-%d").replace(tzinfo=timezone.utc)
+            except ValueError:
+                continue  # rows without a time: their folder has no day
+            if (day + timedelta(days=1)).timestamp() <= cutoff:
+                system.delete(found.getPath(), True)
+                gone.append(name.removeprefix("day="))
+    return sorted(gone)
+
+
+def expire_stations(spark: SparkSession, root: str, now: int, days: int) -> DataFrame | None:
+    """Publish the stored dimension without the stations that were not seen within the retention."""
+    stored = current(spark, root)
+    if stored is not None:
+        publish(stored.where(F.col("last_seen") >= now - days * 86400), root)
+    return current(spark, root)
 
 
 def retained(ticks: DataFrame, now: int, days: int) -> DataFrame:
