@@ -101,17 +101,29 @@ def forecast(cands: DataFrame, patterns: DataFrame, durations: DataFrame, now: i
     Signals in order, and within a signal entity, brand, area; a duration pattern only where no time pattern is. A
     duration window that has ended drops the candidate.
     """
-    scope = scoped(cands)
-    w = W.partitionBy("entity")
-    timed = scope.join(patterns, ["basis", "scope"]).withColumn("first", F.min(F.struct("signal", "basis")).over(w)).where((F.col("first.signal") == F.col("signal")) & (F.col("first.basis") == F.col("basis")))
-    minute = F.pmod(F.floor(F.col("centre") + F.col("q1")), F.lit(1440)) + (F.col("centre") + F.col("q1") - F.floor(F.col("centre") + F.col("q1")))
+    known = patterns.select("basis", "scope", "signal", "n", "centre", "q0", "q1", "q2", "strong")
+    # Durations stand behind all signals, so the first that is there decides, and both tables are planned once.
+    lengths = durations.select("basis", "scope", F.lit(len(SIGNALS)).alias("signal"), "n", F.lit(None).cast("double").alias("centre"), "q0", "q1", "q2", F.lit(0).cast("long").alias("strong"))
+    told = scoped(cands).join(known.unionByName(lengths), ["basis", "scope"])
+    fields = [c for c in told.columns if c not in ("entity", "negative_since")]
+    best = told.groupBy("entity", "negative_since").agg(F.min_by(F.struct(*fields), F.struct("signal", "basis")).alias("b")).select("entity", "negative_since", "b.*")
+    timed, start = F.col("signal") < len(SIGNALS), F.col("negative_since")
+    centred = F.col("centre") + F.col("q1")
+    minute = F.pmod(F.floor(centred), F.lit(1440)) + (centred - F.floor(centred))
     ahead = minute - local_minute(F.lit(now), offset)
     expected = now + F.when(ahead > 0, ahead).otherwise(ahead + 1440)
-    by_time = timed.select("entity", "negative_since", expected.alias("expected_at"), F.greatest(expected + F.col("q0") - F.col("q1"), F.lit(now)).alias("window_start"), (expected + F.col("q2") - F.col("q1")).alias("window_end"), ((F.col("basis") == 0) & (F.col("n") >= 3) & (F.col("strong") >= 2)).alias("medium"), "basis", "signal", "n")
-    rest = scope.join(timed.select("entity").distinct(), "entity", "left_anti").join(durations, ["basis", "scope"]).withColumn("first", F.min("basis").over(w)).where(F.col("first") == F.col("basis"))
-    start = F.col("negative_since")
-    by_length = rest.where(start + F.col("q2") > now).select("entity", "negative_since", F.greatest(start + F.col("q1"), F.lit(now)).alias("expected_at"), F.greatest(start + F.col("q0"), F.lit(now)).alias("window_start"), (start + F.col("q2")).alias("window_end"), ((F.col("basis") == 0) & (F.col("n") >= 3)).alias("medium"), "basis", F.lit(3).alias("signal"), "n")
-    out = by_time.unionByName(by_length)
+    strong = (F.col("basis") == 0) & (F.col("n") >= 3)
+    out = best.where(timed | (start + F.col("q2") > now)).select(
+        "entity",
+        "negative_since",
+        F.when(timed, expected).otherwise(F.greatest(start + F.col("q1"), F.lit(now))).alias("expected_at"),
+        F.when(timed, F.greatest(expected + F.col("q0") - F.col("q1"), F.lit(now))).otherwise(F.greatest(start + F.col("q0"), F.lit(now))).alias("window_start"),
+        F.when(timed, expected + F.col("q2") - F.col("q1")).otherwise(start + F.col("q2")).alias("window_end"),
+        (strong & (~timed | (F.col("strong") >= 2))).alias("medium"),
+        "basis",
+        "signal",
+        "n",
+    )
     names = F.array(*[F.lit(x) for x in [*SIGNALS, "STATUS_TRANSITION"]])
     bases = F.array(*[F.lit(x) for x in ("STATION", "BRAND", "AREA")])
     r = lambda c: half_up(F.col(c).cast("double")).alias(c)

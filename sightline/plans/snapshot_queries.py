@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.operators import forecast as C, history as H, snapshot as S
+from sightline.operators import forecast as C, history as H, joins, snapshot as S
 from sightline.params import Params
 from sightline.plans import fuse_queries as Q, views as V
 from sightline.plans.history_queries import _NEGATIVE, circular_sql
@@ -278,30 +278,32 @@ def h11(spark, sf):
 
 @query("h12_forecast_window", f"WITH {V.TICKS} SELECT entity, count(*) AS ticks FROM ticks WHERE tick >= {_END} - least(90, 28) * 1440 GROUP BY 1")
 def h12(spark, sf):
-    return V.ticks(spark, sf).where(F.col("tick") >= _END - min(90, 28) * 1440).groupBy("entity").agg(F.count("*").alias("ticks"))
+    return joins.in_forecast_window(V.ticks(spark, sf), _END).groupBy("entity").agg(F.count("*").alias("ticks"))
 
 
 # J: the join patterns on the order tables; F: dedupe.
 @query("j1_member_evidence", "SELECT o_custkey, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def j1(spark, sf):
-    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice")
-    return o.select("o_orderkey", "o_custkey").join(l, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    members = table(spark, sf, "orders").select(F.col("o_orderkey").alias("member"), F.col("o_custkey").alias("entity"))
+    evidence = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("member"), "l_extendedprice")
+    found = joins.member_evidence(members, evidence).groupBy("entity").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    return found.withColumnRenamed("entity", "o_custkey")
 
 
 @query("j2_enumerated_semi_join", "SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def j2(spark, sf):
-    return table(spark, sf, "labels").select("doc_id", "quality").join(table(spark, sf, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
+    return joins.enumerated(table(spark, sf, "labels").select("doc_id", "quality"), table(spark, sf, "documents").where("lang = 'en'"), ["doc_id"])
 
 
 @query("j5_previous_row", f"WITH {V.TICKS} SELECT entity, tick, lag(verdict) OVER (PARTITION BY entity ORDER BY tick) AS before FROM ticks")
 def j5(spark, sf):
-    return V.ticks(spark, sf).select("entity", "tick", F.lag("verdict").over(H.by_entity()).alias("before"))
+    return joins.latest_before(V.ticks(spark, sf), ["verdict"]).select("entity", "tick", F.col("before_verdict").alias("before"))
 
 
 @query("j7_dictionary_lookup", "SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def j7(spark, sf):
-    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
-    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("customers"))
+    found = joins.looked_up(table(spark, sf, "customer").select("c_nationkey"), table(spark, sf, "nation"), "c_nationkey", "n_nationkey", ["n_name"])
+    return found.where("n_name is not null").groupBy("n_name").agg(F.count("*").alias("customers"))
 
 
 @query("a9_idempotent_append", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")

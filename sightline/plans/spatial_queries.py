@@ -8,7 +8,7 @@ from sightline.functions.columns import haversine
 from sightline.operators import evidence_filters as E, spatial as S
 from sightline.plans import fuse_queries as Q, views as V
 from sightline.plans.register import query
-from sightline.tables import table
+from sightline.tables import Scratch, table
 
 #: Areas of the queries.
 BOX = (44.43, 48.68, 44.52, 48.79)
@@ -116,6 +116,25 @@ def c8(spark, sf):
     return S.reference_points(S.convex_hulls(areas(spark, sf))).select("area", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+_RING = "side_of AS (SELECT area, lon AS x1, lat AS y1, coalesce(lead(lon) OVER w, first(lon) OVER w) AS x2, coalesce(lead(lat) OVER w, first(lat) OVER w) AS y2 FROM hull WINDOW w AS (PARTITION BY area ORDER BY place))"
+
+
+@query("c3_points_in_areas", f"WITH {HULLS}, {_RING} SELECT id, area FROM (SELECT c.id, area, lon, lat, x1, y1, x2, y2 FROM c CROSS JOIN side_of) GROUP BY id, area, lon, lat HAVING {INSIDE}")
+def c3_areas(spark, sf):
+    return S.in_areas(stations(spark, sf), S.convex_hulls(areas(spark, sf)), Scratch(spark, "areas"))
+
+
+@query("c5_points_near_areas", f"WITH {HULLS}, {_RING}, d AS (SELECT id, area, lon, lat, {DIST} AS d, x1, y1, x2, y2 FROM s CROSS JOIN side_of) SELECT id, area FROM d GROUP BY id, area, lon, lat HAVING {INSIDE} OR min(d) <= 400")
+def c5_areas(spark, sf):
+    return S.near_areas(stations(spark, sf, "supplier", "s_suppkey"), S.convex_hulls(areas(spark, sf)), 400, Scratch(spark, "areas"))
+
+
+@query("c10_resolved_in_areas", f"WITH {HULLS}, {_RING}, g AS (SELECT id % 500 AS entity, arg_min(lon, id) AS lon, arg_min(lat, id) AS lat FROM c GROUP BY 1) SELECT entity, area FROM (SELECT entity, area, lon, lat, x1, y1, x2, y2 FROM g CROSS JOIN side_of) GROUP BY entity, area, lon, lat HAVING {INSIDE}")
+def c10_areas(spark, sf):
+    g = stations(spark, sf).groupBy((F.col("id") % 500).alias("entity")).agg(F.min_by(F.struct("lon", "lat"), "id").alias("p")).select(F.col("entity").alias("id"), "p.*")
+    return S.in_areas(g, S.convex_hulls(areas(spark, sf)), Scratch(spark, "areas")).withColumnRenamed("id", "entity")
+
+
 @query("c9_anchor_exemption", f"""WITH {ST} SELECT c.id FROM c JOIN customer u ON u.c_custkey = c.id WHERE lon BETWEEN 44.43 AND 44.52 AND lat BETWEEN 48.68 AND 48.79 OR trim(regexp_replace(lower(c_mktsegment || ', No. ' || c_custkey % 50), '[^a-z0-9]+', ' ', 'g')) IN ('building no 7', 'machinery no 12')""")
 def c9(spark, sf):
     c = stations(spark, sf).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit(", No. "), (F.col("c_custkey") % 50).cast("string")).alias("address")), "id")
