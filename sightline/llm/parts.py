@@ -96,20 +96,24 @@ class Memory:
 
     def of(self, parts: list[bytes]) -> list[bytes]:
         ids = list(map(self.young.get, parts))
-        if None in ids:
-            missed = list({p for p, x in zip(parts, ids, strict=True) if x is None})
-            found = {p: x for p, x in zip(missed, map(self.old.get, missed), strict=True) if x is not None}
-            new = [p for p in missed if p not in found]
-            found |= zip(new, self.encode(new), strict=True)
-            ids = [found[p] if x is None else x for p, x in zip(parts, ids, strict=True)]
-            kept = {p: x for p, x in found.items() if len(p) <= SHORT}
-            more = sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY * len(kept)
-            if self.size + more > self.limit:
-                self.old, self.young, self.size = self.young, {}, 0
-            if more <= self.limit:
-                self.young |= kept
-                self.size += more
-        return ids
+        missed = [p for p, x in zip(parts, ids, strict=True) if x is None]
+        if not missed:
+            return ids
+        found = list(map(self.old.get, missed)) if self.old else [None] * len(missed)
+        new = list(dict.fromkeys([p for p, x in zip(missed, found, strict=True) if x is None]))
+        made = dict(zip(new, self.encode(new), strict=True))
+        found = [made[p] if x is None else x for p, x in zip(missed, found, strict=True)]
+        kept = dict(zip(missed, found, strict=True))
+        if max(map(len, missed)) > SHORT:
+            kept = {p: x for p, x in kept.items() if len(p) <= SHORT}
+        more = sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY * len(kept)
+        if self.size + more > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        if more <= self.limit:
+            self.young |= kept
+            self.size += more
+        rest = iter(found)
+        return [next(rest) if x is None else x for x in ids]
 
     def texts(self, texts: list[bytes], whole: Callable[[bytes], bool] = lambda _: False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each); texts for which `whole` says so are not cut."""
