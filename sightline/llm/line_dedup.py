@@ -10,8 +10,11 @@ and one edit of the defaults, what is left in common is at least 0.8 of a line).
    Lines whose halves no other line has are set aside: they have no neighbour, and emit nothing. For larger bounds all
    different lines emit; their variants grow as the words to the power of the bound.
 3. The lines emit all variants with up to `max_edits` words deleted as hashed keys, each with the places of its gaps (the
-   number of kept words before each deleted one). Variants are joined by key to the earliest line of each key and set
-   of gaps, so a template that fills in one word differently a million times makes a million rows, not pairs.
+   number of kept words before each deleted one). Keys of one line alone are set aside. For a bound of one edit a variant
+   is joined to the earliest variant of its key and gap and to the line that its key is, and a line to the earliest
+   variant of its key: three joins by equality, so neither a template that fills in one word differently a million
+   times nor a line of one word a million times makes more than rows in proportion. (All variants of such a line are
+   emitted: their gaps differ, and each may be what another line has there.) For larger bounds variants meet by key.
 4. Each proposed pair is verified on the words; verified lines and repeats of equal lines are dropped.
 
 Two lines that share a key are at most as many edits apart as their gaps, the common ones counted once; all lines of one
@@ -244,31 +247,51 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_edits: int =
     return totals, gone
 
 
+#: Entries of the smaller side of a hash join in one partition, some 50 MB.
+ENTRIES = 1 << 20
+
+
+def in_memory(rows: DataFrame, small: DataFrame, key: str, how: str, entries: int) -> DataFrame:
+    """A join by a hash table of the smaller side, which has each key once, so that texts are not sorted.
+
+    The table cannot spill, so the partitions follow its measured entries: none holds more than about `ENTRIES`.
+    """
+    n = -(-entries // ENTRIES)
+    if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows, small = rows.repartition(n, key), small.repartition(n, key)
+    return rows.join(small.hint("shuffle_hash"), key, how)
+
+
 def neighbours(docs: DataFrame, lines: DataFrame, scratch: Scratch, max_edits: int) -> DataFrame:
     """Rows (h, g) of the different lines that have an earlier one within the bound."""
     some = lines.select("h", "g", "first")
     if max_edits == 1:
         keys = lines.select("h", "g", F.explode("keys").alias("half"))
-        # Each half is there once, so the smaller side of the joins below has no hot key; its share of memory follows the partitions.
-        shared = keys.groupBy("half").agg(F.count("*").alias("k")).where("k > 1").select("half")
-        found = keys.join(shared.hint("shuffle_hash"), "half", "left_semi").select("h", "g").distinct()
+        halves = scratch.keep(keys.groupBy("half").agg(F.count("*").alias("k")).where("k > 1").select("half"))
+        found = in_memory(keys, halves, "half", "left_semi", halves.count()).select("h", "g").distinct()
         some = scratch.keep(some.join(found, ["h", "g"], "left_semi"))
     wanted = some.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "h", "g")).alias("wanted"))
-    bodies = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(chosen_lines, "h long, g long, words string")
+    bodies = in_memory(docs, wanted, "doc_id", "inner", some.count()).select("text", "wanted").mapInArrow(chosen_lines, "h long, g long, words string")
     bodies = scratch.keep(bodies.dropDuplicates(["h", "g"]))
     kind = "int" if max_edits == 1 else "array<int>"
     emitted = bodies.mapInArrow(one_deleted if max_edits == 1 else many_deleted(max_edits), f"key long, gaps {kind}, h long, g long")
     emitted = scratch.keep(emitted.join(some, ["h", "g"]).select("key", "gaps", F.struct(F.col("first.doc_id"), F.col("first.line_no"), "h", "g").alias("own")))
-    hubs = emitted.groupBy("key", F.col("gaps").alias("theirs")).agg(F.min("own").alias("other"))
-    mine, theirs = F.col("gaps"), F.col("theirs")
+    shared = scratch.keep(emitted.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("key"))
+    few = scratch.keep(emitted.join(shared, "key", "left_semi"))
+    scratch.drop(emitted)
+    earlier = F.struct("other.doc_id", "other.line_no") < F.struct("own.doc_id", "own.line_no")
     if max_edits == 1:
-        fits = mine.isNull() | theirs.isNull() | (mine == theirs)
+        whole, any_ = F.lit(-1), F.lit(-2)
+        hubs = few.groupBy("key", F.coalesce("gaps", whole).alias("kind")).agg(F.min("own").alias("other"))
+        hubs = scratch.keep(hubs.unionByName(few.where("gaps is not null").groupBy("key").agg(F.min("own").alias("other")).withColumn("kind", any_)))
+        met = few.select("key", "own", F.explode(F.when(F.col("gaps").isNull(), F.array(any_)).otherwise(F.array("gaps", whole))).alias("kind")).join(hubs, ["key", "kind"])
     else:
-        fits = F.size(mine) + F.size(theirs) - F.size(F.array_intersect(mine, theirs)) <= max_edits
-    earlier = F.struct("other.doc_id", "other.line_no") < F.struct("own.doc_id", "own.line_no")
-    pairs = emitted.join(hubs, "key").where(fits & earlier).select("own.h", "own.g", F.col("other.h").alias("oh"), F.col("other.g").alias("og"))
+        hubs = few.groupBy("key", F.col("gaps").alias("theirs")).agg(F.min("own").alias("other"))
+        mine, theirs = F.col("gaps"), F.col("theirs")
+        met = few.join(hubs, "key").where(F.size(mine) + F.size(theirs) - F.size(F.array_intersect(mine, theirs)) <= max_edits)
+    pairs = met.where(earlier).select("own.h", "own.g", F.col("other.h").alias("oh"), F.col("other.g").alias("og"))
     pairs = scratch.keep(pairs.distinct())
-    scratch.drop(emitted)
+    scratch.drop(few)
     both = pairs.join(bodies.withColumnRenamed("words", "mine"), ["h", "g"]).join(bodies.select(F.col("h").alias("oh"), F.col("g").alias("og"), F.col("words").alias("theirs")), ["oh", "og"])
     out = scratch.keep(both.select("h", "g", "mine", "theirs").mapInArrow(verified(max_edits), "h long, g long").distinct())
     for done in (pairs, bodies):
@@ -305,9 +328,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_edits: int = 1)
     """`docs` with their texts less the dropped lines, n_lines (lines with a word) and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
     totals, gone = dropped_lines(docs, min_words, max_edits)
+    lost = gone.count()
     gone = gone.groupBy("doc_id").agg(F.count("*").alias("n_dropped"), F.collect_set(F.struct("line_no", "h")).alias("__gone"))
-    counted = totals.join(gone, "doc_id", "left").withColumnRenamed("doc_id", "__id")
-    out = docs.join(counted.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left")
+    counted = totals.join(gone, "doc_id", "left")
+    out = in_memory(docs, counted, "doc_id", "left", lost + totals.count())
     out = out.select(*docs.columns, F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), "__gone")
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields[:-1]])
     return out.mapInArrow(without_lines(docs.columns.index("text")), schema)

@@ -105,3 +105,20 @@ def test_query_matches_brute_force(spark, sf):
         by_size.setdefault(len(w), []).append(w)
     want = {d: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (d, k) not in gone) for d, t in docs}
     assert {r.doc_id: r.text for r in L.op3_line_dedup(spark, sf).collect()} == want
+
+
+def test_lines_of_one_word_many_times(spark):
+    """Their variants are all equal: rows in proportion, not pairs; what differs in one place among them is found."""
+    import time
+
+    began = time.time()
+    n = 100_000
+    got = run(spark, [(1, "ha " * n), (2, "ha " * (n + 1)), (3, "ha " * (n + 3)), (4, "ha " * 20 + "x " + "ha " * (n - 21)), (5, "ha " * 20 + "x y " + "ha " * (n - 22))])
+    assert [i for i, t in got if t] == [1, 3] and time.time() - began < 90
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repetitive_lines_match_brute_force(spark, seed):
+    R = random.Random(seed)
+    docs = [(i, "\n".join(" ".join(R.choice("aab") for _ in range(R.randint(4, 9))) for _ in range(3))) for i in range(60)]
+    assert sorted(run(spark, docs)) == sorted(brute(docs))
