@@ -4,8 +4,9 @@ Texts become templates: numbers, names (capitalised words inside a sentence) and
 placeholders, other words are lowered; neighbouring placeholders of one type count as one slot. Windows of `WIDTH`
 template tokens, of which at least half are words, are hashed. Document windows that an exact bitmap of the
 benchmark's hashes admits (a fixed 2 MB, no false negatives) are joined to the benchmark's windows by hash. The slots
-of the joined windows must be filled consistently: one value of the item stands for one value of the document, and the
-other way round. A document is contaminated by an item when windows of it cover at least `COVER` of the item's
+of the joined windows must be filled consistently: one name or unit of the item stands for one of the document, and the
+other way round. Numbers may come to be equal by chance, in the item or in the copy, so of their different pairs only a
+share of `NUMBERS` must be so. Numbers are digits or number words. A document is contaminated by an item when windows of it cover at least `COVER` of the item's
 different windows and their slots are consistent; so a question with other numbers or names is caught, and one that
 shares phrases is not. The windows are all of the document's or, where those are at odds, the ones of one occurrence:
 for a shift (place in the document less place in the item), the nearest window for each place of the item, within a
@@ -32,17 +33,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sightline.llm.kernels import LOWER, hash_spans, lut, mix, pieces, prefix_sums, sequence_hash, spans, text_slices
 from sightline.tables import Scratch, bounded_batches, table
 
-WIDTH, COVER = 5, 0.5
+WIDTH, COVER, NUMBERS = 5, 0.5, 0.5
 BITMAP = 24  # log2 of the bits in the prefilter
 
 #: Units that may follow a number.
 UNITS = "mm cm m km in ft mi inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers mg g kg t lb lbs oz gram grams kilogram kilograms tonne tonnes pound pounds ml l litre litres liter liters s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents kmh mph degrees volt volts watt watts".split()
 
+#: Words that stand for numbers.
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+
 WORD = ~lut(bytes(set(range(128)) - set(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")))
 STOPS, DIGIT, UPPER = lut(b".!?:;\n"), lut(b"0123456789"), lut(bytes(range(65, 91)))
 NUM, NAME, UNIT = 1, 2, 3
@@ -51,12 +55,16 @@ APART = [np.uint64(0), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x8A5CD789635D2D
 TAG = mix(np.array([0, 11, 22, 33], np.uint64))
 
 
-def _unit_hashes() -> np.ndarray:
-    data = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
+def _hashes(words: list[str]) -> np.ndarray:
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
     return np.sort(hash_spans(data, *spans(data)))
 
 
-_units = _unit_hashes()
+_units, _numbers = _hashes(UNITS), _hashes(NUMBER_WORDS)
+
+
+def among(value: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
 
 
 class Template:
@@ -75,14 +83,13 @@ class Template:
             stops = np.concatenate([[0], np.cumsum(STOPS[data])])
             fresh = np.full(len(starts), begins or stops[starts[0]] > 0)
             fresh[1:] = stops[starts[1:]] > stops[ends[:-1]]
-            number = DIGIT[data[starts]]
+            number = DIGIT[data[starts]] | among(value, _numbers)
             second = data[np.minimum(starts + 1, len(data) - 1)]
             # À to Þ in UTF-8: a lead byte C3 and a second byte of 80 to 9E.
             accented = (data[starts] == 0xC3) & (second >= 0x80) & (second <= 0x9E)
             follow = data[np.minimum(starts + 1 + accented, len(data) - 1)]
             capital = (UPPER[data[starts]] | accented) & (ends - starts > 1 + accented) & ~UPPER[follow] & ~DIGIT[follow]
-            found = np.searchsorted(_units, value)
-            unit = _units[np.minimum(found, len(_units) - 1)] == value
+            unit = among(value, _units)
             unit[1:] &= number[:-1]
             unit[0] &= after_number
             begins, after_number = bool(stops[-1] > stops[ends[-1]]), bool(number[-1])
@@ -140,10 +147,11 @@ class Template:
 WINDOWS = "row long, reading int, copy long, n int, start int, key long, kinds array<int>, slots array<long>"
 
 
-def windows_of(width: int, sizes: list[int] | None, bitmap: np.ndarray | None):
+def windows_of(width: int, sizes: list[int] | None, bitmap: np.ndarray | None, plain: bool = True):
     """mapInArrow: (row, text) to the windows, in all readings, that the bitmap admits; copy: text and reading; sizes: window sizes to form (None: width).
 
-    Without a bitmap (items), the reading as it stands is for texts that have no windows in the first reading.
+    Without a bitmap (items), the reading as it stands is for texts that have no windows in the first reading; with one,
+    it is left out unless `plain`, which says that some item is read so.
     """
 
     def run(stream):
@@ -153,7 +161,7 @@ def windows_of(width: int, sizes: list[int] | None, bitmap: np.ndarray | None):
                 for row, raw in zip(batch.column(0).slice(first, rows).to_pylist(), texts, strict=True):
                     made = Template(raw)
                     forms = [made, made.with_initial_names()]
-                    if bitmap is not None or not len(made.windows(width)[0]):
+                    if plain and (bitmap is not None or not len(made.windows(width)[0])):
                         forms.append(made.as_it_stands())
                     for reading, form in enumerate(forms):
                         n, copy = len(form.token), None
@@ -183,16 +191,21 @@ def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["row", "reading", "copy", "n", "start", "key", "kinds", "slots"])
 
 
-def consistent(slots: list[tuple[int, int]]) -> bool:
-    """Whether each value of the item stands for one of the document, and the other way round."""
+def consistent(slots: list[tuple[int, int, int]]) -> bool:
+    """Whether slots (kind, item's value, document's) are filled alike: names and units one to one, numbers by a share."""
     found = set(slots)
-    return len({a for a, _ in found}) == len(found) == len({b for _, b in found})
+    for kind in {k for k, _, _ in found}:
+        mine = [(a, b) for k, a, b in found if k == kind]
+        least = min(len({a for a, _ in mine}), len({b for _, b in mine}))
+        if least < len(mine) * (NUMBERS if kind == NUM else 1):
+            return False
+    return True
 
 
 def best_occurrence(at: np.ndarray, place: np.ndarray, key: list, slots: list, n: int, least: float, width: int) -> int:
     """Most different keys of one occurrence with consistent slots, 0 if none has `least`.
 
-    Hits are windows `at` of a text that equal windows at `place` of an item of n tokens; slots: (item's, document's).
+    Hits are windows `at` of a text that equal windows at `place` of an item of n tokens; slots: (kind, item's, document's).
     """
     shift = at - place
     order = np.lexsort((at, shift))
@@ -217,7 +230,7 @@ def occurrences(width: int, cover: float):
 
     def run(hits: pa.Table) -> pa.Table:
         total, n = hits["total"][0].as_py(), hits["n"][0].as_py()
-        slots = [list(zip(a, b, strict=True)) for a, b in zip(hits["theirs"].to_pylist(), hits["slots"].to_pylist(), strict=True)]
+        slots = [list(zip(k, a, b, strict=True)) for k, a, b in zip(hits["kinds"].to_pylist(), hits["theirs"].to_pylist(), hits["slots"].to_pylist(), strict=True)]
         k = best_occurrence(hits["at"].to_numpy().astype(np.int64), hits["place"].to_numpy().astype(np.int64), hits["key"].to_pylist(), slots, n, total * cover, width)
         return hits.select(["doc_id", "item_id", "reading"]).slice(0, k > 0).append_column("cover", pa.array([k / total][: k > 0], pa.float64()))
 
@@ -237,15 +250,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width: int
     for part in parts:
         bitmap[(part["part"] - 1) * 4096 : part["part"] * 4096] = np.frombuffer(part["bits"], np.uint8)
     short = sorted({min(r["n"], width) for r in items.select(F.least("n", F.lit(width)).alias("n")).distinct().collect()})
-    seen = docs.select("doc_id", "text").mapInArrow(windows_of(width, short or [width], bitmap), WINDOWS).withColumnRenamed("row", "doc_id").withColumnRenamed("start", "at").drop("n", "reading")
+    plain = not items.where("reading = 2").isEmpty()
+    seen = docs.select("doc_id", "text").mapInArrow(windows_of(width, short or [width], bitmap, plain), WINDOWS).withColumnRenamed("row", "doc_id").withColumnRenamed("start", "at").drop("n", "reading")
+    seen = scratch.keep(seen)
+    # A contaminated document has one of the rarest keys of the item, all but as many as it may lack; windows that many
+    # items share then meet candidates only.
+    rare = items.groupBy("key").agg(F.count_distinct("item_id", "wording").alias("items"))
+    w = W.partitionBy(item).orderBy("items", "key")
+    ranked = items.select(*item, "key").distinct().join(rare, "key").join(totals, item).withColumn("rank", F.row_number().over(w))
+    rarest = ranked.where(F.col("rank") <= F.col("total") - F.ceil(F.col("total") * cover) + 1).select(*item, "key")
+    candidates = scratch.keep(seen.select("doc_id", "key").distinct().join(rarest, "key").select(pair).distinct())
     ours = items.select(*item, "n", "key", F.col("start").alias("place"), F.col("kinds").alias("their_kinds"), F.col("slots").alias("theirs"))
-    # Several aggregations read the hits; written, they cost one pass over the texts.
-    hit = scratch.keep(seen.join(ours, "key").where(F.col("kinds") == F.col("their_kinds")).drop("kinds", "their_kinds"))
+    hit = seen.join(candidates.join(ours, item), ["doc_id", "key"])
+    hit = scratch.keep(hit.where(F.col("kinds") == F.col("their_kinds")).drop("their_kinds"))
     covered = scratch.keep(hit.groupBy(pair).agg(F.count_distinct("key").alias("k")).join(totals, item).where(F.col("k") >= F.col("total") * cover))
-    slots = F.array_distinct(F.zip_with("theirs", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    slots = F.array_distinct(F.transform("kinds", lambda kind, i: F.struct(kind.alias("kind"), F.get("theirs", i).alias("a"), F.get("slots", i).alias("b"))))
     filled = hit.join(covered.select(pair), pair, "left_semi").select(*pair, F.explode(slots).alias("s")).distinct()
-    either = lambda end: filled.groupBy(*pair, f"s.{end}").agg(F.count("*").alias("c")).where("c > 1").select(pair)
-    mixed = scratch.keep(either("a").unionByName(either("b")).distinct().join(covered.select(*pair, "total"), pair))
+    ends = filled.groupBy(*pair, "s.kind").agg(F.count("*").alias("pairs"), F.least(F.count_distinct("s.a"), F.count_distinct("s.b")).alias("least"))
+    odd = F.col("least") < F.col("pairs") * F.when(F.col("kind") == NUM, NUMBERS).otherwise(1.0)
+    mixed = scratch.keep(ends.where(odd).select(pair).distinct().join(covered.select(*pair, "total"), pair))
     whole = covered.join(mixed, pair, "left_anti").select("doc_id", "item_id", "reading", (F.col("k") / F.col("total")).alias("cover"))
     parts = hit.join(mixed, pair).dropDuplicates([*pair, "copy", "at", "place"])
     one = parts.groupBy(*pair, "copy").applyInArrow(occurrences(width, cover), "doc_id long, item_id long, reading int, cover double")
@@ -272,7 +295,9 @@ def op5_decontamination(spark, sf_dir):
 
 QUERIES = {"op5_decontamination": op5_decontamination}
 
-_UNITS_SQL = ", ".join(f"'{u}'" for u in UNITS)
+_UNITS_SQL, _NUMBERS_SQL = (", ".join(f"'{u}'" for u in words) for words in (UNITS, NUMBER_WORDS))
+_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NUM_SQL = f"(regexp_matches({{0}}, '^[0-9]') OR {_LOWER_SQL.format('{0}')} IN ({_NUMBERS_SQL}))"
 
 
 def _template_sql(name: str, table_: str, ident: str) -> str:
@@ -280,7 +305,7 @@ def _template_sql(name: str, table_: str, ident: str) -> str:
     return rf"""
 {name}0 AS (SELECT {ident} AS id, i, toks[i] AS s FROM (SELECT {ident}, regexp_extract_all(coalesce(text, ''), '[.!?:;\n]|[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+') AS toks FROM {table_} WHERE {ident} IS NOT NULL), unnest(range(1, len(toks) + 1)) AS u(i)),
 {name}1 AS (SELECT *, NOT regexp_matches(s, '^[.!?:;\n]$') AS word, coalesce(regexp_matches(lag(s) OVER (PARTITION BY id ORDER BY i), '^[.!?:;\n]$'), true) AS fresh FROM {name}0),
-{name}2 AS (SELECT id, i, s, fresh, translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS val, regexp_matches(s, '^[0-9]') AS num, regexp_matches(coalesce(lag(s) OVER (PARTITION BY id ORDER BY i), ''), '^[0-9]') AS after FROM {name}1 WHERE word),
+{name}2 AS (SELECT id, i, s, fresh, {_LOWER_SQL.format("s")} AS val, {_NUM_SQL.format("s")} AS num, {_NUM_SQL.format("coalesce(lag(s) OVER (PARTITION BY id ORDER BY i), '')")} AS after FROM {name}1 WHERE word),
 {name}3 AS (SELECT id, i, val, CASE WHEN num THEN 1 WHEN after AND val IN ({_UNITS_SQL}) THEN 3 WHEN NOT fresh AND regexp_matches(s, '^[A-Z\x{{C0}}-\x{{DE}}][^A-Z0-9]') THEN 2 ELSE 0 END AS kind FROM {name}2),
 {name}4 AS (SELECT *, CASE WHEN kind > 0 AND kind = lag(kind) OVER (PARTITION BY id ORDER BY i) THEN 0 ELSE 1 END AS first FROM {name}3),
 {name}5 AS (SELECT *, sum(first) OVER (PARTITION BY id ORDER BY i) AS g FROM {name}4),
@@ -297,8 +322,8 @@ def _windows_sql(name: str, tokens: str, size: str) -> str:
 ORACLE = f"""WITH {_template_sql("q", "(SELECT DISTINCT item_id, text FROM benchmark)", "item_id")}, {_template_sql("d", "documents", "doc_id")}, {_windows_sql("qw", "q", "5")}, {_windows_sql("dw", "d", "5")},
 tot AS (SELECT id, count(DISTINCT key) AS total FROM qw GROUP BY 1), hit AS (SELECT dw.id AS doc_id, qw.id AS item_id, dw.key, qw.kinds, qw.vals AS a, dw.vals AS b FROM dw JOIN qw ON dw.key = qw.key AND dw.kinds = qw.kinds),
 cov AS (SELECT doc_id, item_id, count(DISTINCT key) AS k, any_value(total) AS total FROM hit JOIN tot ON tot.id = item_id GROUP BY 1, 2 HAVING count(DISTINCT key) >= 0.5 * any_value(total)),
-sl AS (SELECT DISTINCT doc_id, item_id, a[j] AS x, b[j] AS y FROM hit SEMI JOIN cov USING (doc_id, item_id), unnest(range(1, 6)) AS u(j) WHERE kinds[j] > 0),
-mix AS (SELECT doc_id, item_id FROM sl GROUP BY doc_id, item_id, x HAVING count(*) > 1 UNION SELECT doc_id, item_id FROM sl GROUP BY doc_id, item_id, y HAVING count(*) > 1),
+sl AS (SELECT DISTINCT doc_id, item_id, kinds[j] AS kind, a[j] AS x, b[j] AS y FROM hit SEMI JOIN cov USING (doc_id, item_id), unnest(range(1, 6)) AS u(j) WHERE kinds[j] > 0),
+mix AS (SELECT DISTINCT doc_id, item_id FROM sl GROUP BY doc_id, item_id, kind HAVING least(count(DISTINCT x), count(DISTINCT y)) < count(*) * CASE kind WHEN 1 THEN 0.5 ELSE 1 END),
 ok AS (SELECT * FROM cov ANTI JOIN mix USING (doc_id, item_id))
 SELECT doc_id, arg_max(item_id, (k / total, -item_id)) AS item_id, round(max(k / total), 6) AS cover, count(*) AS n_items FROM ok GROUP BY 1"""
 

@@ -98,3 +98,22 @@ def test_items_of_numbers_and_names_are_found_as_they_stand(spark):
     docs = [(1, "So: what does 48 Boston 12 km Rome 9 Lima 7 kg Oslo 5 give, they asked."), (2, "sums: 12 + 30 = 42 7 8 9 10"), (3, "what does 49 Boston 13 km Rome 8 Lima 6 kg Oslo 4 give"), (4, "12 + 31 = 43 7 8 9")]
     out = D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
     assert {r.doc_id: r.item_id for r in out.collect()} == {1: 0, 2: 1, 3: None, 4: None}
+
+
+def test_numbers_that_come_to_be_equal(spark):
+    """Equal numbers, in the item or in the copy, and number words do not clear a copy; unlike names do."""
+    buy = "Alice buys 12 apples for 3 dollars at the market and then walks home slowly with all of them"
+    pens = "On the desk there are 4 red pens and 4 blue pens and the teacher wants to know how many there are"
+    docs = [(1, buy.replace("12", "7").replace("3", "7")), (2, pens.replace("4 red", "6 red").replace("4 blue", "9 blue")), (3, buy.replace("12", "forty").replace("3", "twelve")), (4, pens.replace("4 red", "twenty five red"))]
+    docs += [(5, "On the desk there are many red pens and a few blue pens"), (6, buy.replace("Alice", "Dave"))]
+    assert run(spark, docs, [(1, buy), (2, pens)]) == {1: (True, 1), 2: (True, 2), 3: (True, 1), 4: (True, 2), 5: (False, None), 6: (True, 1)}
+    assert not D.consistent([(D.NUM, 1, b) for b in range(3)]) and D.consistent([(D.NUM, 1, 5), (D.NUM, 2, 5)]) and not D.consistent([(D.NAME, 1, 5), (D.NAME, 2, 5)])
+
+
+def test_windows_that_all_items_share(spark):
+    """A common beginning makes no candidates of documents that have nothing else of an item."""
+    words = "amber birch cedar delta ember fjord grove haven inlet jetty knoll larch maple north ocean pearl quartz river stone tulip".split()
+    begin = "answer the following question with a single short word or with none at all if you do not know it"
+    items = [(i, f"{begin} about the {w} and the old {words[i - 1]} of that {words[i - 2]} which nobody knew before the {words[i - 3]} came") for i, w in enumerate(words)]
+    docs = [(100 + i, f"{begin} number {i}") for i in range(60)] + [(i, f"see {t} so it is") for i, t in items[:5]]
+    assert {d: i for d, (bad, i) in run(spark, docs, items).items() if bad} == {i: i for i in range(5)}
