@@ -1,4 +1,4 @@
-r"""Quotation linking: find what each message quotes, link it to the message it answers, and drop the quotes.
+r"""Quotation linking: find what each message quotes, link it to the message it answers, and drop what was linked.
 
 Built-in expressions and joins only. A line's quote level is the number of `>` before its text; a passage is a run of
 lines of one level, one of its paragraphs, or one of its lines; so a reply that quotes some of several paragraphs,
@@ -12,8 +12,11 @@ latest). Without a linked quote it answers the message at the turn before, if th
 As an answer always comes after what it answers, (conv_id, thread, turn) is reply order. Threads and depths come from
 pointer doubling, log2(depth) joins.
 
-Nulls: a null text is an empty message; rows with a null conv_id or turn link to nothing and open a thread at their
-own turn. Very long texts are cut in place; a deep chain costs its depth's logarithm in joins. Repeated rows of one (conv_id, turn) each get the same links. An empty table gives an empty result. Extra
+Only what is linked goes from the text: the lines of each linked run, paragraph or line, and the line that introduces
+it. Quotes of nothing in the conversation (a book, a prompt, code) stay as they stand. n_quotes and n_linked count runs.
+
+Nulls: a null text is an empty message; rows with a null conv_id or turn link to nothing, keep their quotes and open a
+thread at their own turn. Very long texts are cut in place; a deep chain costs its depth's logarithm in joins. Repeated rows of one (conv_id, turn) each get the same links. An empty table gives an empty result. Extra
 columns are ignored.
 """
 
@@ -35,56 +38,101 @@ def normal(text: Column) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    """array<struct<level int, body string>>; a line that introduces a quote has level -1."""
+    """array<struct<level int, body string, line string>>; a line that introduces a quote has level -1."""
 
     def parse(line: Column) -> Column:
         mark = F.regexp_extract(line, PREFIX, 0)
-        return F.struct((F.length(mark) - F.length(F.replace(mark, F.lit(">"), F.lit("")))).alias("level"), F.regexp_replace(line, PREFIX, "").alias("body"))
+        return F.struct((F.length(mark) - F.length(F.replace(mark, F.lit(">"), F.lit("")))).alias("level"), F.regexp_replace(line, PREFIX, "").alias("body"), line.alias("line"))
 
     def introduced(all_lines: Column) -> Column:
         after = lambda x, i: (x["level"] == 0) & x["body"].rlike(ATTRIBUTION) & (F.coalesce(F.get(all_lines, i + 1)["level"], F.lit(0)) > 0)
-        return F.transform(all_lines, lambda x, i: F.struct(F.when(after(x, i), -1).otherwise(x["level"]).alias("level"), x["body"].alias("body")))
+        return F.transform(all_lines, lambda x, i: F.struct(F.when(after(x, i), -1).otherwise(x["level"]).alias("level"), x["body"].alias("body"), x["line"].alias("line")))
 
     return let(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), parse), introduced)
 
 
+def places(flags: Column) -> Column:
+    """Where an array of booleans is true."""
+    return F.filter(F.transform(flags, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+
+
 def passages_of(lines: Column) -> Column:
-    """array<struct<level, body>> of the quoted runs, of their paragraphs and of their lines where a run has several."""
+    """array<struct<level, run, end, a, b, body>> of the quoted runs, of their paragraphs and of their lines where a run has several.
+
+    The run goes from line run to before end, the passage from a to before b.
+    """
+
+    def passages(ls: Column) -> Column:
+        n = F.size(ls)
+        level = lambda i: F.coalesce(F.get(ls, i)["level"], F.lit(-2))
+        full = lambda i: ~F.coalesce(F.get(ls, i)["body"].rlike(r"^[ \t]*$"), F.lit(True))
+        row = lambda r, a, b: F.struct(level(a).alias("level"), r["a"].cast("int").alias("run"), r["b"].cast("int").alias("end"), a.cast("int").alias("a"), b.cast("int").alias("b"), F.array_join(F.transform(F.slice(ls, a + 1, b - a), lambda x: x["body"]), "\n").alias("body"))
+        new = places(F.transform(ls, lambda x, i: (i == 0) | (x["level"] != level(i - 1))))
+
+        def cut(starts: Column) -> Column:
+            bounds = F.filter(F.transform(starts, lambda a, k: F.struct(a.alias("a"), F.coalesce(F.get(starts, k + 1), n).alias("b"))), lambda r: level(r["a"]) > 0)
+            # A paragraph begins at a line with text after one without, or at the run's first line.
+            begins = places(F.transform(ls, lambda x, i: (x["level"] > 0) & full(i) & ((level(i - 1) != x["level"]) | ~full(i - 1))))
+            ends = places(F.transform(ls, lambda x, i: (x["level"] > 0) & full(i) & ((level(i + 1) != x["level"]) | ~full(i + 1))))
+            spans = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
+
+            def of_run(r: Column) -> Column:
+                paragraphs = F.filter(spans, lambda p: (p["a"] >= r["a"]) & (p["b"] <= r["b"]))
+                several = lambda ps: F.when(F.size(ps) > 1, F.transform(ps, lambda p: row(r, p["a"], p["b"]))).otherwise(F.array().cast(kind))
+                single = F.when(r["b"] - r["a"] > 1, F.transform(F.sequence(r["a"], r["b"] - 1), lambda i: row(r, i, i + 1))).otherwise(F.array().cast(kind))
+                return F.concat(F.array(row(r, r["a"], r["b"])), let(paragraphs, several), single)
+
+            return F.flatten(F.transform(bounds, of_run))
+
+        kind = "array<struct<level:int,run:int,end:int,a:int,b:int,body:string>>"
+        return let(new, cut)
+
+    return let(lines, passages)
 
-    def runs(ls: Column) -> Column:
-        starts = F.filter(F.transform(ls, lambda x, i: F.when((i == 0) | (x["level"] != F.get(ls, i - 1)["level"]), i)), lambda i: i.isNotNull())
-        cut = lambda bounds: F.transform(bounds, lambda b, k: F.slice(ls, b + 1, F.coalesce(F.get(bounds, k + 1), F.size(ls)) - b))
-        quoted = F.filter(let(starts, cut), lambda run: F.get(run, F.lit(0))["level"] > 0)
-        whole = F.transform(quoted, lambda run: F.struct(F.get(run, F.lit(0))["level"].alias("level"), F.array_join(F.transform(run, lambda x: x["body"]), "\n").alias("body")))
-        single = F.flatten(F.filter(quoted, lambda run: F.size(run) > 1))
-        several = lambda ws: F.filter(ws, lambda x: F.size(F.split(x["body"], PARAGRAPH)) > 1)
-        parted = lambda ws: F.flatten(F.transform(several(ws), lambda x: F.transform(F.split(x["body"], PARAGRAPH), lambda b: F.struct(x["level"].alias("level"), b.alias("body")))))
-        return let(whole, lambda ws: F.concat(ws, parted(ws), single))
 
-    return let(lines, runs)
+def joined(lines: Column) -> Column:
+    return F.btrim(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.lit("\n"))
 
 
 def own_text(lines: Column) -> Column:
     """The text without quotes and their introductions."""
-    return F.btrim(F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["body"]), "\n"), F.lit("\n"))
+    return joined(F.filter(lines, lambda x: x["level"] == 0))
+
+
+def unlinked(lines: Column, linked: Column) -> Column:
+    """The text without the lines of linked passages (array<struct<a, b, run, end>>, or null) and what introduces them.
+
+    Quoted lines without text go with anything that is linked of their run.
+    """
+
+    def gone(i: Column) -> Column:
+        empty = F.get(lines, i)["body"].rlike(r"^[ \t]*$")
+        return F.coalesce(F.exists(linked, lambda r: ((r["a"] <= i) & (i < r["b"])) | (empty & (r["run"] <= i) & (i < r["end"]))), F.lit(False))
+
+    return joined(F.filter(lines, lambda x, i: (x["level"] == 0) | ((x["level"] > 0) & ~gone(i)) | ((x["level"] < 0) & ~gone(i + 1))))
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text, n_quotes, n_linked, reply_to): texts without quotes, and who is answered."""
-    cut = messages.select("conv_id", "turn", "role", lines_of(F.col("text")).alias("lines"))
-    cut = cut.select("conv_id", "turn", "role", own_text(F.col("lines")).alias("text"), passages_of(F.col("lines")).alias("passages"))
-    quotes = cut.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", F.col("p.level").alias("level"), normal(F.col("p.body")).alias("body")).where("body <> ''")
-    quotes = quotes.select("conv_id", "turn", "level", F.md5("body").alias("hash"), F.size(F.split("body", " ")).alias("words")).distinct()
+    """Rows (conv_id, turn, role, text, n_quotes, n_linked, reply_to): texts without linked quotes, and who is answered."""
+    cut = messages.select("conv_id", "turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("wording"), lines_of(F.col("text")).alias("lines"))
+    cut = cut.withColumns({"own": own_text(F.col("lines")), "passages": passages_of(F.col("lines"))})
+    each = cut.select("conv_id", "turn", "wording", F.explode("passages").alias("p")).select("conv_id", "turn", "wording", "p.level", "p.run", "p.end", "p.a", "p.b", normal(F.col("p.body")).alias("body")).where("body <> ''")
+    quotes = each.select("conv_id", "turn", "wording", "level", "run", "end", "a", "b", F.md5("body").alias("hash"), F.size(F.split("body", " ")).alias("words")).distinct()
     quoting = quotes.select("conv_id").distinct()
-    own = cut.join(quoting, "conv_id", "left_semi").where("text <> ''").select("conv_id", "turn", F.explode(F.array_distinct(F.concat(F.array("text"), F.split("text", "\n"), F.split("text", PARAGRAPH)))).alias("body"))
+    own = cut.join(quoting, "conv_id", "left_semi").where("own <> ''").select("conv_id", "turn", F.explode(F.array_distinct(F.concat(F.array("own"), F.split("own", "\n"), F.split("own", PARAGRAPH)))).alias("body"))
     first = own.select("conv_id", "turn", normal(F.col("body")).alias("body")).where("body <> ''").groupBy("conv_id", F.md5("body").alias("hash")).agg(F.min("turn").alias("origin"))
     linked = quotes.join(first, ["conv_id", "hash"]).where("origin < turn")
     best = F.max(F.struct((-F.col("level")).alias("level"), "words", "origin"))["origin"]
-    answered = linked.groupBy("conv_id", "turn").agg(best.alias("quoted_turn"), F.count("*").alias("n_linked"))
+    answered = linked.groupBy("conv_id", "turn").agg(best.alias("quoted_turn"))
+    # Of a run that is linked whole nothing smaller need be told.
+    runs = linked.groupBy("conv_id", "turn", "wording", "run").agg(F.max(F.struct((F.col("b") - F.col("a")).alias("size"), "a", "b")).alias("most"), F.collect_set(F.struct("a", "b", "run", "end")).alias("spans"))
+    told = F.when(F.col("most.a") == F.col("run"), F.filter("spans", lambda r: (r["a"] < F.col("most.a")) | (r["b"] > F.col("most.b")) | ((r["a"] == F.col("most.a")) & (r["b"] == F.col("most.b"))))).otherwise(F.col("spans"))
+    covered = runs.groupBy("conv_id", "turn", "wording").agg(F.flatten(F.collect_list(told)).alias("linked"), F.count("*").alias("n_linked"))
     before = messages.where("conv_id is not null and turn is not null").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("follows")).distinct()
-    out = cut.join(answered, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
+    out = cut.join(covered, ["conv_id", "turn", "wording"], "left").join(answered, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
     reply = F.coalesce("quoted_turn", F.when(F.col("follows"), F.col("turn") - 1))
-    return out.select("conv_id", "turn", "role", "text", F.size("passages").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), reply.alias("reply_to"))
+    n_quotes = F.size(F.array_distinct(F.transform("passages", lambda p: p["run"]))).cast("long")
+    return out.select("conv_id", "turn", "role", unlinked(F.col("lines"), F.col("linked")).alias("text"), n_quotes.alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), reply.alias("reply_to"))
 
 
 def threads(linked: DataFrame, scratch: Scratch, max_rounds: int = 64) -> DataFrame:
@@ -130,35 +178,44 @@ WITH RECURSIVE m AS (
   SELECT *, CASE WHEN lv0 = 0 AND regexp_matches(body, '^ *On .* wrote: *$') AND coalesce(lead(lv0) OVER (PARTITION BY rid ORDER BY i), 0) > 0
             THEN -1 ELSE lv0 END AS level FROM l1
 ), l3 AS (
-  SELECT *, i - row_number() OVER (PARTITION BY rid, level ORDER BY i) AS grp FROM l2
-), run AS (
-  SELECT rid, conv_id, turn, level, string_agg(body, chr(10) ORDER BY i) AS body, count(*) AS k FROM l3 WHERE level > 0 GROUP BY rid, conv_id, turn, level, grp
+  SELECT *, i - row_number() OVER (PARTITION BY rid, level ORDER BY i) AS grp, regexp_matches(body, '^[ \t]*$') AS blank FROM l2
+), l4 AS (
+  SELECT *, min(i) OVER (PARTITION BY rid, level, grp) AS run, sum(blank::INT) OVER (PARTITION BY rid, level, grp ORDER BY i) AS para FROM l3 WHERE level > 0
 ), quoted AS (
-  SELECT rid, conv_id, turn, level, body FROM run
+  SELECT rid, conv_id, turn, level, run, min(i) AS a, max(i) AS b, string_agg(body, chr(10) ORDER BY i) AS body FROM l4 GROUP BY rid, conv_id, turn, level, run
   UNION ALL
-  SELECT rid, conv_id, turn, level, unnest(ps) FROM (SELECT *, regexp_split_to_array(body, '\n[ \t]*\n') AS ps FROM run) WHERE len(ps) > 1
+  SELECT rid, conv_id, turn, level, run, min(i), max(i), string_agg(body, chr(10) ORDER BY i) FROM l4 WHERE NOT blank GROUP BY rid, conv_id, turn, level, run, para
   UNION ALL
-  SELECT l3.rid, l3.conv_id, l3.turn, l3.level, l3.body FROM l3 JOIN (SELECT rid, level, grp FROM l3 WHERE level > 0 GROUP BY rid, level, grp HAVING count(*) > 1) b USING (rid, level, grp)
+  SELECT rid, conv_id, turn, level, run, i, i, body FROM l4
 ), nq AS (
-  SELECT rid, count(*) AS n FROM quoted GROUP BY rid
+  SELECT rid, count(DISTINCT run) AS n FROM l4 GROUP BY rid
 ), q AS (
-  SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(body), '[\x20\x09-\x0D]+', ' ', 'g')) AS body FROM quoted
-), own AS (
-  SELECT m.rid, m.conv_id, m.turn, m.role, trim(coalesce(o.t, ''), chr(10)) AS text
-  FROM m LEFT JOIN (SELECT rid, string_agg(body, chr(10) ORDER BY i) AS t FROM l2 WHERE level = 0 GROUP BY rid) o USING (rid)
+  SELECT *, trim(regexp_replace(lower(body), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM quoted
+), bare AS (
+  SELECT rid, conv_id, turn, trim(string_agg(ls[i], chr(10) ORDER BY i), chr(10)) AS text FROM l2 JOIN (SELECT rid, ls FROM m) USING (rid) WHERE level = 0 GROUP BY rid, conv_id, turn
 ), piece AS (
-  SELECT conv_id, turn, unnest(list_concat([text], string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t]*\n'))) AS body FROM own WHERE text <> ''
+  SELECT conv_id, turn, unnest(list_concat([text], string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t]*\n'))) AS body FROM bare WHERE text <> ''
 ), origin AS (
-  SELECT conv_id, trim(regexp_replace(lower(body), '[\x20\x09-\x0D]+', ' ', 'g')) AS body, min(turn) AS origin FROM piece GROUP BY 1, 2
+  SELECT conv_id, trim(regexp_replace(lower(body), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm, min(turn) AS origin FROM piece GROUP BY 1, 2
+), hit AS (
+  SELECT q.*, origin FROM q JOIN origin o ON q.conv_id = o.conv_id AND q.norm = o.norm AND q.norm <> '' AND o.origin < q.turn
 ), ans AS (
-  SELECT q.conv_id, q.turn, arg_max(origin, (-level, len(string_split(q.body, ' ')), origin)) AS quoted_turn, count(*) AS n_linked
-  FROM q JOIN origin o ON q.conv_id = o.conv_id AND q.body = o.body AND q.body <> '' AND o.origin < q.turn GROUP BY 1, 2
+  SELECT conv_id, turn, arg_max(origin, (-level, len(string_split(norm, ' ')), origin)) AS quoted_turn FROM hit GROUP BY 1, 2
+), nl AS (
+  SELECT rid, count(DISTINCT run) AS n_linked FROM hit GROUP BY 1
+), gone AS (
+  SELECT DISTINCT l4.rid, l4.i FROM l4 JOIN hit ON hit.rid = l4.rid AND (l4.i BETWEEN hit.a AND hit.b OR l4.blank AND l4.run = hit.run)
+), own AS (
+  SELECT m.rid, m.conv_id, m.turn, m.role, trim(coalesce(o.t, ''), chr(10)) AS text
+  FROM m LEFT JOIN (
+    SELECT l2.rid, string_agg(m.ls[l2.i], chr(10) ORDER BY l2.i) AS t FROM l2 JOIN m USING (rid) LEFT JOIN gone ON gone.rid = l2.rid AND gone.i = CASE WHEN l2.level < 0 THEN l2.i + 1 ELSE l2.i END WHERE gone.i IS NULL OR l2.level = 0 GROUP BY l2.rid
+  ) o USING (rid)
 ), prev AS (
   SELECT DISTINCT conv_id, turn + 1 AS turn FROM conversations
 ), linked AS (
-  SELECT own.conv_id, own.turn, own.role, own.text, coalesce(nq.n, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked,
+  SELECT own.conv_id, own.turn, own.role, own.text, coalesce(nq.n, 0)::BIGINT AS n_quotes, coalesce(nl.n_linked, 0)::BIGINT AS n_linked,
          coalesce(quoted_turn, CASE WHEN prev.turn IS NOT NULL THEN own.turn - 1 END)::BIGINT AS reply_to
-  FROM own LEFT JOIN nq USING (rid) LEFT JOIN ans ON ans.conv_id = own.conv_id AND ans.turn = own.turn
+  FROM own LEFT JOIN nq USING (rid) LEFT JOIN nl USING (rid) LEFT JOIN ans ON ans.conv_id = own.conv_id AND ans.turn = own.turn
   LEFT JOIN prev ON prev.conv_id = own.conv_id AND prev.turn = own.turn
 ), node AS (
   SELECT conv_id, turn, min(reply_to) AS up FROM linked GROUP BY 1, 2

@@ -78,10 +78,10 @@ def test_quotes_link_to_their_messages(spark):
     assert got[1, 1] == (0, 0, 1, "Yes.")
     assert got[1, 2] == (1, 0, 2, "I come too.")
     assert got[1, 3] == (0, 0, 1, "Too early.")
-    assert got[1, 4] == (3, 0, 2, "Hm.")
+    assert got[1, 4] == (3, 0, 2, "> something nobody said\nHm.")
     assert got[1, 6] == (None, 6, 0, "No quote and no message before.")
-    assert got[2, 2][0] == 1 and got[2, 2][3] == "plain > text"
-    assert got[None, 0][:3] == (None, 0, 0) and got[3, None][:3] == (None, None, 0)
+    assert got[2, 2][0] == 1 and got[2, 2][3] == ">>>\n> > >\nplain > text"
+    assert got[None, 0] == (None, 0, 0, "> a") and got[3, None][:3] == (None, None, 0)
 
 
 def test_quotation_equals_its_sql_on_quoting_mail(spark):
@@ -113,7 +113,21 @@ def test_some_paragraphs_quoted_at_another_width(spark):
     reply = "> One long paragraph\n> that was wrapped here.\n>\n> The third\n> paragraph, also of two lines.\nAgreed."
     mail = [(1, 0, "a", first), (1, 1, "b", "Something else."), (1, 2, "c", reply)]
     got = {r.turn: (r.reply_to, r.n_linked, r.text) for r in T.reply_ordered(spark.createDataFrame(mail, "conv_id long, turn long, role string, text string")).collect()}
-    assert got[2] == (0, 2, "Agreed.")
+    assert got[2] == (0, 1, "Agreed.")
+
+
+def test_quotes_of_nothing_stay(spark):
+    """Only linked lines go, with what introduces them; runs are counted, not their lines."""
+    mail = [
+        (1, 0, "a", "First line.\nSecond line.\nThird line."),
+        (1, 1, "b", ">>> print(1)\n> a citation from a book nobody posted\nSo it is."),
+        (1, 2, "c", "On Monday a wrote:\n> First line.\n> Second line.\n> Third line.\nOn Tuesday x wrote:\n> Never heard\nYes."),
+        (1, 3, "d", "> Second line.\n> which I doubt\n>\n> Third line.\nNo."),
+    ]
+    got = {r.turn: (r.reply_to, r.n_quotes, r.n_linked, r.text) for r in T.reply_ordered(spark.createDataFrame(mail, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1] == (0, 2, 0, ">>> print(1)\n> a citation from a book nobody posted\nSo it is.")
+    assert got[2] == (0, 2, 1, "On Tuesday x wrote:\n> Never heard\nYes.")
+    assert got[3] == (0, 1, 1, "> which I doubt\nNo.")
 
 
 def test_one_huge_conversation_and_a_deep_chain(spark):
