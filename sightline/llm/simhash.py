@@ -8,11 +8,11 @@ anchor, home fingerprints are compared with all, over all bits.
 
 - `CONTRACT`: one word from three-word shingles, repeats included, 3 bits. Of 3 differing bits, one of the two halves has
   at most 1, so every link is found.
-- `SIMILAR`: twelve words from the different five-word shingles, for a similarity (shared of all shingles) of 0.8: there
-  the share of differing bits is acos(8/9)/pi, 116 of 768, and `bits` adds 1.2 standard deviations. Links that close need
-  not share an anchor: a half of 31 bits differs in few places only by chance. By the binomial distribution, 87 in 100
-  pairs of similarity 0.8 meet in one of the 24 halves, 97 at 0.85, 99.8 at 0.9; of those that meet at 0.8, 89 in 100 are
-  within the bits, of those at 0.7 four in 100; tests measure it.
+- `SIMILAR`: eighteen words from the different five-word shingles, for a similarity (shared of all shingles) of 0.8: there
+  the share of differing bits is acos(8/9)/pi, 174 of 1152, and `bits` adds 3.3 standard deviations. Fingerprints that
+  meet within the bits are candidates only: links are those whose shingles, all of them, are similar enough (`verified`).
+  Candidates need not share an anchor: a half of 31 bits differs in few places only by chance. Of pairs of similarity
+  0.8 to 0.85, 97 in 100 meet in one of the 36 halves, above that more; tests measure it.
 
 Only different fingerprints are placed; copies are carried by the least doc_id of their fingerprint. Replicas at anchors
 where nothing is at home are dropped before anything is compared. An anchor with many fingerprints is cut into blocks of
@@ -49,7 +49,10 @@ class Kind:
 
 
 CONTRACT = Kind(1, 3, 3)
-SIMILAR = Kind(12, 5, 128)
+SIMILAR = Kind(18, 5, 214)
+SIMILARITY = 0.8
+#: Rounds in which candidates are held against a leader, before what is left is compared group by group.
+ROUNDS = 3
 
 SEED = 42  # fixed value of the contract
 BLOCK = 1024
@@ -197,12 +200,11 @@ def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return out <= bits
 
 
-def spanning_links(home: np.ndarray, other: np.ndarray, home_ids: np.ndarray, other_ids: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Pairs of ids that join what is linked between two sets of fingerprints, fewer than their members together.
+def spanning_links(links: np.ndarray, home_ids: np.ndarray, other_ids: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of ids that join what is linked between two sets, fewer than their members together.
 
     Labels spread over the 0/1 matrix of links until they settle; each member then names its component's least member.
     """
-    links = near(home, other, bits)
     rows, cols = links.any(axis=1), links.any(axis=0)
     if not rows.any():
         return []
@@ -220,31 +222,36 @@ def spanning_links(home: np.ndarray, other: np.ndarray, home_ids: np.ndarray, ot
     return [(x, y) for x, y in pairs if x != y]
 
 
-def compare(kind: Kind):
-    """mapInArrow over rows (block, id, fp, home) sorted by block: spanning links of each block."""
-
-    def links_of(rows: pa.Table) -> pa.RecordBatch:
-        ids, fps, home = rows["id"].to_numpy(), as_words(rows["fp"], kind.words), rows["home"].to_numpy()
-        mine, others = home != 1, home != 0
-        pairs = spanning_links(fps[mine], fps[others], ids[mine], ids[others], kind.bits)
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+def by_first(work):
+    """mapInArrow over rows sorted by their first column: `work` on the table of each value."""
 
     def run(stream):
         rest = None
         for batch in stream:
             rows = pa.Table.from_batches([batch])
             rows = rows if rest is None else pa.concat_tables([rest, rows])
-            block = rows["block"].to_numpy()
-            starts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist()]
+            starts = [0, *(np.flatnonzero(np.diff(rows.column(0).to_numpy())) + 1).tolist()]
             for a, b in zip(starts, starts[1:], strict=False):
-                yield links_of(rows.slice(a, b - a))
+                yield work(rows.slice(a, b - a))
             rest = rows.slice(starts[-1])
         if rest is not None and rest.num_rows:
-            yield links_of(rest)
+            yield work(rest)
 
     return run
 
 
+def compare(kind: Kind):
+    """mapInArrow over rows (block, id, fp, home) sorted by block: spanning links of each block."""
+
+    def links_of(rows: pa.Table) -> pa.RecordBatch:
+        ids, fps, home = rows["id"].to_numpy(), as_words(rows["fp"], kind.words), rows["home"].to_numpy()
+        mine, others = home != 1, home != 0
+        pairs = spanning_links(near(fps[mine], fps[others], kind.bits), ids[mine], ids[others])
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return by_first(links_of)
+
+
 def blocks(placed: DataFrame, counts: DataFrame, block: int) -> DataFrame:
     """Rows (block long, id, home): home 0 is compared as at home, 1 as other, 2 as both.
 
@@ -262,44 +269,162 @@ def blocks(placed: DataFrame, counts: DataFrame, block: int) -> DataFrame:
     return joined.select("id", F.explode(rows).alias("r")).select("r.block", "id", "r.home")
 
 
-def links(prints: DataFrame, scratch: Scratch, kind: Kind = CONTRACT, block: int = BLOCK) -> DataFrame:
-    """Rows (u, v) of ids of linked fingerprints, enough to join every component; prints: distinct rows (id, fp)."""
-    prints = prints.select("id", "fp")
-    homes = scratch.keep(prints.mapInArrow(place(kind.words, True), "anchor long, id long"))
-    others = prints.mapInArrow(place(kind.words, False), "anchor long, id long")
-    # An anchor is there once on the right, so no key is hot there, and a partition's share of anchors is its memory.
-    others = scratch.keep(others.join(homes.select("anchor").distinct().hint("shuffle_hash"), "anchor", "left_semi"))
+def dealt(prints: DataFrame, scratch: Scratch, kind: Kind, block: int) -> DataFrame:
+    """Rows (block, home, ..) of prints (id, fp, ..), those of a block together."""
+    bare = prints.select("id", "fp")
+    homes = scratch.keep(bare.mapInArrow(place(kind.words, True), "anchor long, id long"))
+    others = bare.mapInArrow(place(kind.words, False), "anchor long, id long")
+    others = scratch.keep(others.join(homes.select("anchor").distinct(), "anchor", "left_semi"))
     placed = homes.withColumn("home", F.lit(True)).unionByName(others.withColumn("home", F.lit(False)))
     counts = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = blocks(placed, counts, block).join(prints, "id").repartition("block").sortWithinPartitions("block")
-    return dealt.select("block", "id", "fp", F.col("home").cast("int")).mapInArrow(compare(kind), "u long, v long").distinct()
+    rows = blocks(placed, counts, block).join(prints, "id").withColumn("home", F.col("home").cast("int"))
+    return rows.repartition("block").sortWithinPartitions("block")
+
+
+def links(prints: DataFrame, scratch: Scratch, kind: Kind = CONTRACT, block: int = BLOCK) -> DataFrame:
+    """Rows (u, v) of ids of linked fingerprints, enough to join every component; prints: distinct rows (id, fp)."""
+    rows = dealt(prints.select("id", "fp"), scratch, kind, block).select("block", "id", "fp", "home")
+    return rows.mapInArrow(compare(kind), "u long, v long").distinct()
+
+
+def candidate_groups(kind: Kind):
+    """mapInArrow over rows (block, id, fp, home, part) sorted by block: (gathering, id) of what may link across parts.
+
+    The gathering is a hash of its ids, so that what meets at several anchors alike is compared once.
+    """
+
+    def groups_of(rows: pa.Table) -> pa.RecordBatch:
+        ids, fps, home, part = rows["id"].to_numpy(), as_words(rows["fp"], kind.words), rows["home"].to_numpy(), rows["part"].to_numpy()
+        mine, others = home != 1, home != 0
+        open_ = near(fps[mine], fps[others], kind.bits) & (part[mine][:, None] != part[others][None, :])
+        least: dict[int, int] = {}
+        for x, y in spanning_links(open_, ids[mine], ids[others]):
+            least[x], least[y] = y, y
+        members: dict[int, list[int]] = {}
+        for x in sorted(least):
+            members.setdefault(least[x], []).append(x)
+        names = [xxhash.xxh64_intdigest(np.array(m, np.int64).tobytes()) - (1 << 63) for m in members.values()]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), [len(m) for m in members.values()])), pa.array([x for m in members.values() for x in m], pa.int64())], names=["gathering", "id"])
+
+    return by_first(groups_of)
+
+
+def exact_links(similarity: float):
+    """mapInArrow over rows (gathering, id, part, shingles) sorted by gathering: links that join its parts.
+
+    Each member in turn is held against all that are not yet in one part with it, by their shingles.
+    """
+
+    def links_of(rows: pa.Table) -> pa.RecordBatch:
+        ids, part = rows["id"].to_pylist(), rows["part"].to_numpy().copy()
+        sets = [np.sort(np.asarray(x, np.int64)) for x in rows["shingles"].to_numpy()]
+        sizes, out = np.array(list(map(len, sets))), []
+        for i in range(len(ids) - 1):
+            rest = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+            if not len(rest):
+                if (part[i:] == part[i]).all():
+                    break
+                continue
+            theirs, mine = np.concatenate([sets[j] for j in rest]), sets[i]
+            at = np.minimum(np.searchsorted(mine, theirs), max(0, len(mine) - 1))
+            found = np.concatenate([[0], np.cumsum(mine[at] == theirs if len(mine) else np.zeros(len(theirs), bool))])
+            ends = np.cumsum(sizes[rest])
+            shared = found[ends] - found[ends - sizes[rest]]
+            every = sizes[rest] + len(mine) - shared
+            for j in rest[(every > 0) & (shared / np.maximum(every, 1) >= similarity)].tolist():
+                out.append((ids[i], ids[j]))
+                part[part == part[j]] = part[i]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return by_first(links_of)
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (id, size, shingles) of docs (id, text): hashes of the different shingles."""
+
+    def run(stream):
+        for batch in stream:
+            for (first, rows), texts in text_slices(batch, 1):
+                found = [shingles(t, width).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array([len(x) for x in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "size", "shingles"])
 
+    return docs.select("id", "text").mapInArrow(run, "id long, size int, shingles array<long>")
 
-def components(docs: DataFrame, kind: Kind = CONTRACT) -> DataFrame:
-    """Rows (doc_id, t, fp, component, component_id): component_id is the least doc_id reachable by links, its own included."""
+
+def verified(prints: DataFrame, candidates: DataFrame, sets: DataFrame, scratch: Scratch, kind: Kind, similarity: float, rounds: int = ROUNDS, block: int = BLOCK, salt: int = 4096) -> DataFrame:
+    """Rows (node, component) by links of enough similarity only; candidates: (node, component) by links within the bits.
+
+    Of each candidates' component a leader is held against all its other members, in rounds: those that are similar
+    enough join its part. Then what may still link across the parts meets at its anchors again, in gatherings of bounded
+    size, and each of those is compared until it is one part or all its pairs are told apart. So all pairs of one
+    candidates' component that share an anchor within the bits are judged, but for those already joined; and every link
+    stands on the shingles themselves. Leaders of large components are copied for each `salt` members.
+    """
+    state = scratch.keep(candidates.select(F.col("node").alias("id"), F.col("component").alias("cand"), F.col("node").alias("part"), F.lit(False).alias("led"), F.lit(False).alias("done")))
+    apart = lambda rows: rows.where("not done").groupBy("cand").agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n"), F.min(F.struct("led", "id"))["id"].alias("leader")).where("parts > 1")
+    for _ in range(rounds):
+        leaders = scratch.keep(apart(state).join(state.select(F.col("id").alias("leader"), F.col("part").alias("own")), "leader"))
+        if leaders.isEmpty():
+            break
+        copies = F.ceil(F.col("n") / salt).cast("int")
+        theirs = leaders.join(sets.select(F.col("id").alias("leader"), F.col("size").alias("m"), F.col("shingles").alias("s")), "leader").select("cand", "own", "m", "s", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
+        mine = state.join(leaders.select("cand", copies.alias("copies")), "cand").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int")).select("id", "cand", "part", "salt")
+        met = mine.join(sets, "id").join(theirs, ["cand", "salt"]).where("part <> own")
+        shared = F.size(F.array_intersect("shingles", "s"))
+        won = met.where(shared / F.greatest(F.col("size") + F.col("m") - shared, F.lit(1)) >= similarity).select("cand", "own", "part").distinct()
+        joined = won.select("cand", "part").unionByName(leaders.select("cand", F.col("own").alias("part"))).distinct()
+        least = joined.groupBy("cand").agg(F.min("part").alias("new"))
+        moved = joined.join(least, "cand")
+        heads = leaders.select(F.col("leader").alias("id"), F.lit(True).alias("head"))
+        new = state.join(moved, ["cand", "part"], "left").join(heads, "id", "left")
+        before, state = state, scratch.keep(new.select("id", "cand", F.coalesce("new", "part").alias("part"), (F.col("led") | F.col("new").isNotNull()).alias("led"), (F.col("done") | F.coalesce("head", F.lit(False))).alias("done")))
+        scratch.drop(before)
+    left = scratch.keep(state.where("not done").join(apart(state).select("cand"), "cand", "left_semi").select("id", "part"))
+    edges = state.select(F.col("id").alias("u"), F.col("part").alias("v"))
+    if not left.isEmpty():
+        rows = dealt(prints.select("id", "fp").join(left, "id"), scratch, kind, block).select("block", "id", "fp", "home", "part")
+        met = scratch.keep(rows.mapInArrow(candidate_groups(kind), "gathering long, id long").distinct())
+        full = met.join(left, "id").join(sets, "id").select("gathering", "id", "part", "shingles").repartition("gathering").sortWithinPartitions("gathering", "id")
+        edges = edges.unionByName(full.mapInArrow(exact_links(similarity), "u long, v long"))
+    return connected_components(edges)
+
+
+def components(docs: DataFrame, kind: Kind = CONTRACT, similarity: float | None = None) -> DataFrame:
+    """Rows (doc_id, t, fp, component, component_id): component_id is the least doc_id reachable by links, its own included.
+
+    With a similarity, links within the bits count only if their texts' shingles are that similar.
+    """
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.keep(fingerprints(docs, kind))
-    groups = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
+    groups = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), first).withColumn("id", F.monotonically_increasing_id()))
     parts = connected_components(links(groups, scratch, kind))
+    if similarity is not None:
+        parts = scratch.keep(parts)
+        told = groups.join(parts.select(F.col("node").alias("id")), "id").select("id", F.col("first.doc_id").alias("__d"), F.col("first.t").alias("__t"))
+        rows = docs.select("doc_id", "text", text_key().alias("t"))
+        texts = rows.join(told, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("t") == F.col("__t"))).groupBy("id").agg(F.first("text").alias("text"))
+        sets = scratch.keep(shingle_sets(texts, kind.shingle))
+        parts = verified(groups, parts, sets, scratch, kind, similarity)
     named = groups.join(parts.withColumnRenamed("node", "id"), "id", "left").select("fp", "least", F.coalesce("component", "id").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return marked.join(named.join(ids, "component").select("fp", "component", "component_id"), "fp")
 
 
-def first_of_each(docs: DataFrame, kind: Kind = SIMILAR) -> DataFrame:
+def first_of_each(docs: DataFrame, kind: Kind = SIMILAR, similarity: float | None = SIMILARITY) -> DataFrame:
     """One row of each component: the one with the least doc_id (null last), then the least hash of its text.
 
     Rows of one doc_id stay apart where their texts do; of rows equal in doc_id and text, the least in all columns stays.
     """
     names = docs.columns
-    found = Scratch(docs.sparkSession, "simhash").keep(components(docs, kind).select("doc_id", "t", "component"))
+    found = Scratch(docs.sparkSession, "simhash").keep(components(docs, kind, similarity).select("doc_id", "t", "component"))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("f"), F.count("*").alias("n"))
     won = first.select(F.col("f.doc_id").alias("__d"), F.col("f.t").alias("__t"))
     again = found.groupBy(F.col("doc_id").alias("__d"), F.col("t").alias("__t")).agg(F.count("*").alias("n")).where("n > 1").select("__d", "__t")
     row = docs.withColumn("__k", text_key())
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__t"))
-    chosen = row.join(won.hint("shuffle_hash"), same, "left_semi")
+    chosen = row.join(won, same, "left_semi")
     single = chosen.join(again, same, "left_anti").select(names)
     one = chosen.join(again, same, "left_semi").groupBy("doc_id", "__k").agg(F.min(F.struct(*names)).alias("r"))
     return single.unionByName(one.select("r.*"))
