@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sightline.functions.address import KINDS
 from sightline.functions.columns import haversine
@@ -63,10 +63,13 @@ def score(p: Params = DEFAULTS) -> Column:
 
 
 def pair_scores(stations: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Rows (a, b, score) of members (a < b) that can be one station; stations need member."""
+    """Rows (a, b, score) of members (a < b) that can be one station; stations need member.
+
+    Unlike house numbers can't be one station, so only rows of one house, or without any, meet in a cell.
+    """
     fields = ["member", "brand", "comparable", "title", "norm", "house", "units", "lon", "lat"]
-    points = stations.select(F.col("member").alias("id"), "lon", "lat")
-    near = neighbour_pairs(points, points, p.drift_meters).where("a < b").select("a", "b").distinct()
+    points = stations.select(F.col("member").alias("id"), "lon", "lat", "house")
+    near = neighbour_pairs(points, points, p.drift_meters, alike="house").where("a < b").select("a", "b").distinct()
     side = lambda n: stations.select(F.col("member").alias(f"{n}_id"), F.struct(*fields).alias(n))
     j = near.withColumnsRenamed({"a": "a_id", "b": "b_id"}).join(side("a"), "a_id").join(side("b"), "b_id")
     return j.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), score(p).alias("score")).where("score is not null")
@@ -146,14 +149,43 @@ def merge_component(members: list[tuple], scores: dict[tuple[str, str], float],
     return [g["members"] for g in groups if g], list(doubts.values())
 
 
-def resolve(stations: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def twins(stations: DataFrame) -> DataFrame:
+    """Rows (member, first, place) of stations that three or more rows of their source are alike to in all that scores.
+
+    first: the least of them by order and name; place: 1, 2, .. in that order. Only stations that are a group of their
+    own, by no manual key, have twins.
+    """
+    order = F.col("order") if "order" in stations.columns else F.lit(0)
+    alone = stations.groupBy("key").agg(F.count("*").alias("n")).where("n = 1 and not startswith(key, 'manual:')").select("key")
+    looks = F.xxhash64("source", "brand", "comparable", "title", "norm", "house", F.to_json(F.array_sort(F.map_entries("units"))), "lon", "lat")
+    told = F.struct("source", "brand", "comparable", "title", "norm", "house", F.to_json(F.array_sort(F.map_entries("units"))).alias("units"), "lon", "lat")
+    # The hash deals, the fields decide; nulls are alike to nulls.
+    rows = stations.where("lon is not null and lat is not null").join(alone, "key", "left_semi").select("member", order.alias("order"), looks.alias("looks"), told.alias("told"))
+    classes = rows.groupBy("looks", "told").agg(F.min(F.struct("order", "member")).alias("one"), F.count("*").alias("n")).where("n > 2")
+    kept = rows.join(classes, ["looks", "told"])
+    second = kept.where(F.struct("order", "member") > F.col("one")).groupBy("looks", "told").agg(F.min(F.struct("order", "member")).alias("two"))
+    return kept.join(second, ["looks", "told"]).select("member", F.col("one.member").alias("first"), F.when(F.struct("order", "member") == F.col("one"), 1).when(F.struct("order", "member") == F.col("two"), 2).otherwise(3).alias("place"))
+
+
+def resolve(stations: DataFrame, p: Params = DEFAULTS, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(groups, doubts): rows (group, member), and ambiguous pairs (members, score, rival).
 
     stations need member, key and source. A pair that scores less than the threshold by the margin can neither merge
     nor be a rival, so components are those of the other pairs. A component is merged in one task, in time in proportion
     to its pairs and their neighbours; it has no size limit.
+
+    Twins (rows of one source that are alike in all that scores) can't merge as long as the margin is above zero: to
+    whatever one of them could be joined, the others are rivals of the same score, and none of them can be the first to
+    go. So two of a class of twins stand for all: many rows at one place make few pairs, whatever their number. The
+    others are groups of their own. Doubts are told of all twins; with `most`, of the first so many of each class, which
+    is all that the first `most` doubts by name can hold.
     """
     scratch = Scratch(stations.sparkSession, "resolve")
+    alike = scratch.keep(twins(stations)) if p.ambiguity_margin > 0 else None
+    every, spared = stations, None
+    if alike is not None and not alike.isEmpty():
+        spared = alike.where("place > 2").select("member")
+        stations = stations.join(spared, "member", "left_anti")
     pairs = scratch.keep(pair_scores(stations, p).where(F.col("score") > p.merge_threshold - p.ambiguity_margin - 1e-9))
     same_key = stations.groupBy("key").agg(F.min("member").alias("first"))
     joined = stations.join(same_key, "key").select(F.col("member").alias("u"), F.col("first").alias("v"))
@@ -171,7 +203,34 @@ def resolve(stations: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataF
         return pd.DataFrame(out, columns=["group", "member", "score", "rival"]).astype({"score": "float64", "rival": "float64"})
 
     done = scratch.keep(rows.groupBy("component").applyInPandas(run, "group string, member string, score double, rival double"))
-    return done.where("group is not null").select("group", "member"), done.where("group is null").select(F.col("member").alias("members"), "score", "rival")
+    groups = done.where("group is not null").select("group", "member")
+    doubts = done.where("group is null").select(F.col("member").alias("members"), "score", "rival")
+    if spared is None:
+        return groups, doubts
+    singles = every.join(spared, "member", "left_semi").select(F.col("member").alias("group"), "member")
+    return groups.unionByName(singles), all_doubts(doubts, alike, most)
+
+
+def all_doubts(doubts: DataFrame, alike: DataFrame, most: int | None) -> DataFrame:
+    """Doubts of the twins that stood for their classes, told of all members of the classes.
+
+    A doubt is about two groups, and a twin is always a group of its own, so at most two of its names are of twins.
+    """
+    named = alike.select("first", "member", F.row_number().over(W.partitionBy("first").orderBy("member")).alias("n"))
+    told = named if most is None else named.where(F.col("n") <= most)
+    one, two = alike.where("place = 1").select("member"), alike.where("place = 2").select("member")
+    numbered = doubts.withColumn("id", F.xxhash64("members"))
+    each = numbered.select("id", "members", F.explode(F.split("members", ",")).alias("member"))
+    # What a second twin says the first one says too.
+    again = each.join(two, "member", "left_semi").select("id", "members").distinct()
+    kept = numbered.join(again, ["id", "members"], "left_anti")
+    which = each.join(one, "member", "left_semi").groupBy("id", "members").agg(F.array_sort(F.collect_set("member")).alias("firsts"))
+    j = kept.join(which, ["id", "members"], "left").withColumns({"x": F.get("firsts", F.lit(0)), "y": F.get("firsts", F.lit(1))})
+    side = lambda k: told.select(F.col("first").alias(k), F.col("member").alias(f"{k}_member"))
+    spread = j.join(side("x"), "x", "left").join(side("y"), "y", "left")
+    rest = F.array_except(F.split("members", ","), F.coalesce("firsts", F.array().cast("array<string>")))
+    names = F.array_sort(F.concat(rest, F.array_compact(F.array("x_member", "y_member"))))
+    return spread.select(F.array_join(names, ",").alias("members"), "score", "rival")
 
 
 def stable_keys(groups: DataFrame, members: DataFrame, previous: DataFrame) -> DataFrame:

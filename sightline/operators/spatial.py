@@ -290,19 +290,24 @@ def reference_points(corners: DataFrame) -> DataFrame:
     return first.join(second, "area", "left").select("area", F.coalesce("m.px", "px").alias("lon"), F.coalesce("m.py", "py").alias("lat"))
 
 
-def neighbour_pairs(left: DataFrame, right: DataFrame, drift: float = DEFAULTS.drift_meters, max_lat: float = 60.0) -> DataFrame:
+def neighbour_pairs(left: DataFrame, right: DataFrame, drift: float = DEFAULTS.drift_meters, max_lat: float = 60.0, alike: str | None = None) -> DataFrame:
     """Pairs of (id, lon, lat) rows within `drift` metres: rows meet in grid cells, one side is copied to 9 cells.
 
     A cell is slightly larger than the drift, so near points are never two cells apart. Rows without coordinates
-    meet nobody.
+    meet nobody. With `alike`, a column of both sides, rows meet only where it is equal or null on either side: a cell
+    that holds very many rows is then joined by its values, not as a whole.
     """
     size = drift * 1.01 / METRES_PER_DEGREE
     wide = size / math.cos(math.radians(max_lat))
     cell = lambda c, s: F.floor(F.col(c) / s)
-    a = left.where("lon is not null and lat is not null").select(F.col("id").alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), cell("lon", wide).alias("cx"), cell("lat", size).alias("cy"))
-    b = right.where("lon is not null and lat is not null").select(F.col("id").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"), cell("lon", wide).alias("x"), cell("lat", size).alias("y"))
+    value = F.col(alike).cast("string") if alike else F.lit("")
+    a = left.where("lon is not null and lat is not null").select(F.col("id").alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), cell("lon", wide).alias("cx"), cell("lat", size).alias("cy"), value.alias("v"))
+    b = right.where("lon is not null and lat is not null").select(F.col("id").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"), cell("lon", wide).alias("x"), cell("lat", size).alias("y"), value.alias("v"))
     around = F.explode(F.array(*[F.struct((F.col("x") + i).alias("cx"), (F.col("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    near = a.join(b.select("b", "bx", "by", around.alias("c")).select("b", "bx", "by", "c.*"), ["cx", "cy"])
+    b = b.select("b", "bx", "by", "v", around.alias("c")).select("b", "bx", "by", "v", "c.*")
+    near = a.join(b, ["cx", "cy", "v"]).drop("v")
+    if alike:
+        near = near.unionByName(a.where("v is null").drop("v").join(b.drop("v"), ["cx", "cy"])).unionByName(a.where("v is not null").drop("v").join(b.where("v is null").drop("v"), ["cx", "cy"]))
     return near.withColumn("metres", haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where(F.col("metres") <= drift).select("a", "b", "metres")
 
 

@@ -51,10 +51,10 @@ def d3(spark, sf):
     return R.pair_scores(stations(spark, sf)).select("a", "b", F.round("score", 6).alias("score"))
 
 
-def _resolved(spark, sf):
+def _resolved(spark, sf, most=None):
     s = stations(spark, sf)
     keyed = R.initial_keys(s, s.where("k % 100 = 7").select("member", F.concat(F.lit("m"), "source", F.col("k").cast("string")).alias("manual")))
-    return keyed, *R.resolve(keyed)
+    return keyed, *R.resolve(keyed, most=most)
 
 
 # The greedy merge for these two sources, a place at a time (pairs share their house number). A merged group has both
@@ -100,8 +100,8 @@ def d7(spark, sf):
 @query("d8_identity_diagnostics", f"""WITH RECURSIVE {MERGED}, found AS (SELECT 'OPAQUE_BRAND' AS kind, member AS subject FROM st WHERE brand <> '' AND comparable = '' UNION SELECT 'AMBIGUOUS_MATCH', unnest(doubts) FROM last)
 SELECT kind, subject FROM found ORDER BY kind DESC, subject LIMIT 100""")
 def d8(spark, sf):
-    keyed, _, doubts = _resolved(spark, sf)
-    return R.diagnostics(keyed, doubts)
+    keyed, _, doubts = _resolved(spark, sf, 100)
+    return R.diagnostics(keyed, doubts, 100)
 
 
 @query("d9_historical_identity", """WITH RECURSIVE t AS (SELECT c_custkey::VARCHAR AS record, 'a' || floor(c_acctbal / 20) AS token FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'n' || c_nationkey || c_mktsegment || c_custkey // 40 FROM customer),

@@ -92,6 +92,45 @@ def test_what_merges(spark):
     assert groups == [["a:1"], ["b:1"], ["b:2"]] and doubts == 2
 
 
+def whole_resolve(spark, rows, p):
+    """All stations and scores at once, by the plain rule."""
+    keyed = R.initial_keys(spark.createDataFrame(rows, STATION), spark.createDataFrame([], "member string, manual string"))
+    scores = {(r.a, r.b): r.score for r in R.pair_scores(keyed, p).collect()}
+    return plain_merges([(0, r.member, r.key, r.source) for r in keyed.collect()], scores, p)
+
+
+def test_twins_stand_for_all(spark):
+    """Places with several alike rows of a source: as the plain rule over all rows, doubts of all of them too."""
+    rng = random.Random(30)
+    merged = doubted = 0
+    for k in range(3):
+        rows = []
+        for place in range(14):
+            for source in "abc"[: rng.randint(1, 3)]:
+                for i in range(rng.choice([1, 1, 1, 3, 5])):
+                    rows.append(station(source, f"{place}-{i}", lon=44.5 + place / 100, lat=48.7 + rng.choice([0, 0, 0, 0.0001]), brand=rng.choice("xxy"), house=rng.choice(["5", "5", None])))
+        p = Params(ambiguity_margin=[0.18, 0.05, 0][k])
+        keyed = R.initial_keys(spark.createDataFrame(rows, STATION), spark.createDataFrame([], "member string, manual string"))
+        groups, doubts = R.resolve(keyed, p)
+        want, told = whole_resolve(spark, rows, p)
+        assert sorted(sorted(g) for g in _by_group(groups)) == want
+        assert sorted(r.members for r in doubts.collect()) == [d[0] for d in told]
+        few = R.resolve(keyed, p, 4)[1]
+        assert sorted(r.members for r in few.collect())[:4] == [d[0] for d in told][:4]
+        merged, doubted = merged + (len(want) < len(rows)), doubted + len(told)
+    assert merged == 3 and doubted > 50
+
+
+def test_many_alike_rows_at_one_place(spark):
+    """40,000 rows of four sources at one place: no pairs of rows."""
+    rows = spark.range(40_000).selectExpr("array('a','b','c','d')[id % 4] as source", "string(id) as station", "'t' as title", "'x' as brand", "'x' as comparable", "'мира 5' as norm", "'5' as house", "cast(map() as map<string,string>) as units", "44.5D as lon", "48.7D as lat")
+    keyed = R.initial_keys(rows, spark.createDataFrame([], "member string, manual string"))
+    began = time.time()
+    groups, doubts = R.resolve(keyed, most=100)
+    assert groups.select("group").distinct().count() == 40_000 == groups.count()
+    assert doubts.select("members").distinct().count() == 6 * 100 * 100 and time.time() - began < 120
+
+
 def test_stable_keys(spark):
     groups = spark.createDataFrame([("a:1", "a:1"), ("a:1", "b:1"), ("c:1", "c:1")], "group string, member string")
     members = spark.createDataFrame([("a:1", "source:a:1"), ("b:1", "source:b:1"), ("c:1", "source:c:1")], "member string, key string")
