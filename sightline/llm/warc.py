@@ -37,6 +37,12 @@ BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h1|h2|h3|
 CLOSE = {name: re.compile(rf"</{name}\s*>", re.A | re.I) for name in HIDDEN} | {"!": re.compile("-->")}
 BLOCK = re.compile(rf"</?(?:{BLOCKS})(?:\s[^>]*)?/?>", re.A | re.I)
 TAG, OPEN_TAG = re.compile("</?[a-zA-Z!?][^>]*>"), re.compile("</?[a-zA-Z!?]")
+BLOCK_NAME = re.compile(rf"</?(?:{BLOCKS})(?=[\s/>])", re.A | re.I)
+BLANKS = re.compile("[\t\n\x0b\x0c\r ]+")
+KEEPS = re.compile(r"<(pre|textarea)(?=[\s/>])", re.A | re.I)
+KEPT = {name: re.compile(rf"</{name}\s*>", re.A | re.I) for name in ("pre", "textarea")}
+#: A quoted attribute value with a > in it, or one that may have one; and what a tag's end is looked for among.
+QUOTED, MARK = re.compile(r"""=\s*(?:"[^"<>]*>|'[^'<>]*>)"""), re.compile("[>\"']")
 REFERENCE = re.compile("&(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z][A-Za-z0-9]{1,31}));")
 CHARSET = re.compile(rb"""charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.I)
 
@@ -85,11 +91,49 @@ def decoded(payload: bytes, head: str) -> str:
         return payload.decode("utf-8", "replace")
 
 
+def one_spaced(body: str) -> str:
+    """A text with each run of white space as one space, but in elements that keep it."""
+    out, at, names = [], 0, set(KEPT)
+    while names and (found := KEEPS.search(body, at)):
+        name = found[1].lower()
+        closed = KEPT[name].search(body, found.end()) if name in names else None
+        if closed is None:
+            names.discard(name)
+            out.append(BLANKS.sub(" ", body[at : found.end()]))
+            at = found.end()
+        else:
+            out += [BLANKS.sub(" ", body[at : found.start()]), body[found.start() : closed.end()]]
+            at = closed.end()
+    return "".join([*out, BLANKS.sub(" ", body[at:])])
+
+
+def untagged(body: str) -> str:
+    """A text without its tags, block elements as line breaks."""
+    if not QUOTED.search(body):
+        return TAG.sub("", BLOCK.sub("\n", body))
+    out, at, closing = [], 0, {'"': True, "'": True}  # whether there is a quote of the kind further on
+    while found := OPEN_TAG.search(body, at):
+        k = found.end()
+        while mark := MARK.search(body, k):
+            k = mark.end()
+            if mark[0] == ">":
+                break
+            if closing[mark[0]] and body[found.start() : mark.start()].rstrip().endswith("="):
+                end = body.find(mark[0], k)
+                closing[mark[0]] = end >= 0
+                k = end + 1 if end >= 0 else k
+        if not mark:  # its end is within a quoted value: the first > ends it
+            k = body.find(">", found.end()) + 1 or len(body)
+        out += [body[at : found.start()], "\n" if BLOCK_NAME.match(body, found.start()) else ""]
+        at = k
+    return "".join([*out, body[at:]])
+
+
 def page_text(html: str) -> tuple[str, str]:
     """(text, title) of an HTML page: hidden elements and comments go, block elements break lines, references are decoded."""
     stop = html.rfind(">") + 1  # no tag is closed beyond
-    body = TAG.sub("", BLOCK.sub("\n", visible(html[:stop])))
-    rest = html[stop:]
+    body = untagged(one_spaced(visible(html[:stop])))
+    rest = BLANKS.sub(" ", html[stop:])
     if cut := OPEN_TAG.search(rest):
         rest = rest[: cut.start()]
     text = re.sub("[\\x09\\x0B-\\x0D\\x20\u00a0]+", " ", unreferenced(body + rest))
@@ -220,7 +264,9 @@ def _unreferenced(text: str) -> str:
     return f"(SELECT coalesce(string_agg({_PIECE}, '' ORDER BY i), '') FROM (SELECT unnest({found}) AS x, generate_subscripts({found}, 1) AS i), refs)"
 
 
+# The given pages have neither elements that keep white space nor a > in attribute values; tests do.
 _HTML = f"regexp_replace(coalesce(html, ''), '{_UNSEEN}', '', 'g')"
+_HTML = rf"regexp_replace({_HTML}, '[\x09-\x0D\x20]+', ' ', 'g')"
 _HTML = rf"regexp_replace({_HTML}, '(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>', chr(10), 'g')"
 _HTML = f"regexp_replace(regexp_replace({_HTML}, '</?[a-zA-Z!?][^>]*>', '', 'g'), '</?[a-zA-Z!?][^>]*$', '', 'g')"
 _TITLE = "regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title', 1)"

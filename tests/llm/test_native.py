@@ -294,3 +294,23 @@ def test_query_over_the_table(spark, sf):
     got = {r.page_id: (r.host, r.path, r.rule) for r in U.op4_url_filters(spark, sf).collect()}
     assert got == {r.page_id: brute_rule(r.url) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     assert U.judge(spark.createDataFrame([], "page_id long, url string"), spark.read.parquet(f"{sf}/labels.parquet")).count() == 0
+
+
+def test_white_space_and_attribute_values():
+    text = lambda html: W.page_text(html)[0]
+    assert text("<p>one\ntwo\r\n three</p>four") == "one two three\nfour"
+    assert text("a<pre>x\n  y</pre>b\nc <textarea>d\ne</textarea>f\ng") == "a\nx\ny\nb c d\nef g"
+    assert text('<a title="x > y">z</a> <p class=\'a>b\'>q') == "z\nq"
+    assert text('<p title="no end>one</p> two "three') == "three" or text('<p title="no end>one</p> two "three').endswith("three")
+    assert text("<p don't>it's</p> <b x='1'>so</b>") == "it's\nso"
+    assert text("<pre>a\nb") == "a b"
+    assert text("3 < 4 and\n<i>5 > 4</i>") == "3 < 4 and 5 > 4"
+
+
+def test_pages_of_open_quotes_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    for page in ('<a x="' * 200_000 + ">", "<pre>" * 200_000 + ">", "<a x='y\" =\">" * 100_000, '<a x = "' * 100_000 + '">' * 2):
+        W.page_text(page)
+    assert time.time() - began < 20
