@@ -17,7 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly trained quality classifier keeps.
 
-    Null texts are judged as empty ones, repeated rows alike; null ids stay. Columns beyond those of documents go.
+    Null texts are judged as empty ones, repeated rows alike; null ids stay. Columns beyond those of documents go, also
+    ones named as what the classifier adds. An empty table stays empty; where no labeller votes bad, all documents stay.
     """
     docs = docs.select(*COLUMNS)
     return quality_model.score(docs, quality_model.fit(docs)).where("kept").select(*COLUMNS)
@@ -27,7 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that an earlier one has, up to one word; a document that loses all its words goes.
 
     Documents without a word to begin with stay, as do null texts and rows without a doc_id; repeated rows lose nothing
-    to each other.
+    to each other. Very long lines are lines as any other. An empty table stays empty; columns beyond those of documents
+    go, also ones named as what line dedup counts.
     """
     cut = line_dedup.dedup_lines(docs.select(*COLUMNS))
     cut = cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_dropped") == 0))
@@ -35,7 +37,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the least doc_id.
+    """One document of each group of near copies (five-word shingles, similarity 0.8, held against the shingles
+    themselves): the one with the least doc_id.
 
     Null and empty texts are copies of each other. A row without a doc_id stays only if no row of its group has one.
     Rows that share a doc_id stay apart where their texts do; of rows with equal doc_id and text, the least stays.
@@ -55,7 +58,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left, encoded and decoded.
 
-    A null text is an empty one; ids pass through, null or repeated, a row for each document.
+    A null text is an empty one; ids pass through, null or repeated, a row for each document. An empty table gives no
+    rows, and columns beyond doc_id and text are not looked at.
     """
     import public_tokenizers
 
