@@ -6,6 +6,7 @@ import public_tokenizers
 from sightline.llm import bpe, quality_model as Q
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_line_dedup import words
+from tests.llm.test_quality_model import plain
 from tests.llm.test_simhash import true_components
 from sightline.llm.line_dedup import within_one
 
@@ -54,7 +55,7 @@ def test_every_stage_matches_brute_force(spark, sf):
 
 def test_nulls_repeats_and_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    text = " ".join(f"Some {w} of the old town was seen by all who came there." for w in "amber birch cedar delta ember fjord grove haven inlet jetty".split())
+    text = plain(1)
     rows = [(10**6, None, None, None, None), (10**6, None, None, None, None), (10**6 + 1, "", None, None, None), (None, text, "en", "s", 0), (10**6 + 2, text, "en", "s", len(text)), (10**6 + 2, text, "en", "s", len(text))]
     odd = spark.createDataFrame([(*r, "clash", "clash") for r in rows], docs.schema.add("n_lines", "string").add("score", "string"))
     steps = stages(spark, odd, sf)
