@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sightline.llm.kernels import text_slices
-from sightline.llm.parts import Memory, may_follow, safe_parts
+from sightline.llm.parts import FOLLOWS, PackedMemory, places, split
 from sightline.tables import Scratch, bounded_batches, table
 
 #: A part that begins with a mark follows this one, which is one token, where many parts are encoded as one text.
@@ -42,39 +43,51 @@ class Encoder:
         self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.added = [t.content.encode() for t in self.made.get_added_tokens_decoder().values()]
-        self.memory = Memory(self.parts)
+        self.memory = PackedMemory(self.coded)
 
     def whole(self, text: bytes) -> bool:
         return any(t in text for t in self.added)
 
-    def alone(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        out = {}
-        for k in range(0, len(parts), 256):
-            rows = parts[k : k + 256]
-            out |= {p: np.array(e.ids, "<i4").tobytes() for p, e in zip(rows, self.made.encode_batch_fast([p.decode() for p in rows], add_special_tokens=False), strict=True)}
-        return out
+    def alone(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for k in range(0, len(parts), 256) for e in self.made.encode_batch_fast([p.decode() for p in parts[k : k + 256]], add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, counts.sum()), counts
 
-    def together(self, parts: list[bytes]) -> dict[bytes, bytes]:
+    def together(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts that may follow each other, encoded as one text and told apart by the widths of tokens."""
-        out = {}
+        out, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for k in range(0, len(parts), 4096):
             rows = parts[k : k + 4096]
             laid = [x for p in rows for x in ((p,) if p[0] in b" \n" else (LEAD, p))]
+            marks = np.flatnonzero([p[0] not in b" \n" for p in rows])
+            led = np.zeros(len(laid), bool)
+            led[marks + np.arange(len(marks))] = True
             (coded,) = self.made.encode_batch_fast([b"".join(laid).decode()], add_special_tokens=False)
-            ids = np.array(coded.ids, "<i4")
+            ids = np.array(coded.ids, np.int32)
             ends, stops = np.cumsum(self.widths[ids]), np.cumsum(list(map(len, laid)))
             at = np.searchsorted(ends, stops) + 1
             if not np.array_equal(ends[at - 1], stops):
                 raise RuntimeError("a token runs across a place where a pre-token begins")
-            raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
-            out |= {p: raw[i:j] for p, i, j in zip(laid, cuts, cuts[1:], strict=False)}
-        return out
+            count = np.diff(at, prepend=0)
+            out.append(ids[~np.repeat(led, count)])
+            counts.append(count[~led])
+        return np.concatenate(out), np.concatenate(counts)
+
+    def coded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts in a row, number of ids of each)"""
+        follow = np.fromiter((m is not None for m in map(FOLLOWS.match, parts)), bool, len(parts))
+        if self.whole(b"\0".join(parts)):
+            follow &= ~np.fromiter(map(self.whole, parts), bool, len(parts))
+        some, rest = np.flatnonzero(follow), np.flatnonzero(~follow)
+        (ids, counts), (more, others) = self.together([parts[k] for k in some]), self.alone([parts[k] for k in rest])
+        count = np.empty(len(parts), np.int64)
+        count[some], count[rest] = counts, others
+        first = np.empty(len(parts), np.int64)
+        first[some], first[rest] = np.cumsum(counts) - counts, len(ids) + np.cumsum(others) - others
+        return np.concatenate([ids, more])[places(first, count)], count
 
     def parts(self, parts: list[bytes]) -> list[bytes]:
-        some = [p for p in parts if may_follow(p) and not self.whole(p)]
-        found = self.together(some)
-        found |= self.alone([p for p in parts if p not in found])
-        return [found[p] for p in parts]
+        return split(*self.coded(parts))
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)"""

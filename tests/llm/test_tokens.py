@@ -56,6 +56,38 @@ def test_memory_is_bounded_and_does_not_change_the_ids(made, limit):
         assert ours.memory.size <= limit
 
 
+@pytest.mark.parametrize("limit", [0, 3000, 20_000, 10**6])
+def test_packed_memory_is_bounded_and_does_not_change_the_ids(made, limit):
+    R = random.Random(8)
+    ours = F.Encoder(JSON)
+    ours.memory = P.PackedMemory(ours.coded, limit)
+    for _ in range(300):
+        texts = ["".join(R.choice([*BITS, "\0\0", " a\0", "<|endoftext|>"] if R.random() < 0.1 else BITS + ["".join(R.choice("abcé") for _ in range(R.randint(1, 50)))]) for _ in range(R.randint(0, 30))) for _ in range(3)]
+        ids, counts = ours.texts([t.encode() for t in texts])
+        want = [made.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+        assert 64 * ours.memory.rows <= limit and ours.memory.starts[ours.memory.rows] <= limit // 16
+
+
+def test_known_parts_are_not_encoded_again(made):
+    """A part that was met is found in the memory, also after parts that were met once were forgotten."""
+    ours, seen = F.Encoder(JSON), []
+    ours.memory = P.PackedMemory(lambda parts: (seen.extend(parts), ours.coded(parts))[1], 100_000)
+    often = [f" w{chr(97 + i)}x".encode() for i in range(26)]
+    for k in range(200):
+        words = [*often, *(f" once{chr(97 + i)}{''.join(chr(97 + int(d)) for d in str(k))}".encode() for i in range(20))]
+        ids, _ = ours.texts([b"".join(words)])
+        assert ids.tolist() == made.encode(b"".join(words).decode(), add_special_tokens=False).ids
+    assert all(seen.count(w) == 1 for w in often[1:]) and len(seen) > 4000 > ours.memory.rows
+
+
+def test_parts_of_one_key_stay_apart(made, monkeypatch):
+    monkeypatch.setattr(P, "key_of", lambda low, high, size: low & np.uint64(0xFFFF))
+    ours = F.Encoder(JSON)
+    for text in ["one two three tune two", "ones tomb three two", "one two"] * 2:
+        assert ours.texts([text.encode()])[0].tolist() == made.encode(text, add_special_tokens=False).ids
+
+
 def test_added_tokens_are_read_as_the_library_reads_them(made):
     ours = F.Encoder(JSON)
     for text in ["abc <|endoftext|> def", "<|endoftext|>", "x<|endoftext|>\n\nThe end. <|endoftext|>"]:
