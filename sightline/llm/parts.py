@@ -204,14 +204,14 @@ class PackedMemory:
         self.low[a:b], self.high[a:b], self.key[a:b], self.met[a:b] = low, high, key, False
 
     def forget(self) -> None:
-        kept = np.flatnonzero(self.met[: self.rows])
-        counts = np.diff(self.starts[: self.rows + 1])[kept]
-        if 2 * len(kept) > self.limit or 2 * counts.sum() > 4 * self.limit:
-            kept, counts = kept[:0], counts[:0]
-        self.ids = np.append(self.ids[places(self.starts[kept], counts)], np.int32(0))
-        self.starts = np.concatenate([[0], np.cumsum(counts)])
-        self.low, self.high, self.key = (np.append(x[kept], np.uint64(0)) for x in (self.low, self.high, self.key))
-        self.met, self.rows = np.zeros(len(kept) + 1, bool), len(kept)
+        kept, counts = self.met[: self.rows], np.diff(self.starts[: self.rows + 1])
+        if 2 * kept.sum() > self.limit or 2 * counts[kept].sum() > 4 * self.limit:
+            kept[:] = False
+        self.ids = np.append(self.ids[: self.starts[self.rows]][np.repeat(kept, counts)], np.int32(0))
+        self.starts = np.concatenate([[0], np.cumsum(counts[kept])])
+        self.low, self.high, self.key = (np.append(x[: self.rows][kept], np.uint64(0)) for x in (self.low, self.high, self.key))
+        self.rows = int(kept.sum())
+        self.met = np.zeros(self.rows + 1, bool)
         self.table[:] = -1
         self.enter(0, self.rows)
 
