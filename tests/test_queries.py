@@ -37,3 +37,21 @@ def test_entry_imports_without_llm(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(n.startswith('op') for n in q)"], cwd=tmp_path, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
+
+
+def test_entry_imports_without_llm_beside_another_pipeline(tmp_path):
+    """As above, where another copy of corpus_pipeline is on the path."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parents[1]
+    shutil.copytree(root / "sightline", tmp_path / "sightline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "elsewhere").mkdir()
+    shutil.copy(root / "corpus_pipeline.py", tmp_path / "elsewhere")
+    path = os.pathsep.join([str(tmp_path / "elsewhere"), os.environ.get("PYTHONPATH", "")])
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": path}, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
