@@ -512,7 +512,7 @@ def a12(spark, sf):
 
 def _sightings(spark, sf):
     e = V.events(spark, sf)
-    return e.select("event_id", F.col("entity").alias("station"), F.when(F.col("k") % 3 > 0, F.concat(F.lit("t"), (F.col("k") % 3).cast("string"))).alias("title"), F.when(F.col("k") % 5 > 3, "b").alias("brand"), F.col("event_type").alias("address"), F.when(F.col("k") % 2 == 0, F.col("k").cast("double")).alias("lon"), F.when(F.col("k") % 2 == 0, 1.0).alias("lat"), F.col("t").alias("fetched_at"))
+    return e.select("event_id", F.col("entity").alias("station"), F.when(F.col("k") % 3 > 0, F.concat(F.lit("t"), (F.col("k") % 3).cast("string"))).alias("title"), F.when(F.col("k") % 5 > 3, "b").alias("brand"), F.col("event_type").alias("address"), F.when(F.col("k") % 2 == 0, F.col("k").cast("double")).alias("lon"), F.when(F.col("k") % 2 == 0, 1.0).alias("lat"), F.col("t").alias("fetched_at"), F.col("event_id").alias("order"))
 
 
 SIGHT = "si AS (SELECT event_id, entity AS station, CASE WHEN k % 3 > 0 THEN 't' || k % 3 END AS title, CASE WHEN k % 5 > 3 THEN 'b' END AS brand, event_type AS address, CASE WHEN k % 2 = 0 THEN k::DOUBLE END AS lon, t AS fetched_at FROM e)"

@@ -112,6 +112,27 @@ def test_upserts_in_any_order_give_the_same_fields(spark, tmp_path):
             assert {r.station: r.labels for r in store.told_stations(dimension).collect()} == {r.station: r.labels for r in store.station_dimension(spark.createDataFrame(SEEN, SIGHTING)).collect()}
 
 
+def test_sightings_of_one_time_count_in_their_order(spark, tmp_path):
+    """Values and labels of one second: the first sighting counts, at once and upserted in any order."""
+    seen = [(1, "a", "x", "q", 1.0, 1.0, 10, 2), (1, "c", None, "p", 2.0, 1.0, 10, 1), (1, "b", "z", "r", 3.0, 1.0, 10, 3), (2, "b", None, "n", None, None, 5, 8), (2, "a", None, "m", None, None, 5, 9)]
+    schema = f"{SIGHTING}, order long"
+    want = [(1, "c", "x", "p", 2.0, 1.0, 10, 10, [("c", None), ("a", "x"), ("b", "z")]), (2, "b", None, "n", None, None, 5, 5, [("b", None), ("a", None)])]
+    got = store.station_dimension(spark.createDataFrame(seen, schema)).orderBy("station").collect()
+    assert [(*tuple(r)[:-1], [tuple(x) for x in r.labels]) for r in got] == want
+    for n, turns in enumerate([[0, 1, 2, 3, 4], [4, 2, 0, 3, 1]]):
+        root = f"file://{tmp_path}/ties-{n}"
+        for i in turns:
+            dimension = store.upsert_stations(spark, root, spark.createDataFrame([seen[i]], schema))
+        assert [tuple(r)[:-1] for r in store.told_stations(dimension).orderBy("station").collect()] == [w[:-1] for w in want]
+
+
+def test_dimension_stored_without_turns_takes_new_sightings(spark):
+    stored = store.seen_stations(spark.createDataFrame(SEEN, SIGHTING)).drop("turn")
+    new = store.seen_stations(spark.createDataFrame([(1, "d", None, "a", None, None, 40)], SIGHTING))
+    got = store.told_stations(store.merged_stations(stored, new)).where("station = 1").first()
+    assert tuple(got)[:6] == (1, "d", "y", "s", 2.0, 2.0)
+
+
 def test_expired_days_go_and_partly_expired_ones_stay(spark, tmp_path):
     path = f"file://{tmp_path}/ticks"
     store.write_ticks(spark.createDataFrame([(86400 * d + 100, d) for d in range(5)], "fetched_at long, n int"), path)
