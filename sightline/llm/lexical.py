@@ -160,7 +160,9 @@ def build(docs: DataFrame, path: str) -> DataFrame:
         if block.cells:
             yield block.done()
 
-    docs.select("doc_id", "text").mapInArrow(run, BLOCK).write.options(**{"parquet.block.size": str(16 << 20), "compression": "zstd"}).parquet(path)
+    # A row group for each block. Left to its sizes, the writer looks at them every 100 rows only, so all blocks of a
+    # task would be one group, which a reader takes as a whole.
+    docs.select("doc_id", "text").mapInArrow(run, BLOCK).write.options(**{"parquet.block.row.count.limit": "1", "compression": "zstd"}).parquet(path)
     return spark.read.schema(BLOCK).parquet(path)
 
 
@@ -174,19 +176,18 @@ class Block:
         self.doc_ids, self.terms, self.height = row["doc_ids"], row["terms"], row["height"]
         levels = [1, *row["levels"]]
         inner = sum(levels[:-1])
-        filled = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=4 * inner).astype(bool)
-        at = np.flatnonzero(filled)
+        # Whole levels are several MB: what stands beside the block while it is made is kept to four bytes a cell.
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=4 * inner).view(bool)).astype(np.int32 if 4 * inner < 1 << 31 else np.int64)
         self.empty = len(at) + 1
-        most = np.zeros(self.empty + 1, np.int64)
-        most[:-1] = np.frombuffer(row["falls"], np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0]
-        start = 1
-        for size in levels[1:]:
-            most[start : start + size] = most[at[start - 1 : start - 1 + size] // 4] - most[start : start + size]
-            start += size
         # Only inner cells have quarters: leaves are never opened, and the empty cell has the place after the last inner one.
-        self.inner, self.most = inner, most.astype(np.float32)  # impacts are below 10**6, so exact
+        self.inner, self.most = inner, np.zeros(self.empty + 1, np.float32)  # impacts are below 10**6, so exact
+        falls, start = np.frombuffer(row["falls"], np.uint8).reshape(4, -1), 0
+        for size in levels:
+            told = np.ascontiguousarray(falls[:, start : start + size].T).view("<u4")[:, 0].astype(np.float32)
+            self.most[start : start + size] = self.most[at[start - 1 : start - 1 + size] // 4] - told if start else told
+            start += size
         self.child = np.full(4 * inner + 4, self.empty, np.int32)
-        self.child[at] = np.arange(1, len(at) + 1)
+        self.child[at] = np.arange(1, len(at) + 1, dtype=np.int32)
         self.ids = np.array([-1 if x is None else x for x in self.doc_ids], np.int64)
         self.null = np.array([x is None for x in self.doc_ids], bool)
 
@@ -271,7 +272,7 @@ def best_of(queries: list[tuple[int, list[bytes], list[int]]], depth: int):
         for batch in stream:
             for i in range(batch.num_rows):
                 row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
-                block = Block({k: v.values if k == "terms" else v.as_py() for k, v in row.items()})
+                block = Block({k: v.values if k == "terms" else v.as_buffer() if k in ("bits", "falls") else v.as_py() for k, v in row.items()})
                 rows = pc.fill_null(pc.index_in(wanted, value_set=block.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 for q, (terms, weights) in enumerate(asked):
                     here = rows[terms] >= 0

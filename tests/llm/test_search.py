@@ -93,6 +93,33 @@ def test_search_of_many_terms_holds_little(spark, monkeypatch):
     assert key(searched(spark, docs, items)) == key(brute_search(docs, items))
 
 
+def test_a_block_is_a_row_group(spark, tmp_path):
+    """Readers take a row group as a whole, so it must not hold all blocks of a task."""
+    import pyarrow.parquet as pq
+
+    docs = spark.range(0, 2 * L.DOCUMENTS + 5, 1, 1).selectExpr("id as doc_id", "concat('w', id % 7, ' all') as text")
+    blocks = L.build(docs, f"file://{tmp_path}/blocks")
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "blocks").glob("*.parquet")]
+    assert blocks.count() == 3 and [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)] == [1] * 3
+
+
+def test_reading_a_block_holds_little():
+    """Beside the block as stored and its quarters and impacts, about four bytes a cell."""
+    import tracemalloc
+
+    rng, block = random.Random(11), L.Builder()
+    for i in range(2000):
+        block.add(i, Counter({f"t{rng.randrange(20_000)}".encode(): 1 for _ in range(150)}), 100)
+    batch = block.done()
+    row = {name: (batch.column(k)[0].values if name == "terms" else batch.column(k)[0].as_py()) for k, name in enumerate(batch.schema.names)}
+    tracemalloc.start()
+    read = L.Block(row)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    cells = len(read.most)
+    assert cells > 800_000 and held < 22 * cells and most < held + 14 * cells
+
+
 def test_empty_tables(spark):
     assert searched(spark, [], [(1, "a")]) == [] and searched(spark, [(1, "a b")], []) == []
     assert searched(spark, [(1, None), (2, "")], [(1, "a")]) == []
