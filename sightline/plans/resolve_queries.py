@@ -48,7 +48,7 @@ pair AS (SELECT a, b, CASE WHEN eq AND d <= 5 THEN 1.2 ELSE 0.45 * (1 - d / 100)
 
 @query("d3_pair_scores", f"WITH {STATIONS}, {PAIRS} SELECT a, b, round(score, 6) AS score FROM pair")
 def d3(spark, sf):
-    return R.pair_scores(stations(spark, sf)).select("a", "b", F.round("score", 6).alias("score"))
+    return R.pair_scores(stations(spark, sf), digits=6)
 
 
 def _resolved(spark, sf, most=None):

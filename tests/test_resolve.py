@@ -3,6 +3,8 @@
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from sightline.functions.address import address_parts, normal_address
 from sightline.operators import resolve as R
 from sightline.operators.components import connected_components
@@ -131,6 +133,29 @@ def test_many_alike_rows_at_one_place(spark):
     assert doubts.select("members").distinct().count() == 6 * 100 * 100 and time.time() - began < 120
 
 
+def test_pairs_of_kinds_equal_all_pairs(spark, monkeypatch):
+    """Kinds of many sizes, in blocks of about two: the scores of all pairs of rows, one by one."""
+    monkeypatch.setattr(R, "SHARE", 2)
+    rng, rows = random.Random(31), []
+    for i in range(90):
+        place = rng.randrange(4)
+        rows.append(station(rng.choice("ab"), str(i), lon=44.5 + place / 100, lat=48.7 + rng.choice([0, 0, 0.0005]), brand=rng.choice(["x", "x", "y", ""]), house=rng.choice(["5", "5", "6", None]), units=rng.choice([{}, {}, {"корпус": "1"}, {"корпус": "2"}])))
+    rows.append(station("a", "far", lon=None))
+    keyed = R.initial_keys(spark.createDataFrame(rows, STATION), spark.createDataFrame([], "member string, manual string"))
+    told = keyed.select("member", F.struct("brand", "comparable", "title", "norm", "house", "units", "lon", "lat").alias("s"))
+    every = told.select(F.col("member").alias("m"), F.col("s").alias("a")).crossJoin(told.select(F.col("member").alias("n"), F.col("s").alias("b"))).where("m < n")
+    want = sorted(tuple(r) for r in every.select("m", "n", R.score().alias("score")).where("score is not null").collect())
+    assert len(want) > 300 and sorted(tuple(r) for r in R.pair_scores(keyed).collect()) == want
+    assert sorted(tuple(r) for r in R.pair_scores(keyed, above=1.0, digits=2).collect()) == [(a, b, round(x, 2)) for a, b, x in want if x > 1.0]
+
+
+def test_many_pairs_at_one_place(spark):
+    """32 million pairs of 8,000 rows."""
+    rows = spark.range(8000).selectExpr("concat('a:', id) as member", "'t' as title", "'x' as brand", "'x' as comparable", "'мира 5' as norm", "'5' as house", "cast(map() as map<string,string>) as units", "44.5D as lon", "48.7D as lat")
+    began = time.time()
+    assert R.pair_scores(rows).agg(F.count("*"), F.min("score")).first() == (8000 * 7999 // 2, 1.2) and time.time() - began < 60
+
+
 def test_stable_keys(spark):
     groups = spark.createDataFrame([("a:1", "a:1"), ("a:1", "b:1"), ("c:1", "c:1")], "group string, member string")
     members = spark.createDataFrame([("a:1", "source:a:1"), ("b:1", "source:b:1"), ("c:1", "source:c:1")], "member string, key string")
