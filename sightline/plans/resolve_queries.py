@@ -51,10 +51,10 @@ def d3(spark, sf):
     return R.pair_scores(stations(spark, sf), digits=6)
 
 
-def _resolved(spark, sf, most=None):
+def _resolved(spark, sf, first=None):
     s = stations(spark, sf)
     keyed = R.initial_keys(s, s.where("k % 100 = 7").select("member", F.concat(F.lit("m"), "source", F.col("k").cast("string")).alias("manual")))
-    return keyed, *R.resolve(keyed, most=most)
+    return keyed, *R.resolve(keyed, first=first)
 
 
 # The greedy merge for these two sources, a place at a time (pairs share their house number). A merged group has both

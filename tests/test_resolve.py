@@ -156,6 +156,49 @@ def test_many_pairs_at_one_place(spark):
     assert R.pair_scores(rows).agg(F.count("*"), F.min("score")).first() == (8000 * 7999 // 2, 1.2) and time.time() - began < 60
 
 
+def test_manual_and_shared_keys_stand_for_all(spark):
+    """Alike rows of manual keys, and of one key, as the plain rule over all rows."""
+    rng = random.Random(32)
+    merged = doubted = large = 0
+    for k in range(3):
+        rows, keys = [], []
+        for place in range(16):
+            for source in "abc"[: rng.randint(1, 3)]:
+                for i in range(rng.choice([1, 1, 2, 4])):
+                    rows.append(station(source, f"{place}-{i}", lon=44.5 + place / 100, lat=48.7 + rng.choice([0, 0, 0, 0.0001]), brand=rng.choice("xxxy"), house="5"))
+                    how = rng.choice(["own", "own", "manual", "shared"] if place % 2 else ["shared", "shared", "own"])
+                    keys.append({"own": f"source:{source}:{place}-{i}", "manual": f"manual:{source}{place}-{i}", "shared": f"anon:{place}-{source if rng.random() < 0.9 else ''}"}[how])
+        p = Params(ambiguity_margin=[0.18, 0.05, 0][k])
+        keyed = spark.createDataFrame([(*r, f"{r[0]}:{r[1]}", key) for r, key in zip(rows, keys, strict=True)], f"{STATION}, member string, key string")
+        groups, doubts = R.resolve(keyed, p)
+        scores = {(r.a, r.b): r.score for r in R.pair_scores(keyed, p).collect()}
+        want, told = plain_merges([(0, f"{r[0]}:{r[1]}", key, r[0]) for r, key in zip(rows, keys, strict=True)], scores, p)
+        found = {}
+        for r in groups.collect():
+            found.setdefault(r.group, []).append(r.member)
+        assert sorted(map(sorted, found.values())) == want and all(g == min(m) for g, m in found.items())
+        assert sorted(r.members for r in doubts.collect()) == [d[0] for d in told]
+        first = sorted({r.members for r in R.resolve(keyed, p, first=5)[1].collect()})
+        assert first[:5] == [d[0] for d in told][:5]
+        merged, doubted, large = merged + (len(want) < len(set(keys))), doubted + len(told), large + any(len(g) > 3 for g in want)
+    assert merged == 3 and doubted > 20 and large > 1
+
+
+def test_many_manual_and_shared_keys_at_one_place(spark):
+    """6,000 rows of manual keys and 6,000 of one key at two places make few pairs."""
+    rows = spark.range(12_400).selectExpr(
+        "if(id % 31 = 0, 'b', 'a') as source", "string(id) as station", "'t' as title", "'x' as brand", "'x' as comparable", "'мира 5' as norm", "'5' as house",
+        "cast(map() as map<string,string>) as units", "44.5D + id % 2 as lon", "48.7D as lat", "concat(if(id % 31 = 0, 'b:', 'a:'), id) as member",
+        "case when id % 31 = 0 then concat('source:', id) when id % 2 = 0 then concat('manual:', id) else 'anon:1' end as key",
+    )
+    began = time.time()
+    groups, doubts = R.resolve(rows, first=100)
+    assert groups.count() == 12_400 and groups.select("group").distinct().count() == 12_400 - 5999
+    assert groups.where("member = 'a:12399'").first().group == "a:1"
+    names = sorted(r.members for r in doubts.collect())
+    assert names[0].startswith("a:1,a:100") and names[0].count(",") == 6000 and time.time() - began < 100
+
+
 def test_stable_keys(spark):
     groups = spark.createDataFrame([("a:1", "a:1"), ("a:1", "b:1"), ("c:1", "c:1")], "group string, member string")
     members = spark.createDataFrame([("a:1", "source:a:1"), ("b:1", "source:b:1"), ("c:1", "source:c:1")], "member string, key string")
